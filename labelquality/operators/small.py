@@ -1,0 +1,20 @@
+"""Joining a big table to a small derived one without guessing its size."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+MAX_BROADCAST_ROWS = 50_000
+
+
+def bounded(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Return ``small`` as a broadcastable local table if it proves to have at most ``max_rows`` rows.
+
+    The derived table is computed once, and never more than ``max_rows + 1`` rows of it reach the driver.
+    Beyond the bound the lazy table comes back without a hint, and the join shuffles as usual.
+    Only meant for aggregates with a few narrow columns (one row per label, bin or group).
+    """
+    rows = small.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return small
+    return F.broadcast(small.sparkSession.createDataFrame(rows, small.schema))
