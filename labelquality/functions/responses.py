@@ -1,4 +1,4 @@
-"""From a raw model response to typed answer columns, as stages of column expressions.
+"""From a raw model response to typed answer columns, as stages of SQL expressions.
 
 Each stage adds a few columns that later stages refer to by name and that are computed once per row (see
 ``scalar.stage``); the whole chain is narrow.
@@ -9,12 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import fixed
-from .labels import normalize_label
-from .scalar import let, stage, strip
+from .scalar import sql_lookup, sql_strip, sql_text, stage, strip
 
 # Closes the array a response is wrapped in before parsing; see ``parsed_json``.
 _END_MARK = "#end-of-response#"
 
+_BLANK = fixed.WHITESPACE_RANGES.replace(r"\t-\r", r"\t\x0b-\r")  # white space but the line feed
+_FENCED_LINES = rf"(?:\A|\n)[{_BLANK}]*```[^\n]*((?:\n(?![{_BLANK}]*```)[^\n]*)*+)"
+_BLANK_LINE = rf"\n[{_BLANK}]*(?=\n|\z)"
+
 
 def clean_response(raw: Column, mode: str = "single") -> Column:
     """Text after the last "assistant"; in batch mode only its first line."""
@@ -26,68 +29,71 @@ def clean_response(raw: Column, mode: str = "single") -> Column:
     return answer
 
 
-def _fenced_body(r: Column) -> Column:
-    """Non-blank lines between the first code fence and the next one (or the end)."""
-
-    def is_fence(line: Column) -> Column:
-        return F.startswith(strip(line), F.lit("```"))
-
-    def after_first(lines: Column) -> Column:
-        opening = F.array_position(F.transform(lines, is_fence), True).cast("int")
-        return F.when(opening > 0, F.slice(lines, opening + 1, F.size(lines))).otherwise(F.array().cast("array<string>"))
-
-    def up_to_next(rest: Column) -> Column:
-        closing = F.array_position(F.transform(rest, is_fence), True).cast("int")
-        return F.when(closing > 0, F.slice(rest, F.lit(1), closing - 1)).otherwise(rest)
-
-    lines = let(F.split(r, "\n"), lambda ls: let(after_first(ls), up_to_next))
-    return F.array_join(F.filter(lines, lambda line: strip(line) != ""), "\n")
-
-
 def extract_json(df: DataFrame, response: str, json: str = "json_text", error: str = "extract_error") -> DataFrame:
     """Add the JSON text found in ``response`` and how it was found.
 
-    Tried in order: the last tagged block; the body of a code fence, which replaces the response; the
-    slice from the last opening to the last closing brace; the slice from the first opening brace;
-    the response as it is. The order and its side effects are observable in ``error``.
+    Tried in order: the last tagged block; the non-blank lines of the first code fence, which replace the
+    response; the slice from the last opening to the last closing brace; the slice from the first opening
+    brace; the response as it is. The order and its side effects are observable in ``error``.
     """
-    r, rest = F.col("_r"), F.col("_rest")
-    tail = F.substring_index(r, "<json>", -1)
-    tagged = F.when(
-        F.contains(r, F.lit("<json>")) & F.contains(tail, F.lit("</json>")),
-        strip(F.regexp_extract(tail, r"(?s)^(.*)</json>", 1)),
-    ).otherwise("")
-    fence = F.contains(r, F.lit("```json")) | F.startswith(r, F.lit("```"))
-    unfenced = F.when(fence, let(_fenced_body(r), lambda body: F.when(body != "", body).otherwise(r))).otherwise(r)
-    # From the last opening brace on, up to the last closing one.
-    last = F.regexp_extract(F.regexp_extract(rest, r"(?s)\{[^{]*$", 0), r"(?s)^.*\}", 0)
-
-    staged = stage(df, _r=strip(F.col(response)))
-    staged = stage(staged, _tagged=tagged, _rest=unfenced)
-    staged = stage(staged, _last=last, _wide=F.regexp_extract(rest, r"(?s)\{.*\}", 0))
-
-    recoverable = F.lit("parse_error_recoverable")
-    by_tag = F.col("_tagged") != ""
-    by_last = ~F.col("_last").isin("", "{}")
-    by_wide = ~F.col("_wide").isin("", "{}")
-    found = F.when(by_tag, F.col("_tagged")).when(by_last, F.col("_last")).when(by_wide, F.col("_wide")).otherwise(rest)
-    partial = (F.length("_last") < F.length("_rest")) | (rest != r)
-    how = (
-        F.when(by_tag, F.lit(""))
-        .when(by_last, F.when(partial, recoverable).otherwise(""))
-        .when(by_wide, recoverable)
-        .otherwise("parse_error")
+    tail = "substring_index(_r, '<json>', -1)"
+    inside = sql_strip(f"regexp_extract({tail}, r'(?s)^(.*)</json>', 1)")
+    # Every kept line still starts with its line feed; the first one is cut off.
+    body = f"substring(regexp_replace(regexp_extract(_r, r'{_FENCED_LINES}', 1), r'{_BLANK_LINE}', ''), 2)"
+    staged = stage(df, _r=sql_strip(f"`{response}`"))
+    staged = stage(
+        staged,
+        _tagged=f"CASE WHEN contains(_r, '<json>') AND contains({tail}, '</json>') THEN {inside} ELSE '' END",
+        _body=f"CASE WHEN contains(_r, '```json') OR startswith(_r, '```') THEN {body} ELSE '' END",
     )
-    return stage(staged, **{json: found, error: how}).drop("_r", "_tagged", "_rest", "_last", "_wide")
-
-
-def parsed_json(text: Column) -> Column:
-    """Strictly parsed VARIANT array ``[value, end mark]``; NULL or without mark if ``text`` is no JSON.
+    staged = stage(staged, _rest="CASE WHEN _body <> '' THEN _body ELSE _r END")
+    staged = stage(
+        staged,
+        _last=r"regexp_extract(regexp_extract(_rest, r'(?s)\{[^{]*$', 0), r'(?s)^.*\}', 0)",
+        _wide=r"regexp_extract(_rest, r'(?s)\{.*\}', 0)",
+    )
+    how = """CASE
+        WHEN _tagged <> '' THEN ''
+        WHEN _last NOT IN ('', '{}') AND _body = '' AND length(_last) = length(_rest) THEN ''
+        WHEN _last NOT IN ('', '{}') OR _wide NOT IN ('', '{}') THEN 'parse_error_recoverable'
+        ELSE 'parse_error' END"""
+    found = """CASE
+        WHEN _tagged <> '' THEN _tagged
+        WHEN _last NOT IN ('', '{}') THEN _last
+        WHEN _wide NOT IN ('', '{}') THEN _wide
+        ELSE _rest END"""
+    return stage(staged, **{json: found, error: how}).drop("_r", "_tagged", "_body", "_rest", "_last", "_wide")
+
+
+def parsed_json(json: str) -> str:
+    """SQL for a strictly parsed VARIANT array ``[value, end mark]``.
 
     Spark's JSON functions ignore anything after the first complete value. Wrapping the text in an array
     that ends in a known mark shows whether the whole text was consumed as exactly one value.
     """
-    return F.try_parse_json(F.concat(F.lit("["), text, F.lit(f', "{_END_MARK}"]')))
+    return f"""try_parse_json(concat('[', {json}, ', "{_END_MARK}"]'))"""
+
+
+# What can be wrong with a response, in the order it is looked for: condition, error type, message. The
+# message of the first entry stands for the parser's own; its type is the one found while extracting.
+_OBJECT = "'Validation error: response is not an object'"
+
+
+def _faults(task: str, error: str) -> list[tuple[str, str, str]]:
+    grades = ", ".join(sql_text(g) for g in fixed.CONFIDENCE_VALUES)
+    names = ", ".join(sql_text(n) for n in fixed.TASK_LABELS[task])
+    return [
+        ("NOT _is_json", f"coalesce(nullif(`{error}`, ''), 'parse_error')", "'JSON parse error'"),
+        ("_has_label IS NULL", "'unknown_error'", _OBJECT),
+        ("NOT _has_label", "'schema_violation'", "'Missing required field: label'"),
+        ("NOT _has_confidence", "'schema_violation'", "'Missing required field: confidence'"),
+        ("_kind <> 'OBJECT'", "'unknown_error'", _OBJECT),
+        ("_name IS NULL", "'unknown_error'", "'Validation error: label is not a string'"),
+        (f"coalesce(_grade NOT IN ({grades}), true)", "'schema_violation'", "concat('Invalid confidence: ', coalesce(_grade, to_json(_conf)))"),
+        ("_why_kind = 'SCALAR' AND NOT _why_zero", "'unknown_error'", "'Validation error: rationale has no length'"),
+        (f"_size > 0 AND _size < {fixed.MIN_RATIONALE}", "'content_violation'", f"'Rationale too short (min {fixed.MIN_RATIONALE} chars)'"),
+        (f"_name NOT IN ({names})", "'schema_violation'", "concat('Invalid label ''', _name, '''')"),
+    ]
 
 
 def validate_response(df: DataFrame, task: str, json: str = "json_text", error: str = "extract_error") -> DataFrame:
@@ -95,82 +101,60 @@ def validate_response(df: DataFrame, task: str, json: str = "json_text", error:
     if task not in fixed.TASK_LABELS:
         raise ValueError(f"Unsupported task: {task}")
 
-    def get(path: str, kind: str = "variant") -> Column:
-        return F.try_variant_get("_v", path, kind)
+    def text_of(v: str) -> str:
+        return f"CASE WHEN schema_of_variant({v}) = 'STRING' THEN try_variant_get({v}, '$', 'string') END"
 
-    def kind_of(name: str) -> Column:
-        return F.coalesce(F.schema_of_variant(F.col(name)), F.lit("ABSENT"))
+    def kind_of(v: str) -> str:
+        return f"""CASE WHEN {v} IS NULL THEN 'ABSENT' WHEN schema_of_variant({v}) IN ('VOID', 'STRING') THEN schema_of_variant({v})
+            WHEN startswith(schema_of_variant({v}), 'OBJECT') THEN 'OBJECT'
+            WHEN startswith(schema_of_variant({v}), 'ARRAY') THEN 'ARRAY' ELSE 'SCALAR' END"""
 
-    is_json = F.coalesce(get("$[1]", "string") == _END_MARK, F.lit(False)) & get("$[2]").isNull()
-    text_of = {c: F.when(kind_of(c) == "STRING", F.try_variant_get(c, "$", "string")) for c in ("_label", "_conf", "_why")}
-    staged = stage(df, _v=parsed_json(F.col(json)))
+    # A top-level string or array "has" a field when it contains the field's name; a scalar can have none.
+    def has(field: str, v: str) -> str:
+        return f"""CASE _kind WHEN 'OBJECT' THEN {v} IS NOT NULL
+            WHEN 'STRING' THEN contains(try_variant_get(_top, '$', 'string'), '{field}')
+            WHEN 'ARRAY' THEN coalesce(array_contains(try_variant_get(_top, '$', 'array<string>'), '{field}'), false) END"""
+
+    plain = f"replace(lower({sql_strip('x')}), ' ', '_')"
+    name = f"transform(array({text_of('_label')}), x -> {plain})[0]"
+    staged = stage(df, _v=parsed_json(f"`{json}`"))
     staged = stage(
         staged,
-        _top=get("$[0]"),
-        _label=get("$[0].label"),
-        _conf=get("$[0].confidence"),
-        _why=get("$[0].rationale"),
-        _is_json=is_json,
+        _top="try_variant_get(_v, '$[0]', 'variant')",
+        _label="try_variant_get(_v, '$[0].label', 'variant')",
+        _conf="try_variant_get(_v, '$[0].confidence', 'variant')",
+        _why="try_variant_get(_v, '$[0].rationale', 'variant')",
+        _is_json=f"""coalesce(try_variant_get(_v, '$[1]', 'string') = '{_END_MARK}', false)
+            AND try_variant_get(_v, '$[2]', 'variant') IS NULL""",
     )
     staged = stage(
         staged,
-        _top_kind=F.regexp_extract(kind_of("_top"), "^[A-Z]+", 0),
-        _label_kind=kind_of("_label"),
-        _why_kind=F.regexp_extract(kind_of("_why"), "^[A-Z]+", 0),
-        _name=normalize_label(text_of["_label"]),
-        _grade=text_of["_conf"],
-        _reason=F.coalesce(text_of["_why"], F.to_json("_why")),
+        _kind=kind_of("_top"),
+        _why_kind=kind_of("_why"),
+        _plain=name,
+        _grade=text_of("_conf"),
+        _reason=f"coalesce({text_of('_why')}, to_json(_why))",
+        _why_zero="coalesce(try_variant_get(_why, '$', 'double') = 0, false)",
     )
-    top, why = F.col("_top_kind"), F.col("_why_kind")
-    as_text = F.try_variant_get("_top", "$", "string")
-    as_list = F.try_variant_get("_top", "$", "array<string>")
-
-    # A top-level string or array "has" a field when it contains the field's name.
-    def has(field: str, column: str) -> Column:
-        return (
-            F.when(top == "OBJECT", F.col(column).isNotNull())
-            .when(top == "STRING", F.contains(as_text, F.lit(field)))
-            .when(top == "ARRAY", F.coalesce(F.array_contains(as_list, field), F.lit(False)))
-        )
-
-    reason_size = (
-        F.when(why == "STRING", F.length("_reason"))
-        .when(why == "ARRAY", F.size(F.try_variant_get("_why", "$", "array<variant>")))
-        .when(why == "OBJECT", F.size(F.json_object_keys("_reason")))
+    staged = stage(
+        staged,
+        _name=sql_lookup(fixed.LABEL_ALIASES, "_plain", "_plain"),
+        _has_label=has("label", "_label"),
+        _has_confidence=has("confidence", "_conf"),
+        _size="""CASE _why_kind WHEN 'STRING' THEN length(_reason)
+            WHEN 'ARRAY' THEN size(try_variant_get(_why, '$', 'array<variant>'))
+            WHEN 'OBJECT' THEN size(json_object_keys(_reason)) END""",
     )
-    given = F.coalesce(reason_size > 0, F.lit(False))
-    zero = F.coalesce(F.try_variant_get("_why", "$", "double") == 0, F.lit(False))
-    bare_reason = ~why.isin("ABSENT", "VOID", "STRING", "ARRAY", "OBJECT") & ~zero
-    bad_grade = F.col("_grade").isNull() | ~F.col("_grade").isin(*fixed.CONFIDENCE_VALUES)
-    shown_grade = F.coalesce("_grade", F.to_json("_conf"))
-
-    checks = [
-        (~F.col("_is_json"), "json", F.lit("JSON parse error")),
-        (has("label", "_label").isNull(), "unknown_error", F.lit("Validation error: response is not an object")),
-        (~has("label", "_label"), "schema_violation", F.lit("Missing required field: label")),
-        (~has("confidence", "_conf"), "schema_violation", F.lit("Missing required field: confidence")),
-        (top != "OBJECT", "unknown_error", F.lit("Validation error: response is not an object")),
-        (F.col("_label_kind") != "STRING", "unknown_error", F.lit("Validation error: label is not a string")),
-        (bad_grade, "schema_violation", F.concat(F.lit("Invalid confidence: "), shown_grade)),
-        (bare_reason, "unknown_error", F.lit("Validation error: rationale has no length")),
-        (given & (reason_size < fixed.MIN_RATIONALE), "content_violation", F.lit("Rationale too short (min 10 chars)")),
-        (~F.col("_name").isin(*fixed.TASK_LABELS[task]), "schema_violation", F.concat(F.lit("Invalid label '"), F.col("_name"), F.lit("'"))),
-    ]
-    unparsed = F.when(F.col(error) == "", F.lit("parse_error")).otherwise(F.col(error))
-    kind, message = None, None
-    for failed, name, text in checks:
-        value = unparsed if name == "json" else F.lit(name)
-        kind = F.when(failed, value) if kind is None else kind.when(failed, value)
-        message = F.when(failed, text) if message is None else message.when(failed, text)
-
-    ok = F.col("_fail.kind").isNull()
-    staged = stage(staged, _given=given, _fail=F.struct(kind.alias("kind"), message.alias("message")))
-    return staged.select(
-        *df.columns,
-        ok.alias("is_valid"),
-        F.when(ok, F.col("_name")).otherwise("").alias("label"),
-        F.when(ok, F.col("_grade")).otherwise("low").alias("confidence"),
-        F.when(ok & F.col("_given"), F.col("_reason")).otherwise("").alias("rationale"),
-        F.coalesce("_fail.message", F.lit("")).alias("error"),
-        F.when(ok, F.col(error)).otherwise(F.col("_fail.kind")).alias("error_type"),
+    faults = _faults(task, error)
+    staged = stage(staged, _fault="CASE " + " ".join(f"WHEN {c} THEN {i}" for i, (c, _, _) in enumerate(faults)) + " END")
+    kind = "CASE _fault " + " ".join(f"WHEN {i} THEN {k}" for i, (_, k, _) in enumerate(faults)) + f" ELSE `{error}` END"
+    message = "CASE _fault " + " ".join(f"WHEN {i} THEN {m}" for i, (_, _, m) in enumerate(faults)) + " ELSE '' END"
+    return staged.selectExpr(
+        *[f"`{c}`" for c in df.columns],
+        "_fault IS NULL AS is_valid",
+        "CASE WHEN _fault IS NULL THEN _name ELSE '' END AS label",
+        "CASE WHEN _fault IS NULL THEN _grade ELSE 'low' END AS confidence",
+        "CASE WHEN _fault IS NULL AND _size > 0 THEN _reason ELSE '' END AS rationale",
+        f"{message} AS error",
+        f"{kind} AS error_type",
     )

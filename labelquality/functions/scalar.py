@@ -14,14 +14,32 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def stage(df: DataFrame, **columns: Column) -> DataFrame:
-    """Add columns that are computed once per row, whatever is built on them.
+def stage(df: DataFrame, **columns: str) -> DataFrame:
+    """Add columns, given as SQL expressions, that are computed once per row whatever is built on them.
 
     The columns come out of ``inline`` over a one-element array. The optimizer does not substitute such
     columns into the filters and projections above, which with plain aliases would repeat (and over
     several stages multiply) the expressions. Still a narrow step without a shuffle.
     """
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+    fields = ", ".join(f"'{name}', {sql}" for name, sql in columns.items())
+    return df.select("*", F.expr(f"inline(array(named_struct({fields})))"))
+
+
+def sql_text(value: str) -> str:
+    """A string as SQL literal."""
+    plain = all(" " <= c <= "~" and c not in "'\\" for c in value)
+    return f"'{value}'" if plain else "'" + "".join(f"\\u{ord(c):04x}" for c in value) + "'"
+
+
+def sql_strip(sql: str) -> str:
+    """``strip`` as SQL."""
+    return f"btrim({sql}, {sql_text(WHITESPACE)})"
+
+
+def sql_lookup(mapping: Mapping, key: str, default: str = "NULL") -> str:
+    """``lookup`` as SQL, for string dictionaries."""
+    cases = " ".join(f"WHEN {sql_text(k)} THEN {sql_text(v)}" for k, v in mapping.items())
+    return f"CASE {key} {cases} ELSE {default} END"
 
 
 def lookup(mapping: Mapping, key: Column) -> Column:

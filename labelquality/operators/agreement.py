@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.scalar import ratio
 
 METRICS = ("precision", "recall", "f1_score")
+COUNTS = ("tp", "support", "predicted")
 
 
 def confusion_counts(df: DataFrame, true: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
@@ -33,7 +34,7 @@ def class_counts(cells: DataFrame, by: Sequence[str] = (), carry: Sequence[str]
     seen = F.when(known, F.col("n")).otherwise(none)
 
     def side(label: Column, *counts: Column, own: bool) -> Column:
-        named = [c.alias(name) for c, name in zip(counts, ("tp", "support", "predicted"))]
+        named = [c.alias(name) for c, name in zip(counts, COUNTS)]
         extra = [(F.col(c) if own else F.lit(None).cast("double")).cast("double").alias(c) for c in carry]
         return F.struct(F.when(known, label).alias("label"), *named, *extra)
 
@@ -43,7 +44,7 @@ def class_counts(cells: DataFrame, by: Sequence[str] = (), carry: Sequence[str]
     return (
         cells.select(*by, F.inline(sides))
         .groupBy(*by, "label")
-        .agg(*[F.sum(c).alias(c) for c in ("tp", "support", "predicted", *carry)])
+        .agg(*[F.sum(c).alias(c) for c in (*COUNTS, *carry)])
     )
 
 
@@ -125,10 +126,22 @@ def accuracy(df: DataFrame, true: str, pred: str) -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.avg((F.col(true) == F.col(pred)).cast("double")).alias("accuracy"))
 
 
-def per_class_metrics(df: DataFrame, true: str, pred: str) -> DataFrame:
-    return precision_recall_f1(class_counts(confusion_counts(df, true, pred))).select(
-        "label", "precision", "recall", "f1_score", "support"
-    )
+def _named(classes: DataFrame, names: Sequence[str] | None) -> DataFrame:
+    """Classes 0..k-1 under their names; a class that never occurs gets a row of zeros."""
+    if names is None:
+        return classes
+    zero = F.lit(0).cast("long")
+    known = classes.sparkSession.createDataFrame(list(enumerate(names)), "label int, name string")
+    grid = known.select(F.col("label").cast("long"), "name", *[zero.alias(c) for c in COUNTS])
+    given = classes.select(F.col("label").cast("long"), F.lit(None).cast("string").alias("name"), *COUNTS)
+    merged = given.unionByName(grid).groupBy("label").agg(F.max("name").alias("name"), *[F.sum(c).alias(c) for c in COUNTS])
+    return merged.select(F.coalesce("name", F.col("label").cast("string")).alias("label"), *COUNTS)
+
+
+def per_class_metrics(df: DataFrame, true: str, pred: str, names: Sequence[str] | None = None) -> DataFrame:
+    """Precision, recall, F1 and support per class; ``names`` lists the names of classes 0..k-1."""
+    classes = _named(class_counts(confusion_counts(df, true, pred)), names)
+    return precision_recall_f1(classes).select("label", *METRICS, "support")
 
 
 def averaged_metrics(df: DataFrame, true: str, pred: str, average: str = "auto") -> DataFrame:
@@ -137,10 +150,10 @@ def averaged_metrics(df: DataFrame, true: str, pred: str, average: str = "auto")
     return s.select(*[averaged(m, average).alias(m) for m in METRICS])
 
 
-def classification_report(df: DataFrame, true: str, pred: str) -> DataFrame:
+def classification_report(df: DataFrame, true: str, pred: str, names: Sequence[str] | None = None) -> DataFrame:
     """Rows per class, then accuracy, macro avg and weighted avg."""
-    classes = precision_recall_f1(class_counts(confusion_counts(df, true, pred)))
-    s = summary(classes.select("label", "tp", "support", "predicted"))
+    classes = precision_recall_f1(_named(class_counts(confusion_counts(df, true, pred)), names))
+    s = summary(classes.select("label", *COUNTS))
     rows = [
         F.struct(F.lit("accuracy").alias("class"), *[F.col("accuracy").alias(m) for m in METRICS], F.col("n").alias("support")),
         *[

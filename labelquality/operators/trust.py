@@ -24,7 +24,7 @@ _COLUMNS = {"featuresCol": "features", "labelCol": "trust_label"}
 # Learner factories; n is the number of training rows. The logistic penalty is an L2 weight of 1 on the
 # summed loss, which is 1/n on Spark's mean loss, on the features as they are.
 LEARNERS = {
-    "logistic_regression": lambda n: LogisticRegression(**_COLUMNS, regParam=1.0 / max(n, 1), standardization=False, tol=1e-8),
+    "logistic_regression": lambda n: LogisticRegression(**_COLUMNS, regParam=1.0 / max(n, 1), standardization=False, tol=1e-6),
     "random_forest": lambda n: RandomForestClassifier(**_COLUMNS, numTrees=100, maxDepth=10, seed=fixed.SEED),
     "gradient_boosting": lambda n: GBTClassifier(**_COLUMNS, maxIter=100, maxDepth=3, stepSize=0.1, seed=fixed.SEED),
 }
