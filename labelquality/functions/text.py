@@ -1,42 +1,90 @@
 """Text feature expressions.
 
-All counts are single regular-expression passes over the text; nothing tokenises into arrays. Word
-characters are letters, numbers and underscore of any script, spelled out so that the result does not
-depend on the Java release. Patterns of one family whose matches are always whole, different tokens are
-merged into one alternation, so a family costs one pass.
+Cue words (negations, hedges, intensifiers, negative prefixes) are whole words, so the text is cut into words
+once, the few cue words are kept, and every family is counted on that short list. Patterns that need
+look-around run only on texts that contain their fixed part. Word and sentence counts work on the text with
+single blanks, where their patterns are simple.
+
+Character classes are spelled out, so that results do not depend on the Java release. Single ASCII characters
+are cheap in a class and each range or property is not, so the ASCII members are listed one by one and
+everything beyond ASCII sits behind one range test.
 """
 
 from __future__ import annotations
 
+import string
 from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
 from . import fixed
-from .scalar import ratio
+from .scalar import let, ratio
 
-_WS = fixed.WHITESPACE_RANGES
-_WORD = r"\p{L}\p{N}_"
-_START = rf"(?<![{_WORD}])"
-_END = rf"(?![{_WORD}])"
+_ASCII_SPACES = r"\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0"
+_ASCII_MARKS = r"!\"#$%&'()*+,\-./:;<=>?@\[\\\]^`{|}~" + "".join(rf"\x{i:02x}" for i in [*range(9), *range(14, 28)])
+_SPACE = rf"[{_ASCII_SPACES}[ -　&&[{fixed.WHITESPACE_RANGES}]]]"
+_MARK = rf"[{_ASCII_MARKS}[\x7f-\x{{10FFFF}}&&[^\p{{L}}\p{{N}}{fixed.WHITESPACE_RANGES}]]]"
+# A word character of a lower-cased text.
+_WORD = rf"[{string.ascii_lowercase}{string.digits}_[\x80-\x{{10FFFF}}&&[\p{{L}}\p{{N}}]]]"
 
+# "cannot" is one word; the others contain an apostrophe and are matched as patterns.
+CONTRACTIONS = [w for w in fixed.NEGATION_CONTRACTIONS if "'" in w]
+NEGATIONS = [w for w in [*fixed.NEGATION_WORDS, *fixed.NEGATION_CONTRACTIONS] if "'" not in w]
+HEDGES = [*fixed.HEDGE_MODALS, *fixed.HEDGE_DEGREES]
+INTENSIFIERS = [*fixed.INTENSIFIERS_STRONG, *fixed.INTENSIFIERS_MILD]
+CUES = sorted({*NEGATIONS, *HEDGES, *fixed.HEDGE_LIKELIHOODS, *INTENSIFIERS})
 
-def _tokens(words: Sequence[str]) -> str:
-    return f"{_START}(?:{'|'.join(words)}){_END}"
 
+def _whole(words: Sequence[str]) -> str:
+    """Any of ``words`` between word boundaries; the first letter is tested before the look-behind."""
+    initials = "".join(sorted({w[0] for w in words}))
+    return f"(?=[{initials}])(?<!{_WORD})(?:{'|'.join(words)})(?!{_WORD})"
 
-NEGATION_PATTERN = _tokens(fixed.NEGATION_WORDS + fixed.NEGATION_CONTRACTIONS)
-PREFIX_PATTERN = f"{_START}(?:{'|'.join(fixed.NEGATION_PREFIXES)})"
-HEDGE_PATTERN = _tokens(fixed.HEDGE_MODALS + fixed.HEDGE_DEGREES)
-UNCERTAINTY_PATTERN = _tokens(fixed.HEDGE_PHRASES + fixed.HEDGE_LIKELIHOODS)
-INTENSIFIER_PATTERN = _tokens(fixed.INTENSIFIERS_STRONG + fixed.INTENSIFIERS_MILD)
-POLYSYLLABLE_PATTERN = rf"[aeiouy]++[^{_WS}aeiouy]++[aeiouy]++[^{_WS}aeiouy]++[aeiouy][^{_WS}]*+"
+
+CONTRACTION_PATTERN = _whole(CONTRACTIONS)
+PHRASE_PATTERN = _whole(fixed.HEDGE_PHRASES)
+NEGATION_PATTERN = _whole([*fixed.NEGATION_WORDS, *fixed.NEGATION_CONTRACTIONS])
+POLYSYLLABLE_PATTERN = "[aeiouy]++[^ aeiouy]++[aeiouy]++[^ aeiouy]++[aeiouy][^ ]*+"  # in a single-spaced text
 
 
 def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
+def _has_prefix(word: Column) -> Column:
+    found = F.startswith(word, F.lit(fixed.NEGATION_PREFIXES[0]))
+    for p in fixed.NEGATION_PREFIXES[1:]:
+        found = found | F.startswith(word, F.lit(p))
+    return found
+
+
+def cue_words(text: Column) -> Column:
+    """The cue words of a text, lower-cased, repeats included."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(f"{_WORD}+"), 0)
+    return F.filter(words, lambda w: w.isin(CUES) | _has_prefix(w))
+
+
+def count_cues(cues: Column, words: Sequence[str]) -> Column:
+    return F.size(F.filter(cues, lambda w: w.isin(list(words))))
+
+
+def count_prefixed(cues: Column) -> Column:
+    return F.size(F.filter(cues, _has_prefix))
+
+
+def contraction_count(text: Column) -> Column:
+    low = F.lower(text)
+    return F.when(F.contains(low, F.lit("n't")), _count(low, CONTRACTION_PATTERN)).when(text.isNotNull(), 0)
+
+
+def phrase_count(text: Column) -> Column:
+    low = F.lower(text)
+    possible = F.contains(low, F.lit(fixed.HEDGE_PHRASES[0]))
+    for p in fixed.HEDGE_PHRASES[1:]:
+        possible = possible | F.contains(low, F.lit(p))
+    return F.when(possible, _count(low, PHRASE_PATTERN)).when(text.isNotNull(), 0)
+
+
 def text_hash(text: Column) -> Column:
     """First 16 hexadecimal digits of the SHA-256 of the UTF-8 text."""
     return F.substring(F.sha2(text, 256), 1, fixed.HASH_PREFIX)
@@ -52,14 +100,27 @@ def char_count(text: Column) -> Column:
     return F.length(text)
 
 
-def word_count(text: Column) -> Column:
-    """Number of runs of non-white-space characters."""
-    return _count(text, rf"[^{_WS}]+")
+def single_spaced(text: Column) -> Column:
+    """Words of a text with exactly one blank between them."""
+    return F.regexp_replace(F.btrim(text, F.lit(fixed.WHITESPACE)), f"{_SPACE}+", " ")
+
+
+def blank_count(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
+
 
+def spaced_words(spaced: Column) -> Column:
+    """Number of words of a single-spaced text."""
+    return F.when(spaced == "", 0).otherwise(blank_count(spaced) + 1)
 
-def letter_count(text: Column) -> Column:
-    """Number of characters that are not white space."""
-    return F.length(F.regexp_replace(text, rf"[{_WS}]+", ""))
+
+def spaced_letters(spaced: Column) -> Column:
+    return F.length(F.replace(spaced, F.lit(" "), F.lit("")))
+
+
+def word_count(text: Column) -> Column:
+    """Number of runs of non-white-space characters."""
+    return let(single_spaced(text), spaced_words)
 
 
 def sentence_count(text: Column) -> Column:
@@ -68,11 +129,13 @@ def sentence_count(text: Column) -> Column:
 
 
 def avg_word_length(text: Column) -> Column:
-    return F.when(text.isNotNull(), ratio(letter_count(text), word_count(text)))
+    average = let(single_spaced(text), lambda t: ratio(spaced_letters(t), spaced_words(t)))
+    return F.when(text.isNotNull(), average)
 
 
 def punctuation_count(text: Column) -> Column:
-    return _count(text, rf"[^{_WORD}{_WS}]")
+    """Characters that are neither of a word nor white space."""
+    return F.length(text) - F.length(F.regexp_replace(text, f"{_MARK}+", ""))
 
 
 def caps_count(text: Column) -> Column:
@@ -91,17 +154,13 @@ def caps_ratio(text: Column) -> Column:
     return per_char(caps_count(text), text)
 
 
-def negation_word_count(text: Column) -> Column:
-    return _count(F.lower(text), NEGATION_PATTERN)
-
-
 def negation_prefix_count(text: Column) -> Column:
-    return _count(F.lower(text), PREFIX_PATTERN)
+    return count_prefixed(cue_words(text))
 
 
 def negation_count(text: Column) -> Column:
     """Words and contractions plus words with a negative prefix; "none" scores in both."""
-    return negation_word_count(text) + negation_prefix_count(text)
+    return let(cue_words(text), lambda w: count_cues(w, NEGATIONS) + count_prefixed(w)) + contraction_count(text)
 
 
 def double_negation(text: Column) -> Column:
@@ -110,15 +169,17 @@ def double_negation(text: Column) -> Column:
 
 
 def uncertainty_markers(text: Column) -> Column:
-    return _count(F.lower(text), UNCERTAINTY_PATTERN)
+    return count_cues(cue_words(text), fixed.HEDGE_LIKELIHOODS) + phrase_count(text)
 
 
 def hedge_count(text: Column) -> Column:
-    return _count(F.lower(text), HEDGE_PATTERN) + uncertainty_markers(text)
+    return count_cues(cue_words(text), [*HEDGES, *fixed.HEDGE_LIKELIHOODS]) + phrase_count(text)
 
 
 def intensifier_count(text: Column) -> Column:
-    return _count(F.lower(text), INTENSIFIER_PATTERN)
+    return let(
+        cue_words(text), lambda w: count_cues(w, fixed.INTENSIFIERS_STRONG) + count_cues(w, fixed.INTENSIFIERS_MILD)
+    )
 
 
 def _lexicon(text: Column, words: Sequence[str]) -> Column:
@@ -138,18 +199,25 @@ def negative_word_count(text: Column) -> Column:
     return _lexicon(text, fixed.NEGATIVE_WORDS)
 
 
-def spoken_sentences(text: Column) -> Column:
-    """Number of non-blank sentences."""
-    return _count(text, rf"[^.!?{_WS}][^.!?]*")
+def spoken_sentences(spaced: Column) -> Column:
+    """Number of non-blank sentences of a single-spaced text."""
+    return _count(spaced, "[^.!? ][^.!?]*")
+
 
+def sentence_words(spaced: Column) -> Column:
+    """Words summed over sentences: a word with an inner full stop counts on both sides of it.
 
-def sentence_words(text: Column) -> Column:
-    """Words summed over sentences (a word with an inner full stop counts on both sides)."""
-    return _count(text, rf"[^.!?{_WS}]+")
+    Words, plus the stops that a sentence goes on after without a blank, less the words that start with
+    a stop (these were either counted twice or are nothing but stops).
+    """
+    inner = _count(spaced, "[.!?]+(?=[^.!? ])")
+    leading = _count(spaced, "(?:^| )[.!?]")
+    return spaced_words(spaced) + inner - leading
 
 
 def avg_sentence_length(text: Column) -> Column:
-    return F.when(text.isNotNull(), ratio(sentence_words(text), spoken_sentences(text)))
+    average = let(single_spaced(text), lambda t: ratio(sentence_words(t), spoken_sentences(t)))
+    return F.when(text.isNotNull(), average)
 
 
 def flesch_from(avg_len: Column) -> Column:
@@ -165,9 +233,9 @@ def syllable_count(text: Column) -> Column:
     return _count(F.lower(text), "[aeiouy]+")
 
 
-def polysyllable_count(text: Column) -> Column:
-    """Words with three vowel groups or more."""
-    return _count(F.lower(text), POLYSYLLABLE_PATTERN)
+def polysyllable_count(spaced: Column) -> Column:
+    """Words with three vowel groups or more, of a single-spaced text."""
+    return _count(F.lower(spaced), POLYSYLLABLE_PATTERN)
 
 
 def flesch_kincaid_grade(words: Column, sentences: Column, syllables: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import text as tx
+from ..functions import fixed, text as tx
 from ..functions.scalar import ratio
 
 BASIC = ["char_count", "word_count", "sentence_count", "avg_word_length", "punctuation_ratio", "caps_ratio"]
@@ -22,35 +22,48 @@ def text_features(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] =
 
     Unused features are pruned by the optimizer: selecting two columns runs only their patterns.
     """
-    t = F.col(text_col)
-    counts = df.select(
+    t, cues, spaced = F.col(text_col), F.col("_cues"), F.col("_spaced")
+    words = df.select(*keep, t, tx.cue_words(t).alias("_cues"), tx.single_spaced(t).alias("_spaced"))
+    counted = words.select(
         *keep,
+        t,
+        tx.spaced_words(spaced).alias("word_count"),
+        tx.spaced_letters(spaced).alias("_letters"),
+        tx.spoken_sentences(spaced).alias("_sentences"),
+        tx.sentence_words(spaced).alias("_sentence_words"),
+        tx.polysyllable_count(spaced).alias("_polysyllables"),
+        (tx.count_cues(cues, tx.NEGATIONS) + tx.contraction_count(t)).alias("_negations"),
+        tx.count_prefixed(cues).alias("negation_prefix_count"),
+        tx.count_cues(cues, tx.HEDGES).alias("_hedges"),
+        (tx.count_cues(cues, fixed.HEDGE_LIKELIHOODS) + tx.phrase_count(t)).alias("uncertainty_markers"),
+        tx.count_cues(cues, tx.INTENSIFIERS).alias("intensifier_count"),
+    )
+    counts = counted.select(
+        *keep,
+        "word_count",
+        "_letters",
+        "negation_prefix_count",
+        "uncertainty_markers",
+        "intensifier_count",
+        (F.col("_negations") + F.col("negation_prefix_count")).alias("negation_count"),
+        (F.col("_hedges") + F.col("uncertainty_markers")).alias("hedge_count"),
+        F.when(F.col("_negations") >= 2, tx.double_negation(t)).when(t.isNotNull(), 0.0).alias("double_negation"),
         tx.char_count(t).alias("char_count"),
-        tx.word_count(t).alias("word_count"),
         tx.sentence_count(t).alias("sentence_count"),
-        tx.letter_count(t).alias("_letters"),
         tx.punctuation_count(t).alias("_punct"),
         tx.caps_count(t).alias("_caps"),
-        tx.negation_word_count(t).alias("_neg_words"),
-        tx.negation_prefix_count(t).alias("negation_prefix_count"),
-        tx.double_negation(t).alias("double_negation"),
-        tx.hedge_count(t).alias("hedge_count"),
-        tx.uncertainty_markers(t).alias("uncertainty_markers"),
-        tx.intensifier_count(t).alias("intensifier_count"),
         tx.positive_word_count(t).alias("positive_word_count"),
         tx.negative_word_count(t).alias("negative_word_count"),
-        tx.spoken_sentences(t).alias("_sentences"),
-        tx.sentence_words(t).alias("_sentence_words"),
         tx.syllable_count(t).alias("_syllables"),
-        tx.polysyllable_count(t).alias("_polysyllables"),
+        "_sentences",
+        "_sentence_words",
+        "_polysyllables",
     )
     c = F.col
     present = c("char_count").isNotNull()
     words = F.greatest(c("word_count"), F.lit(1))
     pos, neg = c("positive_word_count"), c("negative_word_count")
-    total = counts.withColumn("negation_count", c("_neg_words") + c("negation_prefix_count")).withColumn(
-        "avg_sentence_length", F.when(present, ratio(c("_sentence_words"), c("_sentences")))
-    )
+    total = counts.withColumn("avg_sentence_length", F.when(present, ratio(c("_sentence_words"), c("_sentences"))))
     return total.select(
         *keep,
         "char_count",
