@@ -211,7 +211,7 @@ def sentence_words(spaced: Column) -> Column:
     a stop (these were either counted twice or are nothing but stops).
     """
     inner = _count(spaced, "[.!?]+(?=[^.!? ])")
-    leading = _count(spaced, "(?:^| )[.!?]")
+    leading = _count(spaced, " [.!?]") + F.rlike(spaced, F.lit("^[.!?]")).cast("int")
     return spaced_words(spaced) + inner - leading
 
 

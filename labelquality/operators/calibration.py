@@ -215,18 +215,25 @@ def fit_temperature(
 
     The loss is convex in beta = 1/T, so a safeguarded Newton iteration on its slope finds the minimum.
     Each step is one aggregate that returns two numbers; the two input columns are kept between steps
-    and recomputed if an executor is lost. ``gold`` is a class index, or the array of true classes.
+    and recomputed if an executor is lost. A loss without a minimum inside ``bounds`` gives the bound. ``gold`` is a class index, or the array of true classes.
     """
     derive = _slope_and_curve_multilabel if multilabel else _slope_and_curve
     data = df.select(F.col(logits).alias("z"), F.col(gold).alias("y")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         lo, hi = 1.0 / bounds[1], 1.0 / bounds[0]
+
+        def means(*betas: float) -> list[float]:
+            wanted = [F.avg(c) for b in betas for c in derive(F.col("z"), F.col("y"), F.lit(b))]
+            return list(data.agg(*wanted).first())
+
+        low, _, high, _ = means(lo, hi)
+        if low is None:
+            raise ValueError("fit_temperature needs at least one row")
+        if low >= 0 or high <= 0:  # the loss only rises or only falls between the bounds
+            return bounds[1] if low >= 0 else bounds[0]
         beta = 1.0
         for _ in range(max_iter):
-            slope, curve = derive(F.col("z"), F.col("y"), F.lit(beta))
-            g, h = data.agg(F.avg(slope), F.avg(curve)).first()
-            if g is None:
-                raise ValueError("fit_temperature needs at least one row")
+            g, h = means(beta)
             lo, hi = (lo, beta) if g > 0 else (beta, hi)
             step = beta - g / h if h and h > 0 else None
             # A Newton step that leaves the bracket is replaced by the bracket's geometric middle.

@@ -50,18 +50,15 @@ def chat_messages(spark, d):
 
 
 @query(
-    "chat_messages_history",
-    """SELECT conv_id, string_agg(role || ':' || sha256(text), '|' ORDER BY turn) AS history, count(*) AS messages
-       FROM conversations GROUP BY conv_id""",
+    "chat_messages_turns",
+    f"""SELECT conv_id, turn, sha256({_SYSTEM[True]}) AS system_hash, sha256('Text: ' || text) AS user_hash
+      FROM conversations WHERE role = 'user'""",
 )
-def chat_messages_history(spark, d):
-    """Message lists of whole conversations: one array of (role, content) per conversation."""
-    turns = inputs.table(spark, d, "conversations")
-    lists = turns.groupBy("conv_id").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))), lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages")
-    )
-    tags = F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), F.sha2(m["content"], 256)))
-    return lists.select("conv_id", F.array_join(tags, "|").alias("history"), F.size("messages").cast("long").alias("messages"))
+def chat_messages_turns(spark, d):
+    """Message pairs, with the rationale rules, for every user turn of the conversations."""
+    turns = inputs.table(spark, d, "conversations").filter("role = 'user'")
+    m = turns.select("conv_id", "turn", lb.chat_messages(F.col("text"), "toxicity", True).alias("m"))
+    return m.select("conv_id", "turn", F.sha2(F.col("m")[0]["content"], 256).alias("system_hash"), F.sha2(F.col("m")[1]["content"], 256).alias("user_hash"))
 
 
 @query(
