@@ -102,12 +102,11 @@ def validate_response(df: DataFrame, task: str, json: str = "json_text", error:
         raise ValueError(f"Unsupported task: {task}")
 
     def text_of(v: str) -> str:
-        return f"CASE WHEN schema_of_variant({v}) = 'STRING' THEN try_variant_get({v}, '$', 'string') END"
+        return f"CASE WHEN {v}_type = 'STRING' THEN try_variant_get({v}, '$', 'string') END"
 
     def kind_of(v: str) -> str:
-        return f"""CASE WHEN {v} IS NULL THEN 'ABSENT' WHEN schema_of_variant({v}) IN ('VOID', 'STRING') THEN schema_of_variant({v})
-            WHEN startswith(schema_of_variant({v}), 'OBJECT') THEN 'OBJECT'
-            WHEN startswith(schema_of_variant({v}), 'ARRAY') THEN 'ARRAY' ELSE 'SCALAR' END"""
+        return f"""CASE WHEN {v}_type IS NULL THEN 'ABSENT' WHEN {v}_type IN ('VOID', 'STRING') THEN {v}_type
+            WHEN startswith({v}_type, 'OBJECT') THEN 'OBJECT' WHEN startswith({v}_type, 'ARRAY') THEN 'ARRAY' ELSE 'SCALAR' END"""
 
     # A top-level string or array "has" a field when it contains the field's name; a scalar can have none.
     def has(field: str, v: str) -> str:
@@ -127,14 +126,15 @@ def validate_response(df: DataFrame, task: str, json: str = "json_text", error:
         _is_json=f"""coalesce(try_variant_get(_v, '$[1]', 'string') = '{_END_MARK}', false)
             AND try_variant_get(_v, '$[2]', 'variant') IS NULL""",
     )
+    staged = stage(staged, **{f"{v}_type": f"schema_of_variant({v})" for v in ("_top", "_label", "_conf", "_why")})
     staged = stage(
         staged,
         _kind=kind_of("_top"),
         _why_kind=kind_of("_why"),
         _plain=name,
         _grade=text_of("_conf"),
-        _reason=f"coalesce({text_of('_why')}, to_json(_why))",
-        _why_zero="coalesce(try_variant_get(_why, '$', 'double') = 0, false)",
+        _reason=f"CASE WHEN _why IS NOT NULL THEN coalesce({text_of('_why')}, to_json(_why)) END",
+        _why_zero="_why IS NOT NULL AND coalesce(try_variant_get(_why, '$', 'double') = 0, false)",
     )
     staged = stage(
         staged,

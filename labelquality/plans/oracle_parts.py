@@ -142,3 +142,9 @@ def edges(bins: int) -> str:
     return f"""eb AS (
   SELECT i AS b, (i - 1) * (1.0::DOUBLE / {bins}) AS lo, CASE WHEN i = {bins} THEN 1.0::DOUBLE ELSE i * (1.0::DOUBLE / {bins}) END AS hi
   FROM (SELECT unnest(range(1, {bins + 1})) AS i) r)"""
+
+
+# ROC area of ps (score, y) in Mann-Whitney form: mean rank of the positives.
+RANK_AUC = """auc AS (SELECT (sum(mid) FILTER (WHERE y = 1) - count(*) FILTER (WHERE y = 1) * (count(*) FILTER (WHERE y = 1) + 1) / 2.0::DOUBLE)
+   / (count(*) FILTER (WHERE y = 1)::DOUBLE * count(*) FILTER (WHERE y = 0)) AS a
+   FROM (SELECT y, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0::DOUBLE AS mid FROM ps) r)"""

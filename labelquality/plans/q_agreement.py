@@ -44,6 +44,19 @@ def accuracy(spark, d):
     return ag.accuracy(inputs.coders(spark, d), "a", "b").select("n", r6("accuracy"))
 
 
+@query("percentage_agreement", f"WITH {CODERS} SELECT round(avg((a = b)::INT), 6) AS percentage_agreement FROM coders")
+def percentage_agreement(spark, d):
+    return ag.accuracy(inputs.coders(spark, d), "a", "b").select(r6("accuracy", "percentage_agreement"))
+
+
+@query(
+    "agreement_rate",
+    f"WITH {parsed()} SELECT count(*) AS n, round(avg((gold_label = llm_label)::INT), 6) AS agreement_rate FROM ann WHERE is_valid AND llm_label >= 0",
+)
+def agreement_rate(spark, d):
+    return ag.accuracy(_valid(spark, d), "gold_label", "llm_label").select("n", r6("accuracy", "agreement_rate"))
+
+
 @query(
     "precision_recall_f1",
     f"WITH {_CELLS} SELECT label, round(pr, 6) AS precision, round(rc, 6) AS recall, round(f1, 6) AS f1_score, support FROM sc",

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import probability as pr
-from ..operators import calibration as cal
+from ..operators import agreement as ag, calibration as cal
 from . import inputs
-from .oracle_parts import SCORES, classes, edges
+from .oracle_parts import RANK_AUC, SCORES, classes, edges
 from .registry import query, r6
 
 
@@ -125,3 +125,32 @@ def reliability_resolution(spark, d):
 def calibration_metrics(spark, d):
     m = cal.calibration_metrics(inputs.binary_scores(spark, d), "p", "y")
     return m.select("n", *[r6(c) for c in ("ece", "mce", "reliability", "resolution", "brier_score")])
+
+
+_ALL = f"""{_BINARY}, ps AS (SELECT p AS score, y FROM bs), d AS (SELECT y, (p >= 0.5)::INT AS q, grp FROM bs),
+  cal AS (SELECT sum(n)::BIGINT AS n, sum(CASE WHEN b IS NOT NULL THEN abs(sp - sy) END) / sum(n) AS ece,
+    max(CASE WHEN b IS NOT NULL THEN abs(sp - sy) / n END) AS mce, {_MURPHY})"""
+
+
+@query(
+    "comprehensive_metrics_scores",
+    f"""WITH {_ALL}, {RANK_AUC}
+      SELECT 'classification' AS section, 'all' AS "group", 'accuracy' AS metric, round(avg((y = q)::INT), 6) AS value FROM d
+      UNION ALL SELECT 'agreement', 'all', 'percentage_agreement', round(avg((y = q)::INT), 6) FROM d
+      UNION ALL SELECT 'calibration', 'all', 'ece', round(ece, 6) FROM cal
+      UNION ALL SELECT 'calibration', 'all', 'mce', round(mce, 6) FROM cal
+      UNION ALL SELECT 'calibration', 'all', 'reliability', round(rel, 6) FROM cal
+      UNION ALL SELECT 'calibration', 'all', 'resolution', round(res, 6) FROM cal
+      UNION ALL SELECT 'calibration', 'all', 'brier_score', round(avg((p - y) ** 2), 6) FROM bs
+      UNION ALL SELECT 'fairness', grp, 'accuracy', round(avg((y = q)::INT), 6) FROM d GROUP BY grp
+      UNION ALL SELECT 'fairness', grp, 'sample_size', count(*)::DOUBLE FROM d GROUP BY grp
+      UNION ALL SELECT 'trust_prediction', 'all', 'roc_auc', round(a, 6) FROM auc""",
+)
+def comprehensive_metrics_scores(spark, d):
+    """All metric groups from one table of scores; the score also stands in as the trust score."""
+    rows = inputs.binary_scores(spark, d).select(
+        "p", "y", (F.col("p") >= 0.5).cast("int").alias("q"), F.array("grp").alias("groups")
+    )
+    out = ag.comprehensive_metrics(rows, "y", "q", "p", "groups", "y", "p").select("section", "group", "metric", r6("value"))
+    shown = F.col("metric").isin("accuracy", "percentage_agreement", "sample_size", "roc_auc") | (F.col("section") == "calibration")
+    return out.filter(shown & ~((F.col("section") == "agreement") & (F.col("metric") == "accuracy")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import curves as cv, trust as tr
 from ..sources.shared import shared_dir
 from . import inputs
-from .oracle_parts import PRICES, SCORES, SUPERVISED, parsed
+from .oracle_parts import PRICES, RANK_AUC, SCORES, SUPERVISED, parsed
 from .q_text import _BASE
 from .registry import query, r6
 
@@ -104,13 +104,7 @@ def best_f1_threshold(spark, d):
     return b.select("threshold", r6("f1_score"))
 
 
-# Mann-Whitney form: mean rank of the positives.
-_AUC = """auc AS (SELECT (sum(mid) FILTER (WHERE y = 1) - count(*) FILTER (WHERE y = 1) * (count(*) FILTER (WHERE y = 1) + 1) / 2.0::DOUBLE)
-   / (count(*) FILTER (WHERE y = 1)::DOUBLE * count(*) FILTER (WHERE y = 0)) AS a
-   FROM (SELECT y, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0::DOUBLE AS mid FROM ps) r)"""
-
-
-@query("roc_auc", f"WITH {PRICES}, {_AUC} SELECT round(a, 6) AS roc_auc FROM auc")
+@query("roc_auc", f"WITH {PRICES}, {RANK_AUC} SELECT round(a, 6) AS roc_auc FROM auc")
 def roc_auc(spark, d):
     return cv.roc_auc(inputs.price_scores(spark, d), "score", F.col("y") == 1).select(r6("roc_auc"))
 
@@ -135,7 +129,7 @@ def precision_at_recall(spark, d):
 
 @query(
     "trust_prediction_metrics",
-    f"""WITH {PRICES}, {_AUC}, {_AP} SELECT round(any_value(auc.a), 6) AS roc_auc, round(any_value(ap.a), 6) AS pr_auc,
+    f"""WITH {PRICES}, {RANK_AUC}, {_AP} SELECT round(any_value(auc.a), 6) AS roc_auc, round(any_value(ap.a), 6) AS pr_auc,
       round(max(prec) FILTER (WHERE rec >= 0.9), 6) AS precision_at_90_recall, round(max(prec) FILTER (WHERE rec >= 0.95), 6) AS precision_at_95_recall,
       round(max({_F1}), 6) AS f1_score FROM curve, auc, ap""",
 )
@@ -146,7 +140,7 @@ def trust_prediction_metrics(spark, d):
 
 @query(
     "trust_eval",
-    f"""WITH {PRICES}, {_AUC}, t AS (SELECT count(*) AS n, count(*) FILTER (WHERE score >= 0.5 AND y = 1)::DOUBLE AS tp,
+    f"""WITH {PRICES}, {RANK_AUC}, t AS (SELECT count(*) AS n, count(*) FILTER (WHERE score >= 0.5 AND y = 1)::DOUBLE AS tp,
         count(*) FILTER (WHERE score >= 0.5) AS acc, sum(y)::DOUBLE AS pos, avg(((score >= 0.5)::INT = y)::INT) AS a FROM ps)
       SELECT n, round(t.a, 6) AS accuracy, round(tp / acc, 6) AS precision, round(tp / pos, 6) AS recall, round(2 * tp / (acc + pos), 6) AS f1_score,
         round(auc.a, 6) AS auc FROM t, auc""",
