@@ -5,8 +5,9 @@ import pytest
 
 import __spark_entry__ as entry
 import check
+from labelquality.plans import catalog
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = catalog.queries(), catalog.oracles()
 SLOW = {"train_trust_forest", "train_trust_boosting"}  # their learners are covered in test_trust
 
 
