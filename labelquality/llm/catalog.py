@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, language, mixing, sharding, simhash
+from . import bpe, language, mixing, quality, sharding, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,12 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.judge(docs, model).select("doc_id", *quality.COUNTS, "base_failed", "kept", "chance")
+
+
 def vocabulary() -> str:
     """Path of the public byte-level vocabulary."""
     import public_tokenizers
@@ -45,7 +51,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op3_mixing, op7_bpe, op8_language, op9_simhash, op10_sharding)}
+    return {q.__name__: q for q in (op3_mixing, op4_quality, op7_bpe, op8_language, op9_simhash, op10_sharding)}
 
 
 def oracles() -> dict[str, str]:
