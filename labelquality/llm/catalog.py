@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, language, mixing, quality, sharding, simhash
+from . import bpe, embeddings, language, mixing, quality, sharding, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, model).select("doc_id", *quality.COUNTS, "base_failed", "kept", "chance")
 
 
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def vocabulary() -> str:
     """Path of the public byte-level vocabulary."""
     import public_tokenizers
@@ -51,7 +55,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op3_mixing, op4_quality, op7_bpe, op8_language, op9_simhash, op10_sharding)}
+    return {q.__name__: q for q in (op3_mixing, op4_quality, op5_embeddings, op7_bpe, op8_language, op9_simhash, op10_sharding)}
 
 
 def oracles() -> dict[str, str]:
