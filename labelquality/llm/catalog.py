@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, embeddings, language, mixing, quality, sharding, simhash
+from . import bpe, embeddings, language, mixing, phrases, quality, sharding, simhash, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(_documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source")
 
@@ -29,6 +33,10 @@ def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op6_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.remove_repeats(_documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def vocabulary() -> str:
     """Path of the public byte-level vocabulary."""
     import public_tokenizers
@@ -55,7 +63,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op3_mixing, op4_quality, op5_embeddings, op7_bpe, op8_language, op9_simhash, op10_sharding)}
+    return {q.__name__: q for q in (op1_suffixes, op3_mixing, op4_quality, op5_embeddings, op6_phrases, op7_bpe, op8_language, op9_simhash, op10_sharding)}
 
 
 def oracles() -> dict[str, str]:
