@@ -202,9 +202,11 @@ def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids", out_col: s
     return encoded.mapInArrow(run, schema)
 
 
-def digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of the encoded and again decoded texts."""
+def digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of the encoded and again decoded texts, and the ids if asked for."""
     counted = encode(docs, vocabulary, id_col, text_col).select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "ids"
     )
-    return decode(counted, vocabulary).select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+    kept = counted.withColumn("kept_ids", F.col("ids")) if keep_ids else counted
+    back = decode(kept, vocabulary).withColumn("decoded_sha256", F.sha2("text", 256)).drop("text")
+    return back.withColumnRenamed("kept_ids", "ids")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, embeddings, language, mixing, phrases, quality, sharding, simhash, suffixes
+from . import bpe, embeddings, language, mixing, phrases, quality, scoring, sharding, simhash, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,10 @@ def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(_documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op2_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score(_documents(spark, sf_dir), vocabulary())
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source")
 
@@ -62,8 +66,15 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_suffixes, op3_mixing, op4_quality, op5_embeddings, op6_phrases, op7_bpe, op8_language, op9_simhash, op10_sharding)}
+    numbered = (op1_suffixes, op2_scoring, op3_mixing, op4_quality, op5_embeddings, op6_phrases, op7_bpe, op8_language, op9_simhash, op10_sharding)
+    return {q.__name__: q for q in (*numbered, pipeline)}
 
 
 def oracles() -> dict[str, str]:

@@ -198,3 +198,13 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """(doc_id, held_out, lang_pred, score): learn from the rows that are not held out, predict for all."""
     model = learn(docs.filter(~held_out(F.col(id_col))), id_col, text_col, lang_col)
     return predict(docs, model, id_col, text_col).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` whose text has a language; all columns. Rejected are the texts that ``predict`` calls und."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, text_col):
+            yield part.filter(pa.array([bool(model.languages) and has_letter(t) for t in raw(part.column(text_col))], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

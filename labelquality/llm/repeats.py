@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..sources.shared import stored
 from .texts import flat, mix, raw, slices, table
@@ -131,10 +131,14 @@ class Windows:
         return np.searchsorted(at, first, "right") - 1, first, np.diff(np.append(new, len(start))), grams[place[new]]
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, k1, k2, text): two 64-bit hashes name a text; null counts as empty."""
+def keyed_columns(id_col: str, text_col: str) -> list[Column]:
+    """doc_id, k1, k2, text: two 64-bit hashes name a text; null counts as empty."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"), text.alias("text"))
+    return [F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"), text.alias("text")]
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(*keyed_columns(id_col, text_col))
 
 
 def _packed(rows: DataFrame) -> DataFrame:

@@ -120,27 +120,36 @@ def _cut(keep_text: bool):
                 kept.append(text[at:s])
                 at = e
             left = b"".join([*kept, text[at:]])
-            out.append((len(text), len(text) - len(left), len(ranges), hashlib.sha256(left).hexdigest(), left if keep_text else None))
+            out.append((len(text), len(text) - len(left), len(ranges), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore") if keep_text else None))
         return table(["k1", "k2", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"], rest.column("k1"), rest.column("k2"), *(pa.array(c, t) for c, t in zip(zip(*out), _TYPES)))
 
     return run
 
 
-_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_BYTES, keep_text: bool = False) -> DataFrame:
-    """(doc_id, k1, k2, n_bytes, n_removed, n_spans, kept_sha256, kept) for every row of ``docs``.
+def cut_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_BYTES, keep_text: bool = True) -> DataFrame:
+    """(k1, k2, n_bytes, n_removed, n_spans, kept_sha256, kept) for every different text, named by ``repeats.keyed``.
 
-    Removes every byte covered by a string of ``least`` bytes that also starts anywhere else in the corpus, in the
-    same document too. ``kept`` holds the bytes that are left if ``keep_text`` is set (a cut may fall inside a
-    character), else null; k1 and k2 name the text. Null texts are empty, rows may repeat and then repeat one
-    another's text, doc_ids may be null, an empty table gives an empty result.
+    ``kept_sha256`` is of the bytes that are left; ``kept`` is their text, without the rest of a character that a cut
+    went through, or null unless ``keep_text``.
     """
     rows = repeats.keyed(docs, id_col, text_col)
     windows = repeats.Windows(least, min(GRAM, least // 4 + 1))
     found = repeats.spans(rows, windows, match(least)).groupBy(*repeats.KEY).agg(F.collect_list(F.struct("start", "end")).alias("s"))
     found = found.select(*repeats.KEY, F.col("s.start").alias("starts"), F.col("s.end").alias("ends"))
-    schema = "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    cut = repeats.with_texts(rows, found, "left", _cut(keep_text), schema)
-    return rows.select("doc_id", *repeats.KEY).join(cut, repeats.KEY).select("doc_id", *cut.columns)
+    schema = "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
+    return repeats.with_texts(rows, found, "left", _cut(keep_text), schema)
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_BYTES, keep_text: bool = False) -> DataFrame:
+    """(doc_id, k1, k2, n_bytes, n_removed, n_spans, kept_sha256, kept) for every row of ``docs``.
+
+    Removes every byte covered by a string of ``least`` bytes that also starts anywhere else in the corpus, in the
+    same document too. Null texts are empty, repeated rows are one another's copies, doc_ids may be null, an empty
+    table gives an empty result. See ``cut_texts`` for the columns.
+    """
+    cut = cut_texts(docs, id_col, text_col, least, keep_text)
+    rows = repeats.keyed(docs, id_col, text_col).select("doc_id", *repeats.KEY)
+    return rows.join(cut, repeats.KEY).select("doc_id", *cut.columns)
