@@ -28,7 +28,8 @@ from ..sources.shared import stored
 from .texts import flat, mix, raw, slices, table
 
 CROWD = 4096  # different stretches of one anchor that meet in one place
-GROUP_BYTES = 1 << 20  # of stretches that are matched together
+GROUP_BYTES = 1 << 18  # of stretches that are matched together; arrays of that many numbers stay in the cache
+SLICE = 1 << 18  # bytes of texts that are hashed together
 CHUNK = 1 << 20  # units of one text that are hashed together
 KEY = ["k1", "k2"]
 
@@ -175,7 +176,7 @@ def with_texts(rows: DataFrame, more: DataFrame, how: str, fn: Callable[[list[by
                     take.append(k)
                     total += sizes[k]
                 last = key
-                if take and (total >= 1 << 20 or k == len(sizes) - 1):
+                if take and (total >= SLICE or k == len(sizes) - 1):
                     part = batch.take(pa.array(take))
                     packed = zip(part.column("packed").to_pylist(), part.column("size").to_pylist())
                     yield fn([pa.decompress(p, decompressed_size=n, codec="zstd", asbytes=True) if n else b"" for p, n in packed], part.select(extra))
@@ -186,7 +187,7 @@ def with_texts(rows: DataFrame, more: DataFrame, how: str, fn: Callable[[list[by
 
 def _anchors(windows: Windows):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, limit=SLICE):
             parts = [windows.normal(t) for t in raw(part.column("text"))]
             _, codes, _, _, at = windows.units(parts)
             text, _, _, anchor = windows.stretches(codes, at)

@@ -1,9 +1,10 @@
 """Removal of repeated byte strings, found on a Burrows-Wheeler transform by threshold-bounded interval expansion.
 
-The intervals of all strings of length 1 are extended to the left level by level. An extended interval whose right
-end has no common-prefix value yet gives it one, the length of the string before; so values come in increasing
-order, and the work is one interval for each value. The expansion stops at the minimum length: ends without a
-value then are those between suffixes that share that many bytes or more.
+Intervals of strings are extended to the left level by level. An extended interval whose right end has no
+common-prefix value yet gives it one, the length of the string before; so values come in increasing order, and the
+work is one interval for each value. Values below the few symbols that the suffix sort packs into its first keys are
+read off these keys, and the expansion starts with the intervals of that length. It stops at the minimum length:
+ends without a value then are those between suffixes that share that many bytes or more.
 """
 
 from __future__ import annotations
@@ -21,55 +22,97 @@ MIN_BYTES = 400
 GRAM = 100
 
 
-def suffix_order(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array and its inverse by prefix doubling, from four symbols on. The last symbol must be unique."""
-    n, base = len(symbols), int(symbols.max()) + 2
-    key, s = np.zeros(n, np.int64), symbols.astype(np.int64) + 1
-    for k in range(4):
+def packed_prefixes(symbols: np.ndarray, ends: int) -> tuple[np.ndarray, int]:
+    """Keys that order suffixes by their first symbols, as many as fit into 63 bits, and how many that is.
+
+    Symbols from ``ends`` on are renumbered first. A prefix is cut at the first end mark, and the mark decides then.
+    """
+    n = len(symbols)
+    used = np.unique(symbols[symbols >= ends])
+    base = len(used) + 1
+    s = np.where(symbols < ends, 0, np.searchsorted(used, symbols) + 1).astype(np.int64)
+    width = min(n, max(1, int((62 - np.log2(ends + 2)) / np.log2(max(base, 2)))))
+    key, going, mark = np.zeros(n, np.int64), np.ones(n, bool), np.zeros(n, np.int64)
+    for k in range(width):
         key *= base
-        key[: n - k] += s[k:]
-    step = 4
-    while True:
-        order = np.argsort(key)
-        ranked = key[order]
-        new = np.concatenate(([False], ranked[1:] != ranked[:-1]))
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new)
-        if new[1:].all():
-            return order, rank
-        key = rank * (n + 1)
-        key[: max(n - step, 0)] += rank[step:] + 1
+        here = np.zeros(n, np.int64)
+        here[: n - k] = s[k:]
+        stops = going & (here == 0)
+        at = np.flatnonzero(stops[: max(n - k, 0)])
+        mark[at] = symbols[at + k] + 1
+        going &= here > 0
+        key += np.where(going, here, 0)
+    return key * (ends + 1) + mark, width
+
+
+def suffix_order(symbols: np.ndarray, ends: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Suffix array, its inverse, the sorted packed prefixes and their width.
+
+    After sorting by packed prefixes only the places that are still tied are sorted again, by the rank of what
+    follows, over doubled distances. Symbols below ``ends`` occur once, the last one of them at the end.
+    """
+    key, step = packed_prefixes(symbols, ends)
+    n, width = len(symbols), step
+    order = np.argsort(key)
+    prefix = key[order]
+    new = np.concatenate(([True], prefix[1:] != prefix[:-1]))
+    first = np.flatnonzero(new)
+    rank = np.empty(n, np.int64)
+    rank[order] = np.repeat(first, np.diff(np.append(first, n)))
+    tied = np.flatnonzero(~(new & np.append(new[1:], True)))
+    while len(tied):
+        suffix = order[tied]
+        follow = suffix + step
+        key = rank[suffix] * (n + 1) + np.where(follow < n, rank[np.minimum(follow, n - 1)] + 1, 0)
+        by = np.argsort(key)
+        suffix, key = suffix[by], key[by]
+        order[tied] = suffix
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        first = np.flatnonzero(new)
+        rank[suffix] = np.repeat(tied[first], np.diff(np.append(first, len(tied))))
+        tied = tied[~(new & np.append(new[1:], True))]
         step *= 2
+    return order, rank, prefix, width
 
 
 def long_matches(symbols: np.ndarray, ends: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Suffix array, its inverse, and for each place in it whether the suffix shares ``least`` symbols with the one before.
 
-    Symbols below ``ends`` occur once and end a part; no match goes across them.
+    Symbols below ``ends`` occur once and end a part; no match goes across them. The expansion starts from the
+    intervals of all strings of the packed width (or of ``least``), whose borders the packed prefixes show.
     """
-    order, rank = suffix_order(symbols)
+    order, rank, prefix, width = suffix_order(symbols, ends)
     n = len(symbols)
+    if width > least:  # shorter strings: fewer symbols of the packed prefixes count
+        same = np.zeros(n, bool)
+        common = np.ones(n - 1, bool)
+        for k in range(least):
+            a, b = order[:-1] + k, order[1:] + k
+            good = (a < n) & (b < n)
+            x, y = symbols[np.minimum(a, n - 1)], symbols[np.minimum(b, n - 1)]
+            common &= good & (x == y) & (x >= ends)
+        same[1:] = common
+        return order, rank, same
     before = symbols[order - 1]  # the transform
     back = rank[order - 1]  # where the suffix that is one symbol longer stands
     inside = before >= ends
-    open_ = np.ones(n + 1, bool)
-    counts = np.bincount(symbols)
-    borders = np.concatenate(([0], np.cumsum(counts)))
-    left, right = borders[:-1][counts > 0], borders[1:][counts > 0]
-    open_[[0, n]] = False
-    open_[right] = False
-    for _ in range(1, least):
+    open_ = np.zeros(n + 1, bool)
+    open_[1:n] = prefix[1:] == prefix[:-1]
+    left = np.flatnonzero(~open_[:n])
+    right = np.append(left[1:], n)
+    top = int(symbols.max()) + 1
+    for _ in range(width, least):
         one = right - left == 1
         at = left[one]
         at = at[inside[at]]
         lefts, rights = [back[at]], [back[at] + 1]
-        wide, width = left[~one], (right - left)[~one]
+        wide, span = left[~one], (right - left)[~one]
         if len(wide):
-            which = np.repeat(np.arange(len(wide)), width)
-            place = np.arange(len(which)) - np.repeat(np.cumsum(width) - width, width) + wide[which]
+            which = np.repeat(np.arange(len(wide)), span)
+            place = np.arange(len(which)) - np.repeat(np.cumsum(span) - span, span) + wide[which]
             keep = inside[place]
             which, place = which[keep], place[keep]
-            key = which * (int(symbols.max()) + 1) + before[place]
+            key = which * top + before[place]
             by = np.argsort(key, kind="stable")
             key, place = key[by], place[by]
             new = np.flatnonzero(np.concatenate((np.ones(min(len(key), 1), bool), key[1:] != key[:-1])))
