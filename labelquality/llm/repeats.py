@@ -7,8 +7,9 @@ share theirs. A stretch is a maximal row of windows with one anchor. The steps:
 1. Every text gives its anchors. Anchors that occur once cannot hold a repeated window and drop out.
 2. Texts that have other anchors give their stretches, routed by anchor: an anchor's shard holds all windows that
    can be equal to one another. Equal stretches of a task are sent once.
-3. A matcher finds, in each shard, which windows occur where. Anchors with more than CROWD different stretches
-   are split instead by the digest of each window, which needs no common place.
+3. A matcher finds, in each shard, which windows occur where. Of anchors with more than BUSY rows only the
+   different stretches travel, added up. Anchors with more than CROWD different stretches are split instead by the
+   digest of each window, which needs no common place.
 4. Runs of repeated windows go back to their texts.
 
 Equal texts are folded from the start: they are one text with a number of rows and a smallest doc_id.
@@ -28,6 +29,7 @@ from ..sources.shared import stored
 from .texts import flat, mix, raw, slices, table
 
 CROWD = 4096  # different stretches of one anchor that meet in one place
+BUSY = 2000  # rows of one anchor that travel to its shard; of more, only the different stretches do
 GROUP_BYTES = 1 << 18  # of stretches that are matched together; arrays of that many numbers stay in the cache
 SLICE = 1 << 18  # bytes of texts that are hashed together
 CHUNK = 1 << 20  # units of one text that are hashed together
@@ -323,18 +325,35 @@ def _window_digests(windows: Windows):
     return run
 
 
-def _crowded_spans(found: DataFrame, crowded: DataFrame, windows: Windows) -> DataFrame:
+_PLACE = ["h", "d1", "d2"]
+
+
+def _kinds(found: DataFrame) -> DataFrame:
+    """The different stretches with all their rows added up, in tasks first."""
+    return found.groupBy(*_PLACE).agg(F.sum("rows").alias("rows"), F.min("first").alias("first"), F.max("windows").alias("windows"), F.max("stretch").alias("stretch"))
+
+
+def _members(found: DataFrame, hits: DataFrame) -> DataFrame:
+    """Spans of the texts from those of their stretches: (d1, d2, start, end, first)."""
+    mine = found.select("d1", "d2", "k1", "k2", F.col("start").alias("at"), F.col("first").alias("own"))
+    both = mine.join(hits, ["d1", "d2"])
+    return both.select("k1", "k2", (F.col("at") + F.col("start")).alias("start"), (F.col("at") + F.col("end")).alias("end"), "first", "own")
+
+
+def _busy_spans(found: DataFrame, matcher: Matcher, windows: Windows) -> DataFrame:
+    """Spans of anchors with many rows: their different stretches are matched, and the result joins the rows."""
+    each = _kinds(found).select(*_PLACE, F.col("d1").alias("k1"), F.col("d2").alias("k2"), "rows", "first", F.lit(0).cast("long").alias("start"), "windows", "stretch")
+    hits = each.repartition("h").sortWithinPartitions(*_PLACE).mapInArrow(_match(matcher, windows.size), _SPANS)
+    return _members(found, hits.select(F.col("k1").alias("d1"), F.col("k2").alias("d2"), "start", "end", "first"))
+
+
+def _crowded_spans(found: DataFrame, windows: Windows) -> DataFrame:
     """Spans of anchors with too many stretches for one place: windows are counted by digest, all over the cluster."""
-    mine = found.join(crowded, "h", "left_semi")
-    place = ["h", "d1", "d2"]
-    kinds = mine.groupBy(*place).agg(F.sum("rows").alias("rows"), F.min("first").alias("first"), F.max("stretch").alias("stretch"))
     schema = "w1 long, w2 long, h long, d1 long, d2 long, offset long, rows long, first long"
-    each = stored(kinds.mapInArrow(_window_digests(windows), schema), "windows")
+    each = stored(_kinds(found).mapInArrow(_window_digests(windows), schema), "windows")
     twice = each.groupBy("w1", "w2").agg(F.sum("rows").alias("total"), F.min("first").alias("least")).filter("total > 1")
-    hits = each.join(twice, ["w1", "w2"]).select(*place, "offset", "least")
-    members = mine.select(*place, "k1", "k2", "start", F.col("first").alias("own"))
-    spans = members.join(hits, place).select("k1", "k2", (F.col("start") + F.col("offset")).alias("start"), "least", "own")
-    return spans.select("k1", "k2", "start", (F.col("start") + windows.size).alias("end"), F.col("least").alias("first"), "own")
+    hits = each.join(twice, ["w1", "w2"]).select("d1", "d2", F.col("offset").alias("start"), (F.col("offset") + windows.size).alias("end"), F.col("least").alias("first"))
+    return _members(found, hits)
 
 
 def spans(rows: DataFrame, windows: Windows, matcher: Matcher) -> DataFrame:
@@ -349,9 +368,11 @@ def spans(rows: DataFrame, windows: Windows, matcher: Matcher) -> DataFrame:
     copies = rows.groupBy(*KEY).agg(F.count("*").alias("rows"), F.coalesce(F.min("doc_id"), F.lit(int(NO_DOC))).alias("first"))
     wanted = wanted.join(copies, KEY)
     found = stored(with_texts(rows, wanted, "inner", _stretches(windows), _FOUND), "stretches")
-    crowded = stored(found.select("h", "d1", "d2").distinct().groupBy("h").count().filter(F.col("count") > CROWD).select("h"), "crowded")
-    quiet = found.join(crowded, "h", "left_anti").repartition("h").sortWithinPartitions("h", "d1", "d2")
-    return quiet.mapInArrow(_match(matcher, windows.size), _SPANS).union(_crowded_spans(found, crowded, windows))
+    load = found.groupBy(*_PLACE).agg(F.count("*").alias("n")).groupBy("h").agg(F.count("*").alias("kinds"), F.sum("n").alias("n"))
+    load = stored(load.filter((F.col("kinds") > CROWD) | (F.col("n") > BUSY)), "load")
+    quiet = found.join(load, "h", "left_anti").repartition("h").sortWithinPartitions(*_PLACE)
+    busy, crowded = (found.join(load.filter(f"kinds {op} {CROWD}"), "h", "left_semi") for op in ("<=", ">"))
+    return quiet.mapInArrow(_match(matcher, windows.size), _SPANS).union(_busy_spans(busy, matcher, windows)).union(_crowded_spans(crowded, windows))
 
 
 def covered(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:

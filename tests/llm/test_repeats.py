@@ -85,10 +85,11 @@ def random_rows(seed, n=60):
     return rows
 
 
-@pytest.mark.parametrize("crowd", [4096, 2])
-def test_random_texts(spark, make_docs, monkeypatch, crowd):
-    """Also when almost every anchor is split, in small groups."""
+@pytest.mark.parametrize("crowd, busy", [(4096, 2000), (2, 2000), (4, 5)])
+def test_random_texts(spark, make_docs, monkeypatch, crowd, busy):
+    """Also when almost every anchor is split or busy, in small groups."""
     monkeypatch.setattr(repeats, "CROWD", crowd)
+    monkeypatch.setattr(repeats, "BUSY", busy)
     monkeypatch.setattr(repeats, "GROUP_BYTES", 4096 if crowd > 2 else 1 << 20)
     monkeypatch.setattr(phrases, "SHARD", 50)
     rows = random_rows(crowd)
