@@ -60,15 +60,15 @@ def match(size: int) -> repeats.Matcher:
 def _cut(size: int):
     def run(texts: list[bytes], rest: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        for text, starts, ends in zip(texts, rest.column("starts").to_pylist(), rest.column("ends").to_pylist()):
-            words, at, kept = text.split(), 0, []
-            for s, e in repeats.covered(starts or [], ends or []):
+        for text, found in zip(texts, rest.column("spans").to_pylist()):
+            words, at, kept, ranges = text.split(), 0, [], repeats.covered(found)
+            for s, e in ranges:
                 kept += words[at:s]
                 at = e
             kept += words[at:]
-            out.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
-        columns = zip(zip(*out), (pa.int64(), pa.int64(), pa.string()))
-        return table(["k1", "k2", "n_words", "n_removed", "kept_sha256", "starts", "ends"], rest.column("k1"), rest.column("k2"), *(pa.array(c, t) for c, t in columns), rest.column("starts"), rest.column("ends"))
+            out.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), [s for s, _ in ranges], [e for _, e in ranges]))
+        columns = zip(zip(*out), (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())))
+        return table(["k1", "k2", "n_words", "n_removed", "kept_sha256", "starts", "ends"], rest.column("k1"), rest.column("k2"), *(pa.array(c, t) for c, t in columns))
 
     return run
 
@@ -77,14 +77,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(doc_id, n_words, n_removed, kept_sha256, starts, ends) for every row of ``docs``.
 
     Removes every word covered by a window of ``size`` words whose sequence also starts in a document with a smaller
-    doc_id. ``starts`` and ``ends`` list the removed word ranges, which may overlap. Null texts have no words. Rows
+    doc_id. ``starts`` and ``ends`` list the removed word ranges. Null texts have no words. Rows
     without a doc_id come after all others and are equal among themselves, as are rows that repeat a doc_id. An
     empty table gives an empty result.
     """
     rows = repeats.keyed(docs, id_col, text_col)
     found = repeats.spans(rows, repeats.Windows(size, min(GRAM, size // 4 + 1), words=True), match(size)).filter("first < own")
-    found = found.groupBy(*repeats.KEY).agg(F.collect_list(F.struct("start", "end")).alias("s"))
-    found = found.select(*repeats.KEY, F.col("s.start").alias("starts"), F.col("s.end").alias("ends"))
+    found = repeats.by_text(found)
     schema = "k1 long, k2 long, n_words long, n_removed long, kept_sha256 string, starts array<long>, ends array<long>"
     cut = repeats.with_texts(rows, found, "left", _cut(size), schema)
     own = rows.groupBy(*repeats.KEY).agg(F.min("doc_id").alias("own"))

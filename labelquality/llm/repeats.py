@@ -203,7 +203,7 @@ def _anchors(windows: Windows):
     return run
 
 
-_FOUND = "h long, d1 long, d2 long, k1 long, k2 long, rows long, first long, start long, windows int, stretch binary"
+_FOUND = "h long, d1 long, d2 long, k1 long, k2 long, rows long, first long, starts array<long>, windows int, stretch binary"
 
 
 def _stretches(windows: Windows):
@@ -219,14 +219,22 @@ def _stretches(windows: Windows):
         body = data.tobytes()
         cut = [body[s:e] for s, e in zip(starts[first].tolist(), ends[first + count + windows.size - 2].tolist())] if len(first) else []
         digest = np.frombuffer(b"".join(hashlib.blake2b(c, digest_size=16).digest() for c in cut), np.int64).reshape(-1, 2)
+        # equal stretches of one text are one row: a text that repeats itself gives few of them
+        order = np.lexsort((first, digest[:, 1], digest[:, 0], text))
+        text, first, count, anchor, digest = text[order], first[order], count[order], anchor[order], digest[order]
+        differs = (text[1:] != text[:-1]) | (digest[1:] != digest[:-1]).any(axis=1)
+        new = np.flatnonzero(np.concatenate((np.ones(min(1, len(text)), bool), differs)))
+        starts_of = pa.ListArray.from_arrays(pa.array(np.append(new, len(text)), pa.int32()), pa.array(first - at[text], pa.int64()))
         seen: set[bytes] = set()
-        sent = [c if not (d in seen or seen.add(d)) else None for c, d in zip(cut, (x.tobytes() for x in digest))]
+        sent = [cut[k] if not (d in seen or seen.add(d)) else None for k, d in zip(order[new].tolist(), (x.tobytes() for x in digest[new]))]
+        times = np.diff(np.append(new, len(text)))
+        text, count, anchor, digest = text[new], count[new], anchor[new], digest[new]
         take = pa.array(text)
         pick = lambda c: rest.column(c).take(take)
         return table(
-            ["h", "d1", "d2", "k1", "k2", "rows", "first", "start", "windows", "stretch"],
-            anchor.view(np.int64), digest[:, 0], digest[:, 1], pick("k1"), pick("k2"), pick("rows"), pick("first"),
-            first - at[text], count.astype(np.int32), pa.array(sent, pa.binary()),
+            ["h", "d1", "d2", "k1", "k2", "rows", "first", "starts", "windows", "stretch"],
+            anchor.view(np.int64), digest[:, 0], digest[:, 1], pick("k1"), pick("k2"), pick("rows").to_numpy() * times, pick("first"),
+            starts_of, count.astype(np.int32), pa.array(sent, pa.binary()),
         )
 
     return run
@@ -237,7 +245,8 @@ def _stretches(windows: Windows):
 Matcher = Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 NO_DOC = np.iinfo(np.int64).max
-_SPANS = "k1 long, k2 long, start long, end long, first long, own long"
+#: For each of ``starts``, the units from start + low to start + high of a text are covered.
+_SPANS = "k1 long, k2 long, starts array<long>, low long, high long, first long, own long"
 
 
 def _runs(total: np.ndarray, first: np.ndarray, border: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -276,7 +285,7 @@ def _match(matcher: Matcher, size: int):
             ids = np.stack([whole.column(c).to_numpy() for c in ("h", "d1", "d2")])
             new = np.flatnonzero(np.concatenate(([True], (ids[:, 1:] != ids[:, :-1]).any(axis=0))))
             kind = np.repeat(np.arange(len(new)), np.diff(np.append(new, ids.shape[1])))
-            rows, first, start, count = (whole.column(c).to_numpy() for c in ("rows", "first", "start", "windows"))
+            rows, first, count = (whole.column(c).to_numpy() for c in ("rows", "first", "windows"))
             bodies: list[bytes] = [b""] * len(new)
             for k, body in zip(kind.tolist(), whole.column("stretch").to_pylist()):
                 if body is not None:
@@ -293,12 +302,12 @@ def _match(matcher: Matcher, size: int):
             member = np.repeat(np.arange(len(kind)), runs_of[kind])
             inner = np.arange(len(member)) - np.repeat(np.concatenate(([0], np.cumsum(runs_of[kind])))[:-1], runs_of[kind])
             r = at[kind[member]] + inner
-            base = start[member] - begin[kind[member]]
+            base = begin[kind[member]]
             take = pa.array(member)
+            pick = lambda c: whole.column(c).combine_chunks().take(take)
             yield table(
-                ["k1", "k2", "start", "end", "first", "own"],
-                whole.column("k1").combine_chunks().take(take), whole.column("k2").combine_chunks().take(take),
-                low[r] + base, high[r] + base + size, least[low[r]], first[member],
+                ["k1", "k2", "starts", "low", "high", "first", "own"],
+                pick("k1"), pick("k2"), pick("starts"), low[r] - base, high[r] - base + size, least[low[r]], first[member],
             )
 
     return run
@@ -334,17 +343,16 @@ def _kinds(found: DataFrame) -> DataFrame:
 
 
 def _members(found: DataFrame, hits: DataFrame) -> DataFrame:
-    """Spans of the texts from those of their stretches: (d1, d2, start, end, first)."""
-    mine = found.select("d1", "d2", "k1", "k2", F.col("start").alias("at"), F.col("first").alias("own"))
-    both = mine.join(hits, ["d1", "d2"])
-    return both.select("k1", "k2", (F.col("at") + F.col("start")).alias("start"), (F.col("at") + F.col("end")).alias("end"), "first", "own")
+    """Spans of the texts from those of their stretches: (d1, d2, low, high, first)."""
+    mine = found.select("d1", "d2", "k1", "k2", "starts", F.col("first").alias("own"))
+    return mine.join(hits, ["d1", "d2"]).select("k1", "k2", "starts", "low", "high", "first", "own")
 
 
 def _busy_spans(found: DataFrame, matcher: Matcher, windows: Windows) -> DataFrame:
     """Spans of anchors with many rows: their different stretches are matched, and the result joins the rows."""
-    each = _kinds(found).select(*_PLACE, F.col("d1").alias("k1"), F.col("d2").alias("k2"), "rows", "first", F.lit(0).cast("long").alias("start"), "windows", "stretch")
+    each = _kinds(found).select(*_PLACE, F.col("d1").alias("k1"), F.col("d2").alias("k2"), "rows", "first", F.array(F.lit(0).cast("long")).alias("starts"), "windows", "stretch")
     hits = each.repartition("h").sortWithinPartitions(*_PLACE).mapInArrow(_match(matcher, windows.size), _SPANS)
-    return _members(found, hits.select(F.col("k1").alias("d1"), F.col("k2").alias("d2"), "start", "end", "first"))
+    return _members(found, hits.select(F.col("k1").alias("d1"), F.col("k2").alias("d2"), "low", "high", "first"))
 
 
 def _crowded_spans(found: DataFrame, windows: Windows) -> DataFrame:
@@ -352,15 +360,16 @@ def _crowded_spans(found: DataFrame, windows: Windows) -> DataFrame:
     schema = "w1 long, w2 long, h long, d1 long, d2 long, offset long, rows long, first long"
     each = stored(_kinds(found).mapInArrow(_window_digests(windows), schema), "windows")
     twice = each.groupBy("w1", "w2").agg(F.sum("rows").alias("total"), F.min("first").alias("least")).filter("total > 1")
-    hits = each.join(twice, ["w1", "w2"]).select("d1", "d2", F.col("offset").alias("start"), (F.col("offset") + windows.size).alias("end"), F.col("least").alias("first"))
+    hits = each.join(twice, ["w1", "w2"]).select("d1", "d2", F.col("offset").alias("low"), (F.col("offset") + windows.size).alias("high"), F.col("least").alias("first"))
     return _members(found, hits)
 
 
 def spans(rows: DataFrame, windows: Windows, matcher: Matcher) -> DataFrame:
-    """(k1, k2, start, end, first, own): unit ranges of each text covered by windows that occur twice or more.
+    """(k1, k2, starts, low, high, first, own): units of each text covered by windows that occur twice or more.
 
-    ``rows`` comes from ``keyed``. ``first`` is the smallest doc_id in which each window of the range occurs, and
-    ``own`` the smallest doc_id of the text itself; rows without a doc_id count as last.
+    For each of ``starts`` these are the units from start + low to start + high. ``rows`` comes from ``keyed``.
+    ``first`` is the smallest doc_id in which each window of the range occurs, and ``own`` the smallest doc_id of the
+    text itself; rows without a doc_id count as last.
     """
     anchors = stored(rows.select("k1", "k2", "text").mapInArrow(_anchors(windows), "h long, k1 long, k2 long, times int"), "anchors")
     twice = anchors.groupBy("h").agg(F.sum("times").alias("n")).filter("n > 1").select("h")
@@ -375,10 +384,15 @@ def spans(rows: DataFrame, windows: Windows, matcher: Matcher) -> DataFrame:
     return quiet.mapInArrow(_match(matcher, windows.size), _SPANS).union(_busy_spans(busy, matcher, windows)).union(_crowded_spans(crowded, windows))
 
 
-def covered(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
-    """Ranges joined where they overlap or touch."""
+def by_text(found: DataFrame) -> DataFrame:
+    """(k1, k2, spans): what ``spans`` found, gathered per text."""
+    return found.groupBy(*KEY).agg(F.collect_list(F.struct("starts", "low", "high")).alias("spans"))
+
+
+def covered(found: list[dict] | None) -> list[tuple[int, int]]:
+    """Ranges of the spans of one text, joined where they overlap or touch."""
     out: list[list[int]] = []
-    for s, e in sorted(zip(starts, ends)):
+    for s, e in sorted((s + x["low"], s + x["high"]) for x in found or () for s in x["starts"]):
         if out and s <= out[-1][1]:
             out[-1][1] = max(out[-1][1], e)
         else:

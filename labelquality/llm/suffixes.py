@@ -13,7 +13,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from . import repeats
 from .texts import table
@@ -156,8 +156,8 @@ def match(least: int) -> repeats.Matcher:
 def _cut(keep_text: bool):
     def run(texts: list[bytes], rest: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        for text, starts, ends in zip(texts, rest.column("starts").to_pylist(), rest.column("ends").to_pylist()):
-            ranges = repeats.covered(starts or [], ends or [])
+        for text, found in zip(texts, rest.column("spans").to_pylist()):
+            ranges = repeats.covered(found)
             at, kept = 0, []
             for s, e in ranges:
                 kept.append(text[at:s])
@@ -180,8 +180,7 @@ def cut_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """
     rows = repeats.keyed(docs, id_col, text_col)
     windows = repeats.Windows(least, min(GRAM, least // 4 + 1))
-    found = repeats.spans(rows, windows, match(least)).groupBy(*repeats.KEY).agg(F.collect_list(F.struct("start", "end")).alias("s"))
-    found = found.select(*repeats.KEY, F.col("s.start").alias("starts"), F.col("s.end").alias("ends"))
+    found = repeats.by_text(repeats.spans(rows, windows, match(least)))
     schema = "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
     return repeats.with_texts(rows, found, "left", _cut(keep_text), schema)
 
