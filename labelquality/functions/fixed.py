@@ -81,7 +81,9 @@ LABEL_ALIASES = {
 
 DISPLAY_LABELS = {"not_enough_info": "NOT ENOUGH INFO"}
 
-TEXT_COLUMNS = ["text", "comment_text", "comment", "tweet_text"]
+TOXICITY_TEXT_COLUMNS = ["text", "comment_text", "comment"]
+CRISIS_TEXT_COLUMNS = ["text", "tweet_text"]
+REVIEW_TEXT_COLUMNS = ["text", "review"]
 LABEL_COLUMNS = ["label", "labels", "class_label"]
 TOXICITY_COLUMNS = ["toxic", "severe_toxic", "obscene", "threat", "insult", "identity_hate"]
 
@@ -119,17 +121,17 @@ Requirements:
 
 # --- word lists (fixed values) --------------------------------------------------------------------
 
-NEGATION_WORDS = "no not never nothing none nobody nowhere neither nor".split()
-NEGATION_CONTRACTIONS = "can't cannot won't wouldn't shouldn't couldn't".split()
-NEGATION_PREFIXES = "dis un in im ir non anti".split()
-HEDGE_MODALS = "might may could would should possibly perhaps maybe".split()
-HEDGE_DEGREES = "somewhat rather quite fairly relatively".split()
+NEGATION_WORDS = ["no", "not", "never", "nothing", "none", "nobody", "nowhere", "neither", "nor"]
+NEGATION_CONTRACTIONS = ["can't", "cannot", "won't", "wouldn't", "shouldn't", "couldn't"]
+NEGATION_PREFIXES = ["dis", "un", "in", "im", "ir", "non", "anti"]
+HEDGE_MODALS = ["might", "may", "could", "would", "should", "possibly", "perhaps", "maybe"]
+HEDGE_DEGREES = ["somewhat", "rather", "quite", "fairly", "relatively"]
 HEDGE_PHRASES = ["i think", "i believe", "i guess", "i suppose", "it seems"]
-HEDGE_LIKELIHOODS = "probably likely unlikely apparently supposedly".split()
-INTENSIFIERS_STRONG = "very extremely highly completely totally absolutely definitely".split()
-INTENSIFIERS_MILD = "so such really quite rather pretty fairly".split()
-POSITIVE_WORDS = "good great excellent amazing wonderful fantastic".split()
-NEGATIVE_WORDS = "bad terrible awful horrible disgusting hate".split()
+HEDGE_LIKELIHOODS = ["probably", "likely", "unlikely", "apparently", "supposedly"]
+INTENSIFIERS_STRONG = ["very", "extremely", "highly", "completely", "totally", "absolutely", "definitely"]
+INTENSIFIERS_MILD = ["so", "such", "really", "quite", "rather", "pretty", "fairly"]
+POSITIVE_WORDS = ["good", "great", "excellent", "amazing", "wonderful", "fantastic"]
+NEGATIVE_WORDS = ["bad", "terrible", "awful", "horrible", "disgusting", "hate"]
 
 # --- thresholds and sizes (fixed values) ----------------------------------------------------------
 

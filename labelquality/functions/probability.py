@@ -14,6 +14,11 @@ def array_sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def tempered(logits: Column, temperature: float = 1.0) -> Column:
+    """Logits divided by the temperature."""
+    return logits if temperature == 1.0 else F.transform(logits, lambda z: z / F.lit(float(temperature)))
+
+
 def softmax(logits: Column, temperature: float = 1.0) -> Column:
     """exp((z - max z) / T), normalised. The maximum, the powers and the sum are each evaluated once."""
     t = F.lit(float(temperature))

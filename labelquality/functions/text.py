@@ -1,7 +1,7 @@
 """Text feature expressions.
 
-Cue words (negations, hedges, intensifiers, negative prefixes) are whole words, so the text is cut into words
-once, the few cue words are kept, and every family is counted on that short list. Patterns that need
+Cue words (negations, hedges, intensifiers, negative prefixes) are whole words: one pattern extracts them, and every
+family is counted on that short list. Patterns that need
 look-around run only on texts that contain their fixed part. Word and sentence counts work on the text with
 single blanks, where their patterns are simple.
 
@@ -58,10 +58,19 @@ def _has_prefix(word: Column) -> Column:
     return found
 
 
+def _cue_pattern() -> str:
+    """A whole word that is a cue or begins with a negative prefix; the first letter is tested before everything else."""
+    initials = "".join(sorted({w[0] for w in [*CUES, *fixed.NEGATION_PREFIXES]}))
+    prefixed = f"(?:{'|'.join(fixed.NEGATION_PREFIXES)}){_WORD}*+"
+    return f"(?=[{initials}])(?<!{_WORD})(?:{prefixed}|(?:{'|'.join(CUES)})(?!{_WORD}))"
+
+
+CUE_PATTERN = _cue_pattern()
+
+
 def cue_words(text: Column) -> Column:
     """The cue words of a text, lower-cased, repeats included."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(f"{_WORD}+"), 0)
-    return F.filter(words, lambda w: w.isin(CUES) | _has_prefix(w))
+    return F.regexp_extract_all(F.lower(text), F.lit(CUE_PATTERN), 0)
 
 
 def count_cues(cues: Column, words: Sequence[str]) -> Column:

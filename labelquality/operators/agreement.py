@@ -250,6 +250,11 @@ def multilabel_kappa(df: DataFrame, true: str, pred: str, num_labels: int) -> Da
     return per.select("label", F.try_divide(F.col("po") - chance, F.nullif(1.0 - chance, F.lit(0.0))).alias("cohen_kappa"))
 
 
+def multilabel_kappa_mean(df: DataFrame, true: str, pred: str, num_labels: int) -> DataFrame:
+    """Mean of the kappas of all classes; a class on which kappa is not defined counts as 0."""
+    return multilabel_kappa(df, true, pred, num_labels).agg((F.coalesce(F.sum("cohen_kappa"), F.lit(0.0)) / F.lit(num_labels)).alias("cohen_kappa"))
+
+
 def label_counts(df: DataFrame, true: str, pred: str) -> DataFrame:
     """Predicted and gold counts and shares per class."""
     classes = class_counts(confusion_counts(df, true, pred))
@@ -383,3 +388,40 @@ def comprehensive_metrics(
         curve = curves.curve_metrics(df, trust_score, F.col(trust_label) == 1)
         out = out.unionByName(_long(curve, "trust_prediction", curve.columns))
     return out
+
+
+def _class_rows(df: DataFrame, true: str, pred: str, names: Sequence[str] | None) -> DataFrame:
+    """The classification report as (section, group, metric, value)."""
+    report = classification_report(df, true, pred, names)
+    return _long(report, "classes", [*METRICS, "support"], F.col("class"))
+
+
+def agreement_report(annotations: DataFrame, dataset: str, names: Sequence[str] | None = None) -> DataFrame:
+    """The whole agreement bundle of a run as (dataset, section, group, metric, value): the scalars of
+    ``agreement_metrics``, the classification report, and the cells of the confusion matrix (group gold, metric predicted)."""
+    usable = annotations.filter("is_valid AND llm_label >= 0")
+    scalars = agreement_metrics(annotations)
+    cells = confusion_matrix(usable, "gold_label", "llm_label")
+    label = lambda c: F.col(c).cast("string")
+    matrix = cells.select(F.lit("confusion").alias("section"), label("gold").alias("group"), label("pred").alias("metric"), F.col("n").cast("double").alias("value"))
+    out = _long(scalars, "agreement", scalars.columns).unionByName(_class_rows(usable, "gold_label", "llm_label", names)).unionByName(matrix)
+    return out.select(F.lit(dataset).alias("dataset"), "*")
+
+
+def supervised_report(preds: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
+    """The whole report of saved predictions as (section, group, metric, value): size, classes, averaged and per-class
+    scores, ECE, Brier score, mean entropy and confidence."""
+    from . import calibration, uncertainty
+
+    size = preds.agg(F.count("*").alias("num_samples"), F.max(F.size("probabilities")).alias("num_classes"))
+    parts = [
+        _long(size, "overall", size.columns),
+        _long(calibration.ece(preds, "probabilities", "gold_label"), "overall", ["ece"]),
+        _long(calibration.brier(preds, "probabilities", "gold_label"), "overall", ["brier_score"]),
+        _long(uncertainty.average_entropy_confidence(preds), "overall", ["average_entropy", "average_confidence"]),
+        _class_rows(preds, "gold_label", "predicted_label", names),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

@@ -70,14 +70,16 @@ def error_breakdown(annotations: DataFrame) -> DataFrame:
 
 
 def dedup_by_hash(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """One row per distinct text hash: the smallest id, and how many copies there were.
+    """One row per distinct text: its displayed hash, the smallest id, and how many copies there were.
 
-    Only ids and hashes are aggregated, map-side first, so a hot text costs one row per task.
+    Texts are told apart by the whole SHA-256; the sixteen digits of ``text_hash`` are for display. Only ids and
+    hashes are aggregated, map-side first, so a hot text costs one row per task.
     """
     return (
-        df.select(F.col(id_col).alias("id"), tx.text_hash(F.col(text_col)).alias("text_hash"))
-        .groupBy("text_hash")
+        df.select(F.col(id_col).alias("id"), F.sha2(F.col(text_col), 256).alias("sha256"))
+        .groupBy("sha256")
         .agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+        .select(F.substring("sha256", 1, fixed.HASH_PREFIX).alias("text_hash"), "sha256", "id", "copies")
     )
 
 

@@ -1,8 +1,8 @@
 """Threshold curves on scores: precision/recall, ROC area, average precision.
 
 A curve needs running totals over all distinct scores. Rows are first aggregated to one row per distinct
-score, then cut into contiguous score ranges of similar size; running sums are taken inside each range and
-shifted by the totals of the ranges above it. Only those totals (one row per range) are broadcast.
+score, and these are stored in the shared folder in ranges of similar size, as many as the rows need; running
+sums are taken inside each range and shifted by the totals of the ranges above it, which join by range.
 """
 
 from __future__ import annotations
@@ -10,43 +10,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed
-from ..functions.scalar import ratio, upper_bound_index
+from ..functions.scalar import ratio
+from ..sources.shared import stored
 
 ROWS_PER_RANGE = 250_000
-MAX_RANGES = 512
 
 
 def score_counts(df: DataFrame, score: str, positive: Column) -> DataFrame:
-    """Distinct scores with their positive and negative counts."""
-    return df.groupBy(F.col(score).alias("score")).agg(
+    """Distinct scores with their positive and negative counts. Scores that are NULL or NaN cannot be ranked and are left out."""
+    known = df.filter(F.col(score).isNotNull() & ~F.isnan(score))
+    return known.groupBy(F.col(score).alias("score")).agg(
         F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg")
     )
 
 
-def _range_limits(counts: DataFrame, rows_per_range: int) -> list[float]:
-    """Scores that cut the distinct scores into ranges of about ``rows_per_range`` rows.
+def cumulative_counts(df: DataFrame, score: str, positive: Column, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """Per distinct score: pos, neg, and tp, fp = counts at this score or above, and the totals.
 
-    Approximate quantiles are enough: the limits shape the work, not the result.
+    Aggregates and stores when called, since the ranges follow from the number of distinct scores.
     """
-    share = F.percentile_approx("score", [i / 64 for i in range(1, 64)], 2_000)
-    n, rough = counts.agg(F.count("*"), share).first()
-    ranges = min(MAX_RANGES, max(1, -(-n // rows_per_range)))
-    if ranges == 1:
-        return []
-    if ranges <= 64:
-        picked = {rough[(i * 64) // ranges - 1] for i in range(1, ranges)}
+    counts = stored(score_counts(df, score, positive), "scores")
+    ranges = max(1, -(-counts.count() // rows_per_range))
+    placed = counts
+    if ranges > 1:  # range 0 holds the highest scores
+        placed = stored(counts.repartitionByRange(ranges, F.desc("score")).withColumn("part", F.spark_partition_id()), "ranges")
     else:
-        fine = F.percentile_approx("score", [i / ranges for i in range(1, ranges)], 20 * ranges)
-        picked = set(counts.agg(fine).first()[0])
-    return sorted(picked)
-
-
-def cumulative_counts(df: DataFrame, score: str, positive: Column, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
-    """Per distinct score: pos, neg, and tp, fp = counts at this score or above, and the totals."""
-    counts = score_counts(df.filter(F.col(score).isNotNull()), score, positive)
-    limits = _range_limits(counts, rows_per_range)
-    placed = counts.withColumn("part", upper_bound_index(F.col("score"), limits))
-    above = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+        placed = counts.withColumn("part", F.lit(0))
+    above = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
     everything = Window.partitionBy()
     totals = placed.groupBy("part").agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"))
     offsets = totals.select(
@@ -60,7 +50,7 @@ def cumulative_counts(df: DataFrame, score: str, positive: Column, rows_per_rang
     return (
         placed.withColumn("tp", F.sum("pos").over(inside))
         .withColumn("fp", F.sum("neg").over(inside))
-        .join(F.broadcast(offsets), "part")  # at most MAX_RANGES rows
+        .join(offsets, "part")
         .withColumn("tp", F.col("tp") + F.col("tp_above"))
         .withColumn("fp", F.col("fp") + F.col("fp_above"))
         .drop("part", "tp_above", "fp_above")

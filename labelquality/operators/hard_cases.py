@@ -21,8 +21,8 @@ def hard_cases(
 ) -> DataFrame:
     """Valid annotations that disagree with gold or are of low confidence, with reasons.
 
-    With ``texts`` a preview is added by key. Previews are cut on the scan side, so the join moves about
-    a hundred characters per row, not the texts.
+    If the annotations carry ``text_col``, a preview is cut from it in the same narrow step. Texts in a table of
+    their own (``texts``) are first filtered to the hard ids, so only the previews of hard rows are joined.
     """
     reasons = F.array_compact(
         F.array(
@@ -32,8 +32,11 @@ def hard_cases(
     )
     hard = annotations.filter("is_valid").withColumn("reason", reasons).filter(F.size("reason") > 0)
     if texts is None:
-        return hard
-    previews = texts.select(F.col(id_col).alias("row_id"), tx.text_preview(F.col(text_col)).alias("text_preview"))
+        if text_col not in annotations.columns:
+            return hard
+        return hard.withColumn("text_preview", tx.text_preview(F.col(text_col))).drop(text_col)
+    wanted = texts.join(hard.select(F.col("row_id").alias(id_col)), id_col, "left_semi")
+    previews = wanted.select(F.col(id_col).alias("row_id"), tx.text_preview(F.col(text_col)).alias("text_preview"))
     return hard.join(previews, "row_id", "left")
 
 

@@ -5,6 +5,10 @@ stretches of that order go to the splits. The quotas turn into one cut point (ha
 split, so the output is a narrow pass over the input: the text never moves. The cut points come from two
 passes over (id, label) alone: counts per (label, hash bucket), then a ranking inside the one bucket per
 cut in which the quota falls. No pass puts a label into one task.
+
+Everything here is lazy: the cut points, one row per label, reach the rows as a scalar subquery. NULL is a label
+like any other. Ids have to be unique; a repeated id at a cut raises an error when the result is computed, because
+no exact quota exists then. More than MAX_LABELS labels raise an error as well.
 """
 
 from __future__ import annotations
@@ -15,10 +19,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed
 from ..functions.scalar import ratio
-from ..functions.statistics import chi2_sf
-from .small import bounded
+from ..functions.statistics import chi2_ln_sf, chi2_sf
 
 BUCKET_DIGITS = 4  # 65,536 hash buckets per label
+MAX_LABELS = 10_000  # a label column, not an id
+
+
+def label_key(label: Column) -> Column:
+    """A label as a string that is never NULL."""
+    return F.coalesce(F.concat(F.lit("="), label.cast("string")), F.lit(""))
 
 
 def order_hash(id_col: str, seed: int) -> Column:
@@ -48,13 +57,12 @@ def _label_counts(df: DataFrame, label_col: str) -> DataFrame:
 
 
 def _cut_points(df: DataFrame, id_col: str, label_col: str, quotas: DataFrame, splits: Sequence[str], seed: int) -> DataFrame:
-    """(label, cut_<split>...) where a cut is the (hash, id) of the last row that belongs to the split.
+    """(key, cut_<split>...) where a cut is the (hash, id) of the last row that belongs to the split.
 
-    ``quotas`` holds one row per label with a column per split. A split with no row of a label gets a
-    cut below every hash.
+    ``quotas`` holds one row per label with a column per split. A split with no row of a label gets no cut.
     """
     keyed = df.select(
-        F.col(id_col).alias("id"), F.col(label_col).alias("label"), order_hash(id_col, seed).alias("h")
+        F.col(id_col).alias("id"), label_key(F.col(label_col)).alias("key"), order_hash(id_col, seed).alias("h")
     ).withColumn("bucket", F.substring("h", 1, BUCKET_DIGITS))
 
     running = F.lit(0).cast("long")
@@ -62,29 +70,32 @@ def _cut_points(df: DataFrame, id_col: str, label_col: str, quotas: DataFrame, s
     for i, s in enumerate(splits):
         running = running + F.col(s)
         ends.append(F.struct(F.lit(i).alias("cut"), running.alias("upto")))
-    wanted = quotas.select("label", F.inline(F.array(*ends)))
+    wanted = quotas.select(label_key(F.col("label")).alias("key"), F.inline(F.array(*ends)))
 
-    up_to_here = Window.partitionBy("label").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    up_to_here = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     buckets = (
-        keyed.groupBy("label", "bucket")
+        keyed.groupBy("key", "bucket")
         .agg(F.count("*").alias("n"))
         .withColumn("after", F.sum("n").over(up_to_here))
     )
     edge = (
-        buckets.join(bounded(wanted), "label")
+        buckets.join(wanted, "key")
         .filter((F.col("upto") > F.col("after") - F.col("n")) & (F.col("upto") <= F.col("after")))
-        .select("label", "bucket", "cut", (F.col("upto") - F.col("after") + F.col("n")).alias("rank"))
+        .select("key", "bucket", "cut", (F.col("upto") - F.col("after") + F.col("n")).alias("rank"))
     )
-    within = Window.partitionBy("label", "cut").orderBy("h", "id")
+    within = Window.partitionBy("key", "cut").orderBy("h", "id")
+    again = F.lead("id").over(within).eqNullSafe(F.col("id")) & (F.lead("h").over(within).eqNullSafe(F.col("h")))
     last = (
-        keyed.join(bounded(edge), ["label", "bucket"])
+        keyed.join(edge, ["key", "bucket"])
         .withColumn("rn", F.row_number().over(within))
+        .withColumn("again", again)
         .filter("rn = rank")
+        .withColumn("id", F.when(F.col("again"), F.raise_error(F.lit("ids repeat: no exact split exists"))).otherwise(F.col("id")))
     )
     cuts = [
         F.max(F.when(F.col("cut") == i, F.struct("h", "id"))).alias(f"cut_{s}") for i, s in enumerate(splits)
     ]
-    return bounded(last.groupBy("label").agg(*cuts))
+    return last.groupBy("key").agg(*cuts)
 
 
 def assign_splits(
@@ -95,15 +106,17 @@ def assign_splits(
     Rows beyond the last quota get NULL.
     """
     cuts = _cut_points(df, id_col, label_col, quotas, splits, seed)
+    entry = F.struct("key", F.struct(*[f"cut_{s}" for s in splits]))
+    many = F.raise_error(F.lit(f"more than {MAX_LABELS} labels"))
+    table = cuts.agg(F.when(F.count("*") > MAX_LABELS, many).otherwise(F.map_from_entries(F.collect_list(entry))).alias("cuts"))
     place = F.struct(order_hash(id_col, seed).alias("h"), F.col(id_col).alias("id"))
+    mine = F.element_at(F.col("_cuts"), label_key(F.col(label_col)))
     split = None
     for s in splits:
-        inside = F.col("_place") <= F.col(f"cut_{s}")
+        inside = F.col("_place") <= F.col(f"_mine.cut_{s}")
         split = F.when(inside, s) if split is None else split.when(inside, s)
-    joined = df.withColumn("_place", place).join(
-        cuts.withColumnRenamed("label", "_label"), F.col(label_col) == F.col("_label"), "left"
-    )
-    return joined.withColumn("split", split).drop("_place", "_label", *[f"cut_{s}" for s in splits])
+    joined = df.withColumn("_cuts", table.scalar()).withColumn("_place", place).withColumn("_mine", mine)
+    return joined.withColumn("split", split).drop("_place", "_mine", "_cuts")
 
 
 def _two_stage_quotas(counts: DataFrame, holdout: float, second: float) -> DataFrame:
@@ -124,7 +137,7 @@ def stratified_split(
     df: DataFrame, id_col: str = "id", label_col: str = "label", holdout: float = 0.3, second: float = 0.5, seed: int = fixed.SEED
 ) -> DataFrame:
     """70/15/15 by default, in two stratified stages; adds ``split``."""
-    quotas = bounded(_two_stage_quotas(_label_counts(df, label_col), holdout, second))
+    quotas = _two_stage_quotas(_label_counts(df, label_col), holdout, second)
     return assign_splits(df, quotas, ["train", "dev", "test"], id_col, label_col, seed)
 
 
@@ -137,42 +150,56 @@ def split_in_two(
     counts = _label_counts(df, label_col).withColumn("_size", n - F.ceil(F.lit(float(share)) * n))
     quotas = largest_remainder(counts, F.col("_size"), "n", first)
     quotas = quotas.withColumn(second, F.col("n") - F.col(first)).select("label", first, second)
-    return assign_splits(df, bounded(quotas), [first, second], id_col, label_col, seed)
+    return assign_splits(df, quotas, [first, second], id_col, label_col, seed)
+
+
+def given_splits(df: DataFrame, split_col: str = "split") -> set[str]:
+    """Which of train, dev (or validation) and test occur. One aggregate job."""
+    names = {"train": "train", "dev": "dev", "validation": "dev", "test": "test"}
+    found = df.agg(*[F.max(F.col(split_col) == n).alias(n) for n in names]).first()
+    return {split for name, split in names.items() if found[name]}
 
 
 def split_from_existing(
-    df: DataFrame, split_col: str = "split", id_col: str = "id", label_col: str = "label", seed: int = fixed.SEED
+    df: DataFrame,
+    split_col: str = "split",
+    id_col: str = "id",
+    label_col: str = "label",
+    seed: int = fixed.SEED,
+    dev_from: str = "test",
+    present: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Complete a data set that lacks dev or test, keeping the splits it has.
+    """Complete a data set that lacks dev or test, keeping the splits it has; ``validation`` is dev.
 
-    Without dev: train and test given, dev is half of test. Train only: dev is 15% of train, test half
-    of dev. Train and dev: test is half of dev. A single unnamed split is split 70/15/15.
+    Without dev it is cut from ``dev_from``: half of test, or 15% of train. Without test, test is half of dev. Without
+    train everything is split 70/15/15. ``present`` names the splits there are; if it is not given, one job asks.
+    Rows without a split raise an error; splits of other names stay as they are.
     """
-    present = {r[0] for r in df.select(split_col).distinct().limit(5).collect()}
-    if "train" not in present:
+    have = set(present) if present is not None else given_splits(df, split_col)
+    if "train" not in have:
         return stratified_split(df.drop(split_col), id_col, label_col, seed=seed)
-    missing = {"dev", "test"} - present
-    if missing == {"dev"}:
-        parts = [("test", 0.5, "dev", "test")]
-    elif missing == {"test"}:
-        parts = [("dev", 0.5, "dev", "test")]
-    elif missing:
-        # dev out of train first, then test out of that dev
-        first = split_in_two(df.drop(split_col), 0.15, "train", "dev", id_col, label_col, seed)
-        return split_from_existing(first, "split", id_col, label_col, seed)
-    else:
-        return df.withColumnRenamed(split_col, "split")
-    source, share, a, b = parts[0]
-    rest = df.filter(F.col(split_col) != source).withColumnRenamed(split_col, "split")
-    made = split_in_two(df.filter(F.col(split_col) == source).drop(split_col), share, a, b, id_col, label_col, seed)
-    return rest.unionByName(made)
+    known = F.col(split_col)
+    known = F.when(known.isNull(), F.raise_error(F.lit("a row has no split"))).when(known == "validation", "dev").otherwise(known)
+    out = df.drop(split_col).withColumn("split", known) if split_col != "split" else df.withColumn("split", known)
+
+    def cut(rows: DataFrame, source: str, share: float, second: str) -> DataFrame:
+        made = split_in_two(rows.filter(F.col("split") == source).drop("split"), share, source, second, id_col, label_col, seed)
+        return rows.filter(F.col("split") != source).unionByName(made)
+
+    if "dev" not in have:
+        if dev_from == "test" and "test" in have:
+            made = split_in_two(out.filter("split = 'test'").drop("split"), 0.5, "dev", "test", id_col, label_col, seed)
+            out = out.filter("split != 'test'").unionByName(made)
+        else:
+            out = cut(out, "train", 0.15, "dev")
+    return out if "test" in have else cut(out, "dev", 0.5, "test")
 
 
 def stratified_sample_n(df: DataFrame, n: int, id_col: str = "id", label_col: str = "label", seed: int = fixed.SEED) -> DataFrame:
     """Exactly ``n`` rows (all, if there are fewer) with the label proportions kept; all input columns."""
     quotas = largest_remainder(_label_counts(df, label_col), F.lit(n), "n", "sample")
     quotas = quotas.select("label", F.least("sample", "n").alias("sample"))
-    chosen = assign_splits(df, bounded(quotas), ["sample"], id_col, label_col, seed)
+    chosen = assign_splits(df, quotas, ["sample"], id_col, label_col, seed)
     return chosen.filter("split = 'sample'").drop("split")
 
 
@@ -181,16 +208,16 @@ def mini_splits(df: DataFrame, id_col: str = "id", label_col: str = "label", see
 
     Under 100 rows everything is test, and the first row also serves as train and as dev.
     """
-    n = df.count()
-    few = min(100, n // 100)
-    if few == 0:
-        first = df.orderBy(id_col).limit(1)
-        alone = [first.withColumn("split", F.lit(s)) for s in ("train", "dev")]
-        return alone[0].unionByName(alone[1]).unionByName(df.withColumn("split", F.lit("test")))
-    quotas = largest_remainder(_label_counts(df, label_col), F.lit(few), "n", "_few")
-    quotas = largest_remainder(quotas, F.lit(few - few // 2), "_few", "train")
+    total = F.sum("n").over(Window.partitionBy())  # one row per label
+    counts = _label_counts(df, label_col).withColumn("_all", F.least(F.lit(100), F.floor(total / 100)))
+    quotas = largest_remainder(counts, F.col("_all"), "n", "_few")
+    quotas = largest_remainder(quotas, F.col("_all") - F.floor(F.col("_all") / 2), "_few", "train")
     quotas = quotas.withColumn("dev", F.col("_few") - F.col("train")).withColumn("test", F.col("n") - F.col("_few"))
-    return assign_splits(df, bounded(quotas.select("label", "train", "dev", "test")), ["train", "dev", "test"], id_col, label_col, seed)
+    whole = assign_splits(df, quotas.select("label", "train", "dev", "test"), ["train", "dev", "test"], id_col, label_col, seed)
+    first = df.orderBy(id_col).limit(1).withColumn("_n", df.agg(F.count("*")).scalar()).filter("_n < 100").drop("_n")
+    for s in ("train", "dev"):
+        whole = whole.unionByName(first.withColumn("split", F.lit(s)))
+    return whole
 
 
 def label_distribution(df: DataFrame, label_col: str = "label") -> DataFrame:
@@ -215,7 +242,7 @@ def sampling_validation(full: DataFrame, sample: DataFrame, label_col: str = "la
 def chi_square_test(validation: DataFrame) -> DataFrame:
     """2 x k contingency test of sample counts against the counts expected from the full proportions.
 
-    For k = 2 the difference is reduced by up to 0.5 (Yates). Returns statistic, degrees of freedom, p.
+    For k = 2 the difference is reduced by up to 0.5 (Yates). Returns statistic, degrees of freedom, p and ln p.
     """
     everything = Window.partitionBy()  # one row per label
     observed = F.col("sample_count").cast("double")
@@ -233,7 +260,8 @@ def chi_square_test(validation: DataFrame) -> DataFrame:
     stat = table.select("k", (part("o") + part("e")).alias("x")).agg(
         F.sum("x").alias("chi2_statistic"), (F.max("k") - 1).cast("int").alias("dof")
     )
-    return stat.withColumn("p_value", chi2_sf(F.col("chi2_statistic"), F.col("dof")))
+    x, dof = F.col("chi2_statistic"), F.col("dof")
+    return stat.withColumn("p_value", chi2_sf(x, dof)).withColumn("ln_p_value", chi2_ln_sf(x, dof))
 
 
 def sampling_report(full: DataFrame, sample: DataFrame, label_col: str = "label", seed: int = fixed.SEED) -> DataFrame:
@@ -272,8 +300,8 @@ def sampling_report(full: DataFrame, sample: DataFrame, label_col: str = "label"
 
 
 def factorize_labels(df: DataFrame, label_col: str, id_col: str = "id", out: str = "label_code") -> DataFrame:
-    """Integer codes for string labels, in order of first appearance by id."""
+    """Integer codes for string labels, in order of first appearance by id; -1 without a label."""
     first = df.filter(F.col(label_col).isNotNull()).groupBy(F.col(label_col).alias("_name")).agg(F.min(id_col).alias("_first"))
-    codes = first.select("_name", (F.row_number().over(Window.orderBy("_first")) - 1).alias(out))  # one row per label
-    joined = df.join(bounded(codes), F.col(label_col) == F.col("_name"), "left").drop("_name")
+    codes = first.select("_name", (F.row_number().over(Window.orderBy("_first", "_name")) - 1).alias(out))  # one row per label
+    joined = df.join(codes, F.col(label_col) == F.col("_name"), "left").drop("_name")
     return joined.withColumn(out, F.coalesce(out, F.lit(-1)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import fixed, text as tx
 from ..functions.scalar import ratio
@@ -95,13 +95,18 @@ def text_features(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] =
 
 
 def length_stats(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Summary of text lengths in characters."""
-    n = F.length(text_col)
-    return df.agg(
-        F.count(text_col).alias("n"),
-        F.min(n).alias("min_len"),
-        F.max(n).alias("max_len"),
-        F.avg(n).alias("mean_len"),
-        F.sum(n).alias("total_len"),
-        F.percentile_approx(n, 0.5, 100_000).alias("median_len"),
+    """Summary of text lengths in characters; the median (the lower of two) is exact.
+
+    Texts are counted per length first; the running count goes over one row per length.
+    """
+    counts = df.filter(F.col(text_col).isNotNull()).groupBy(F.length(text_col).alias("len")).agg(F.count("*").alias("rows"))
+    everything = Window.partitionBy()  # one row per length
+    run = counts.withColumn("upto", F.sum("rows").over(Window.orderBy("len"))).withColumn("total", F.sum("rows").over(everything))
+    return run.agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("n"),
+        F.min("len").alias("min_len"),
+        F.max("len").alias("max_len"),
+        (F.sum(F.col("len") * F.col("rows")) / F.sum("rows")).alias("mean_len"),
+        F.sum(F.col("len") * F.col("rows")).alias("total_len"),
+        F.min(F.when(2 * F.col("upto") >= F.col("total"), F.col("len"))).alias("median_len"),
     )

@@ -21,12 +21,13 @@ FEATURE_COLUMNS = [f"trust_feat_{name}" for name in fixed.TRUST_FEATURES]
 
 _COLUMNS = {"featuresCol": "features", "labelCol": "trust_label"}
 
-# Learner factories; n is the number of training rows. The logistic penalty is an L2 weight of 1 on the
-# summed loss, which is 1/n on Spark's mean loss, on the features as they are.
+# Learner factories; n is the number of training rows, other settings can be given. The logistic penalty is an L2
+# weight of 1 on the summed loss, which is 1/n on Spark's mean loss, on the features as they are. Forest trees go
+# down as far as the library allows (30 levels), since the model asks for no limit.
 LEARNERS = {
-    "logistic_regression": lambda n: LogisticRegression(**_COLUMNS, regParam=1.0 / max(n, 1), standardization=False, tol=1e-6),
-    "random_forest": lambda n: RandomForestClassifier(**_COLUMNS, numTrees=100, maxDepth=10, seed=fixed.SEED),
-    "gradient_boosting": lambda n: GBTClassifier(**_COLUMNS, maxIter=100, maxDepth=3, stepSize=0.1, seed=fixed.SEED),
+    "logistic_regression": lambda n, **o: LogisticRegression(**_COLUMNS, **({"regParam": 1.0 / max(n, 1), "standardization": False, "tol": 1e-6} | o)),
+    "random_forest": lambda n, **o: RandomForestClassifier(**_COLUMNS, **({"numTrees": 100, "maxDepth": 30, "seed": fixed.SEED} | o)),
+    "gradient_boosting": lambda n, **o: GBTClassifier(**_COLUMNS, **({"maxIter": 100, "maxDepth": 3, "stepSize": 0.1, "seed": fixed.SEED} | o)),
 }
 
 
@@ -65,6 +66,7 @@ class TrustModel:
     model_type: str
     feature_columns: list[str]
     threshold: float = fixed.TRUST_THRESHOLD
+    task: str | None = None
 
     def score(self, df: DataFrame) -> DataFrame:
         return score_trust(df, self)
@@ -92,8 +94,12 @@ def train_trust(
     id_col: str = "row_id",
     features: Sequence[str] = tuple(FEATURE_COLUMNS),
     seed: int = fixed.SEED,
+    **settings,
 ) -> tuple[TrustModel, dict[str, float]]:
-    """Fit on a stratified share of the rows and pick the threshold with the best F1 on the others."""
+    """Fit on a stratified share of the rows and pick the threshold with the best F1 on the others.
+
+    ``settings`` go to the learner (numTrees, maxDepth, regParam, ...).
+    """
     if model_type not in LEARNERS:
         raise ValueError(f"Unknown model type: {model_type}")
     columns = list(features)
@@ -102,7 +108,7 @@ def train_trust(
     try:
         parts = sampling.split_in_two(data, validation_split, "train", "validation", id_col, "trust_label", seed)
         train = parts.filter("split = 'train'")
-        stages = [VectorAssembler(inputCols=columns, outputCol="features"), LEARNERS[model_type](train.count())]
+        stages = [VectorAssembler(inputCols=columns, outputCol="features"), LEARNERS[model_type](train.count(), **settings)]
         fitted = Pipeline(stages=stages).fit(train)
         trained = TrustModel(fitted, model_type, columns)
         scored = score_trust(parts, trained).persist(StorageLevel.MEMORY_AND_DISK)
@@ -173,14 +179,16 @@ def review_queue(df: DataFrame, threshold: float = fixed.TRUST_THRESHOLD, limit:
     return df.filter(F.col(score) < F.lit(float(threshold))).orderBy(score, id_col).limit(limit)
 
 
-def save_trust(spark: SparkSession, trained: TrustModel, path: str) -> None:
-    """Write the fitted stages and a one-row table with columns and threshold."""
+def save_trust(spark: SparkSession, trained: TrustModel | None, path: str) -> None:
+    """Write the fitted stages and a one-row table with type, task, columns and threshold."""
+    if trained is None:
+        raise ValueError("Model must be trained before saving")
     trained.model.write().overwrite().save(f"{path}/model")
-    row = [(trained.model_type, trained.feature_columns, float(trained.threshold))]
-    schema = "model_type string, feature_columns array<string>, threshold double"
+    row = [(trained.model_type, trained.task, trained.feature_columns, float(trained.threshold))]
+    schema = "model_type string, task string, feature_columns array<string>, threshold double"
     spark.createDataFrame(row, schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/metadata")
 
 
 def load_trust(spark: SparkSession, path: str) -> TrustModel:
     meta = spark.read.parquet(f"{path}/metadata").first()
-    return TrustModel(PipelineModel.load(f"{path}/model"), meta["model_type"], list(meta["feature_columns"]), meta["threshold"])
+    return TrustModel(PipelineModel.load(f"{path}/model"), meta["model_type"], list(meta["feature_columns"]), meta["threshold"], meta["task"])

@@ -17,12 +17,12 @@ def predictions(
     temperature: float = 1.0,
     keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Single-label prediction columns from logits; ``temperature`` divides the logits first."""
+    """Single-label prediction columns from logits; ``temperature`` divides the logits first, and they are returned divided."""
     out = df.withColumn("probabilities", pr.softmax(F.col(logits), temperature))
     cols = [
         F.col(id_col).alias("example_id"),
         pr.argmax_label(F.col("probabilities")).alias("predicted_label"),
-        F.col(logits).alias("logits"),
+        pr.tempered(F.col(logits), temperature).alias("logits"),
         "probabilities",
         pr.categorical_entropy(F.col("probabilities")).alias("entropy"),
         pr.max_prob(F.col("probabilities")).alias("max_prob"),
@@ -48,6 +48,7 @@ def multilabel_predictions(
         .select(
             F.col(id_col).alias("example_id"),
             "predicted_labels",
+            pr.tempered(F.col(logits), temperature).alias("logits"),
             "probabilities",
             pr.binary_entropy_mean(F.col("probabilities")).alias("entropy"),
             pr.multilabel_confidence(F.col("probabilities"), F.col("predicted_labels")).alias("confidence"),

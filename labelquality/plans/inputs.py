@@ -2,7 +2,7 @@
 
 * labelled text: documents joined with labels; gold = toxic, subgroup = language
 * raw responses: a deterministic mix of tagged, bare, fenced, chatty and broken answers per document
-* logits: ten-class logits and labels from the embeddings table
+* logits: logits of 64 classes and labels from the embeddings table
 * binary logits per labelled document, from its length
 * binary scores: lineitem quantity or price as a score, return flag as the outcome
 * two coders: event type, and event type with every seventh event coded "view"
@@ -86,14 +86,14 @@ def supervised(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def class_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten-class logits: id, logits, gold."""
+    """Logits of 64 classes, of which the labels use 0 to 9: id, logits, gold."""
     vectors = table(spark, sf_dir, "embeddings")
-    ten = F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double"))
-    return vectors.select(F.col("vec_id").alias("id"), ten.alias("logits"), F.col("label").alias("gold"))
+    logits = F.transform("embedding", lambda x: x.cast("double"))
+    return vectors.select(F.col("vec_id").alias("id"), logits.alias("logits"), F.col("label").alias("gold"))
 
 
 def class_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten-class predictions, sharpened so that confidences spread over the bins."""
+    """Predictions of 64 classes, sharpened so that confidences spread over the bins."""
     return predictions(class_logits(spark, sf_dir), temperature=CLASS_TEMPERATURE)
 
 

@@ -95,17 +95,17 @@ sup AS (SELECT id AS example_id, gold AS gold_label, z, e0/(e0+e1) AS p0, e1/(e0
    -(greatest(e0/(e0+e1), 1e-12)*ln(greatest(e0/(e0+e1), 1e-12)) + greatest(e1/(e0+e1), 1e-12)*ln(greatest(e1/(e0+e1), 1e-12))) AS entropy
   FROM two)"""
 
-# Ten-class cells (id, gold, c, z, p), long form, and per-row predictions.
+# Cells of 64 classes (id, gold, c, z, p), long form, and per-row predictions.
 def classes(temperature: float = 0.05) -> str:
     return f"""cell AS (
   SELECT vec_id AS id, label AS gold, u.c - 1 AS c, embedding[u.c]::DOUBLE AS z
-  FROM embeddings, (SELECT unnest(range(1, 11)) AS c) u),
+  FROM embeddings, (SELECT unnest(range(1, 65)) AS c) u),
 powers AS (SELECT *, exp((z - max(z) OVER (PARTITION BY id)) / {temperature}::DOUBLE) AS e FROM cell),
 prob AS (SELECT *, e / sum(e) OVER (PARTITION BY id) AS p, 1 / (1 + exp(-z / {temperature}::DOUBLE)) AS s FROM powers),
 pred AS (
   SELECT id AS example_id, any_value(gold) AS gold_label, min(c) FILTER (WHERE p = top) AS predicted_label,
    -sum(greatest(p, 1e-12) * ln(greatest(p, 1e-12))) AS entropy, max(p) AS max_prob, sum(p) AS total,
-   sum((p - (c = gold)::INT) ** 2) / 10 AS sq
+   sum((p - (c = gold)::INT) ** 2) / 64 AS sq
   FROM (SELECT *, max(p) OVER (PARTITION BY id) AS top FROM prob) t GROUP BY id)"""
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import agreement as ag
 from . import inputs
-from .oracle_parts import CODERS, SUPERVISED, class_table, classes, parsed
+from .oracle_parts import CODERS, LABELLED, SUPERVISED, class_table, classes, parsed
 from .registry import query, r6
 
 _CELLS = f"{CODERS}, cells AS (SELECT a AS gold, b AS pred, count(*) AS n FROM coders GROUP BY a, b), {class_table('cells')}"
@@ -157,7 +157,7 @@ def weighted_agreement(spark, d):
 
 
 def _label_sets(spark, d):
-    """True and predicted class sets of the ten-class rows."""
+    """True and predicted class sets of the 64-class rows."""
     from ..operators import uncertainty as un
 
     base = inputs.class_logits(spark, d).withColumn("truth", inputs.multilabel_truth(F.col("gold")))
@@ -181,7 +181,7 @@ def exact_match(spark, d):
       nullif(count(*) FILTER (WHERE p) + count(*) FILTER (WHERE t), 0), 0) AS f FROM sets GROUP BY c) q""",
 )
 def multilabel_macro_f1(spark, d):
-    return ag.multilabel_macro_f1(_label_sets(spark, d), "truth", "predicted_labels", 10).select(r6("macro_f1"))
+    return ag.multilabel_macro_f1(_label_sets(spark, d), "truth", "predicted_labels", 64).select(r6("macro_f1"))
 
 
 @query(
@@ -190,7 +190,16 @@ def multilabel_macro_f1(spark, d):
       SELECT c, avg((p = t)::INT) AS po, avg(p::INT) * avg(t::INT) + (1 - avg(p::INT)) * (1 - avg(t::INT)) AS pe FROM sets GROUP BY c) q""",
 )
 def multilabel_kappa(spark, d):
-    return ag.multilabel_kappa(_label_sets(spark, d), "truth", "predicted_labels", 10).select("label", r6("cohen_kappa"))
+    return ag.multilabel_kappa(_label_sets(spark, d), "truth", "predicted_labels", 64).select("label", r6("cohen_kappa"))
+
+
+@query(
+    "multilabel_kappa_mean",
+    f"""WITH {_SETS} SELECT round(avg(coalesce((po - pe) / nullif(1 - pe, 0), 0)), 6) AS cohen_kappa FROM (
+      SELECT c, avg((p = t)::INT) AS po, avg(p::INT) * avg(t::INT) + (1 - avg(p::INT)) * (1 - avg(t::INT)) AS pe FROM sets GROUP BY c) q""",
+)
+def multilabel_kappa_mean(spark, d):
+    return ag.multilabel_kappa_mean(_label_sets(spark, d), "truth", "predicted_labels", 64).select(r6("cohen_kappa"))
 
 
 @query(
@@ -308,3 +317,50 @@ def macro_over_datasets(spark, d):
 def compare_models(spark, d):
     m = ag.compare_models(_reports(spark, d), _supervised_reports(spark, d), "dataset")
     return m.select("dataset", *[r6(c) for c in m.columns if c != "dataset"])
+
+
+def _class_rows_sql() -> str:
+    """The classification report of ``sc`` in long form, in the sections of the bundles."""
+    per = "".join(
+        f" UNION ALL SELECT 'classes', label::VARCHAR, '{m}', round({c}, 6) FROM sc" for m, c in (("precision", "pr"), ("recall", "rc"), ("f1_score", "f1"), ("support", "support::DOUBLE"))
+    )
+    mean = {"macro avg": "avg({c})", "weighted avg": "sum({c} * support) / sum(support)", "accuracy": "sum(tp)::DOUBLE / sum(support)"}
+    for group, f in mean.items():
+        for m, c in (("precision", "pr"), ("recall", "rc"), ("f1_score", "f1")):
+            per += f" UNION ALL SELECT 'classes', '{group}', '{m}', round({f.format(c=c)}, 6) FROM sc"
+        per += f" UNION ALL SELECT 'classes', '{group}', 'support', sum(support)::DOUBLE FROM sc"
+    return per
+
+
+@query(
+    "agreement_report",
+    f"""WITH {_BIN_CELLS}, s AS (SELECT (SELECT count(*) FROM ann WHERE is_valid)::DOUBLE AS num_samples, sum(support)::DOUBLE AS num_valid, sum(tp)::DOUBLE / sum(support) AS accuracy,
+        sum(pr) FILTER (WHERE label = 1) AS "precision", sum(rc) FILTER (WHERE label = 1) AS recall, sum(f1) FILTER (WHERE label = 1) AS f1_score,
+        sum(support::DOUBLE * predicted) / (sum(support)::DOUBLE * sum(support)) AS pe,
+        (SELECT avg(llm_confidence_numeric) FROM ann WHERE is_valid AND llm_label >= 0) AS average_confidence FROM sc),
+      t AS (SELECT *, (accuracy - pe) / (1 - pe) AS cohen_kappa, accuracy AS agreement_rate FROM s),
+      u AS (SELECT 'agreement' AS section, 'all' AS "group", metric, round(value, 6) AS value FROM (SELECT num_samples, num_valid, accuracy, "precision", recall, f1_score, cohen_kappa,
+        agreement_rate, average_confidence FROM t) UNPIVOT (value FOR metric IN (num_samples, num_valid, accuracy, "precision", recall, f1_score, cohen_kappa, agreement_rate, average_confidence))
+      {_class_rows_sql()}
+      UNION ALL SELECT 'confusion', g::VARCHAR, p::VARCHAR, coalesce(sum(n), 0)::DOUBLE FROM (SELECT unnest([0, 1]) AS g) a, (SELECT unnest([0, 1]) AS p) b
+        LEFT JOIN cells ON cells.gold = g AND cells.pred = p GROUP BY ALL)
+      SELECT 'jigsaw' AS dataset, * FROM u""",
+)
+def agreement_report(spark, d):
+    return ag.agreement_report(inputs.annotations(spark, d), "jigsaw").select("dataset", "section", "group", "metric", r6("value"))
+
+
+@query(
+    "supervised_report",
+    f"""WITH {LABELLED}, {SUPERVISED}, cells AS (SELECT gold_label AS gold, predicted_label AS pred, count(*) AS n FROM sup GROUP BY 1, 2), {class_table('cells')},
+      bins AS (SELECT CASE WHEN max_prob > 0 THEN least(ceil(max_prob * 15), 15) END AS b, count(*) AS n, sum(max_prob) AS sp, sum((predicted_label = gold_label)::INT)::DOUBLE AS sy
+        FROM sup GROUP BY 1)
+      SELECT 'overall' AS section, 'all' AS "group", 'num_samples' AS metric, count(*)::DOUBLE AS value FROM sup
+      UNION ALL SELECT 'overall', 'all', 'num_classes', 2.0
+      UNION ALL SELECT 'overall', 'all', 'ece', round(sum(abs(sp - sy)) / sum(n), 6) FROM bins
+      UNION ALL SELECT 'overall', 'all', 'brier_score', round(avg(((p0 - (gold_label = 0)::INT) ** 2 + (p1 - (gold_label = 1)::INT) ** 2) / 2), 6) FROM sup
+      UNION ALL SELECT 'overall', 'all', 'average_entropy', round(avg(entropy), 6) FROM sup
+      UNION ALL SELECT 'overall', 'all', 'average_confidence', round(avg(max_prob), 6) FROM sup {_class_rows_sql()}""",
+)
+def supervised_report(spark, d):
+    return ag.supervised_report(inputs.supervised(spark, d)).select("section", "group", "metric", r6("value"))

@@ -21,8 +21,8 @@ _REASONS = """concat_ws('+', CASE WHEN llm_label >= 0 AND llm_label <> gold_labe
       FROM ann WHERE is_valid AND {_REASONS} <> ''""",
 )
 def hard_cases(spark, d):
-    texts = inputs.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    hard = hc.hard_cases(inputs.annotations(spark, d), texts)
+    """The text comes along with its annotation: nothing is joined."""
+    hard = hc.hard_cases(inputs.annotations(spark, d, keep=("text",)))
     return hard.select("row_id", "gold_label", "llm_label", "llm_confidence", F.array_join("reason", "+").alias("reason"), "text_preview")
 
 
@@ -61,8 +61,21 @@ _BOTH = f"""{parsed()}, {SUPERVISED}, two_models AS (
       + 0.3::DOUBLE * coalesce(llm_label <> supervised_label, false)::INT AS difficulty FROM two_models)"""
 
 
-def _both(spark, d, keep=()):
-    return hc.with_predictions(inputs.annotations(spark, d, keep=keep), inputs.supervised(spark, d))
+@query(
+    "hard_cases_joined",
+    f"""WITH {parsed()} SELECT row_id, {_REASONS} AS reason, CASE WHEN length(text) <= 100 THEN text ELSE substr(text, 1, 100) || '...' END AS text_preview
+      FROM ann WHERE is_valid AND {_REASONS} <> ''""",
+)
+def hard_cases_joined(spark, d):
+    """Texts in a table of their own."""
+    texts = inputs.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    hard = hc.hard_cases(inputs.annotations(spark, d), texts)
+    return hard.select("row_id", F.array_join("reason", "+").alias("reason"), "text_preview")
+
+
+def _both(spark, d):
+    """Annotations and predictions of the labelled documents, from the same rows."""
+    return inputs.trust_inputs(spark, d).drop("text")
 
 
 @query(

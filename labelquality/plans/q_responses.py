@@ -219,7 +219,7 @@ def text_preview(spark, d):
 
 @query(
     "dedup_by_hash",
-    """SELECT substr(sha256(text), 1, 16) AS text_hash, min(doc_id) AS id, count(*) AS copies FROM documents GROUP BY 1""",
+    """SELECT substr(sha256(text), 1, 16) AS text_hash, sha256(text) AS sha256, min(doc_id) AS id, count(*) AS copies FROM documents GROUP BY text""",
 )
 def dedup_by_hash(spark, d):
     return an.dedup_by_hash(inputs.table(spark, d, "documents"), "doc_id")

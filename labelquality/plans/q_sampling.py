@@ -66,7 +66,7 @@ def split_from_existing(spark, d):
         F.col("l_returnflag").alias("label"),
         F.when(F.col("l_linestatus") == "O", "test").otherwise("train").alias("split"),
     )
-    return sp.split_from_existing(items).select("id", "label", "split")
+    return sp.split_from_existing(items, present=["train", "test"]).select("id", "label", "split")
 
 
 @query(
@@ -82,7 +82,33 @@ def split_from_existing(spark, d):
 )
 def split_train_only(spark, d):
     """Only train is given: dev is 15% of it, and test half of that dev."""
-    return sp.split_from_existing(_orders(spark, d).withColumn("split", F.lit("train"))).select("id", "label", "split")
+    return sp.split_from_existing(_orders(spark, d).withColumn("split", F.lit("train")), present=["train"]).select("id", "label", "split")
+
+
+@query(
+    "split_dev_from_train",
+    f"""WITH all_rows AS (SELECT o_orderkey AS id, o_orderpriority AS label, md5('42:' || o_orderkey) AS h,
+        CASE WHEN o_orderkey % 4 = 0 THEN 'test' ELSE 'train' END AS given FROM orders),
+      rows AS (SELECT * FROM all_rows WHERE given = 'train'), {_COUNTS}, s AS (SELECT *, ceil(0.15::DOUBLE * tot)::BIGINT AS held FROM c),
+      {_shares('s', 'n', 'tot - held', 'train', 'q')}, {_RANKED}
+      SELECT id, label, CASE WHEN rn <= train THEN 'train' ELSE 'dev' END AS split FROM ranked JOIN q USING (label)
+      UNION ALL SELECT id, label, 'test' FROM all_rows WHERE given = 'test'""",
+)
+def split_dev_from_train(spark, d):
+    """Train and test are given; dev is 15% of train."""
+    rows = _orders(spark, d).withColumn("split", F.when(F.col("id") % 4 == 0, "test").otherwise("train"))
+    return sp.split_from_existing(rows, dev_from="train", present=["train", "test"]).select("id", "label", "split")
+
+
+@query(
+    "split_validation",
+    "SELECT o_orderkey AS id, o_orderpriority AS label, CASE o_orderkey % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'dev' ELSE 'test' END AS split FROM orders",
+)
+def split_validation(spark, d):
+    """All splits are given, dev under the name validation: nothing is cut."""
+    third = F.col("id") % 3
+    rows = _orders(spark, d).withColumn("split", F.when(third == 0, "train").when(third == 1, "validation").otherwise("test"))
+    return sp.split_from_existing(rows).select("id", "label", "split")
 
 
 _SAMPLE = f"""{_COUNTS}, {_shares('c', 'n', '250', 'take', 'q')}, {_RANKED},
@@ -154,20 +180,45 @@ def chi_square_unbalanced(spark, d):
     return t.select(r6("chi2_statistic"), "dof", r6("p_value"))
 
 
+# A sample far from the proportions of the whole. For two degrees of freedom ln p is minus half of the statistic.
+@query(
+    "chi_square_skewed",
+    f"""WITH c AS (SELECT l_returnflag AS label, count(*) AS n FROM lineitem GROUP BY ALL),
+      x AS (SELECT l_returnflag AS label, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' OR l_linenumber = 1 GROUP BY ALL),
+      v AS (SELECT label, c.n AS f, coalesce(x.n, 0) AS s, c.n::DOUBLE / sum(c.n) OVER () AS fp FROM c LEFT JOIN x USING (label)),
+      {_CHI} SELECT round(x2, 4) AS chi2_statistic, dof::INT AS dof, round(-x2 / 2, 4) AS ln_p_value FROM g""",
+)
+def chi_square_skewed(spark, d):
+    items = inputs.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("label"), "l_linenumber")
+    t = sp.chi_square_test(sp.sampling_validation(items, items.filter("label = 'R' OR l_linenumber = 1")))
+    return t.select(F.round("chi2_statistic", 4).alias("chi2_statistic"), "dof", F.round("ln_p_value", 4).alias("ln_p_value"))
+
+
+_MAPS = {"full_distribution": "f", "sample_distribution": "s", "full_proportions": "fp", "sample_proportions": "sp", "proportion_differences": "abs(fp - sp)"}
+
+
 @query(
     "sampling_report",
-    _VALID + f""", {_CHI} SELECT 42 AS random_seed, 'label' AS stratify_column, sum(f)::BIGINT AS full_dataset_size, sum(s)::BIGINT AS sample_size,
+    _VALID + f""", {_CHI} SELECT 42 AS random_seed, 'hash order, largest remainder' AS sampling_method, 'label' AS stratify_column,
+      sum(f)::BIGINT AS full_dataset_size, sum(s)::BIGINT AS sample_size,
       round(max(abs(fp - sp)), 6) AS max_proportion_difference, round(any_value(x2), 6) AS chi2_statistic, round(any_value(pv), 6) AS p_value,
-      max(abs(fp - sp)) <= 0.01 AS proportion_test_passed, string_agg(label || '=' || s, ',' ORDER BY label) AS sample_distribution,
+      max(abs(fp - sp)) <= 0.01 AS proportion_test_passed,
+      {', '.join(f"string_agg(label || '=' || (1000000 * {v})::DOUBLE::BIGINT, ',' ORDER BY label) AS {k}" for k, v in _MAPS.items())},
       CASE WHEN max(abs(fp - sp)) <= 0.01 THEN 'APPROVED for LLM annotation' ELSE 'REVIEW REQUIRED' END AS recommendation FROM v, p""",
 )
 def sampling_report(spark, d):
+    """Every column; maps are shown as label=value in millionths."""
     docs = _docs(spark, d)
     r = sp.sampling_report(docs, sp.stratified_sample_n(docs, 250))
-    entries = F.transform(F.map_entries("sample_distribution"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+
+    def shown(name):
+        value = lambda e: F.rint(e["value"] * 1_000_000).cast("long").cast("string")
+        entries = F.transform(F.map_entries(name), lambda e: F.concat(e["key"], F.lit("="), value(e)))
+        return F.array_join(entries, ",").alias(name)
+
     return r.select(
-        "random_seed", "stratify_column", "full_dataset_size", "sample_size", r6("max_proportion_difference"), r6("chi2_statistic"),
-        r6("p_value"), "proportion_test_passed", F.array_join(entries, ",").alias("sample_distribution"), "recommendation",
+        "random_seed", "sampling_method", "stratify_column", "full_dataset_size", "sample_size", r6("max_proportion_difference"), r6("chi2_statistic"),
+        r6("p_value"), "proportion_test_passed", *[shown(m) for m in _MAPS], "recommendation",
     )
 
 

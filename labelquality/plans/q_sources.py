@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text as tx
+from ..functions import fixed, text as tx
 from ..operators import agreement as ag, sampling as sp
 from ..sources import readers, sinks
 from ..sources.shared import shared_dir
@@ -74,6 +74,59 @@ def load_dataset(spark, d):
     return back.groupBy("split", "label").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
+@query(
+    "load_dataset_imdb",
+    f"""WITH all_rows AS (SELECT d.doc_id AS id, d.text, l.toxic AS label, md5('42:' || d.doc_id) AS h, CASE WHEN d.doc_id % 3 = 0 THEN 'test' ELSE 'train' END AS given
+        FROM documents d JOIN labels l USING (doc_id)),
+      rows AS (SELECT * FROM all_rows WHERE given = 'test'), {_COUNTS}, s AS (SELECT *, ceil(0.5::DOUBLE * tot)::BIGINT AS held FROM c),
+      {_shares('s', 'n', 'tot - held', 'dev', 'q')}, {_RANKED}
+      SELECT id, {_HASH}, label, CASE WHEN rn <= dev THEN 'dev' ELSE 'test' END AS split FROM ranked JOIN q USING (label)
+      UNION ALL SELECT id, {_HASH}, label, 'train' FROM all_rows WHERE given = 'train'""",
+)
+def load_dataset_imdb(spark, d):
+    """A raw table with train and test: dev is half of test."""
+    root = shared_dir(spark, "datasets")
+    raw = inputs.labelled_text(spark, d).select("id", F.col("text").alias("review"), F.col("gold").alias("label"), F.when(F.col("id") % 3 == 0, "test").otherwise("train").alias("split"))
+    raw.write.parquet(f"{root}/imdb/raw")
+    return readers.load_dataset(spark, "imdb", root).select("id", tx.text_hash(F.col("text")).alias("text_hash"), "label", "split")
+
+
+@query(
+    "load_dataset_crisisbench",
+    f"""WITH f AS (SELECT event_type, row_number() OVER (ORDER BY min(event_id)) - 1 AS code FROM events GROUP BY event_type),
+      all_rows AS (SELECT event_id AS id, props AS text, code::INT AS label, md5('42:' || event_id) AS h,
+        CASE event_id % 4 WHEN 0 THEN 'dev' WHEN 1 THEN 'test' ELSE 'train' END AS split FROM events JOIN f USING (event_type))
+      SELECT id, text, label, split FROM all_rows""",
+)
+def load_dataset_crisisbench(spark, d):
+    """A raw table with text labels and all splits, dev under the name validation."""
+    root = shared_dir(spark, "datasets")
+    part = F.col("event_id") % 4
+    raw = inputs.table(spark, d, "events").select(
+        F.col("event_id").alias("id"), F.col("props").alias("tweet_text"), F.col("event_type").alias("class_label"),
+        F.when(part == 0, "validation").when(part == 1, "test").otherwise("train").alias("split"),
+    )
+    raw.write.parquet(f"{root}/crisisbench/raw")
+    return readers.load_dataset(spark, "crisisbench", root).select("id", "text", "label", "split")
+
+
+@query(
+    "load_dataset_jigsaw",
+    f"""WITH {_TEXT_ROWS}, {_COUNTS}, m AS (SELECT *, least(100, tot // 100)::BIGINT AS few FROM c),
+      {_shares('m', 'n', 'few', 'k', 'a')}, {_shares('a', 'k', 'few - few // 2', 'train', 'q')}, {_RANKED}, s AS (
+      SELECT id, {_HASH}, label, CASE WHEN rn <= train THEN 'train' WHEN rn <= k THEN 'dev' ELSE 'test' END AS split FROM ranked JOIN q USING (label)),
+      n AS (SELECT count(*) AS n FROM rows)
+      SELECT * FROM s UNION ALL SELECT id, text_hash, label, x.split FROM (SELECT * FROM s ORDER BY id LIMIT 1) f, n, (SELECT unnest(['train', 'dev']) AS split) x WHERE n < 100""",
+)
+def load_dataset_jigsaw(spark, d):
+    """A stratified sample goes before everything else."""
+    root = shared_dir(spark, "datasets")
+    rows = inputs.labelled_text(spark, d).select("id", "text", F.col("gold").alias("label"))
+    sinks.write_csv(rows, f"{root}/jigsaw/sample.csv")
+    back = readers.load_dataset(spark, "jigsaw", root, types={"id": "bigint"})
+    return back.select("id", tx.text_hash(F.col("text")).alias("text_hash"), "label", "split")
+
+
 @query("normalize_label_source", f"WITH {LABELLED} SELECT id, {_HASH}, (gold > 0)::INT AS label FROM labelled")
 def normalize_label_source(spark, d):
     raw = inputs.labelled_text(spark, d).select("id", F.col("text").alias("comment_text"), F.col("gold").alias("toxic"))
@@ -115,10 +168,18 @@ def normalize_crisis_source(spark, d):
     return readers.normalize_crisis_source(raw, "id", keep=["id"])
 
 
-@query("pick_text_column", "SELECT page_id AS id, length(url) AS chars FROM pages")
+@query("pick_text_column", "SELECT page_id AS id, substr(sha256(url), 1, 16) AS text_hash FROM pages")
 def pick_text_column(spark, d):
+    """No known text column: the first string column."""
     pages = inputs.table(spark, d, "pages")
-    return pages.select(F.col("page_id").alias("id"), F.length(readers.pick_text_column(pages)).cast("long").alias("chars"))
+    return pages.select(F.col("page_id").alias("id"), tx.text_hash(F.col(readers.pick_text_column(pages))).alias("text_hash"))
+
+
+@query("pick_text_column_crisis", "SELECT event_id AS id, substr(sha256(props), 1, 16) AS text_hash FROM events")
+def pick_text_column_crisis(spark, d):
+    """The source's own candidates decide: comment is none of them here."""
+    events = inputs.table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("comment"), F.col("props").alias("tweet_text"))
+    return events.select("id", tx.text_hash(F.col(readers.pick_text_column(events, fixed.CRISIS_TEXT_COLUMNS))).alias("text_hash"))
 
 
 @query("test_limit", f"SELECT doc_id AS id, {_HASH} FROM documents ORDER BY doc_id LIMIT 50")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
-from ..operators import curves as cv, trust as tr
-from ..sources.shared import shared_dir
+from ..operators import curves as cv, sampling as sp, trust as tr
+from ..sources.shared import shared_dir, stored
 from . import inputs
 from .oracle_parts import PRICES, RANK_AUC, SCORES, SUPERVISED, parsed
+from .q_sampling import _COUNTS, _shares
 from .q_text import _BASE
 from .registry import query, r6
 
@@ -36,33 +37,73 @@ def _training_rows(spark, d):
     return tr.trust_features(inputs.trust_inputs(spark, d).filter("is_valid"))
 
 
+_SIDES = f"""{parsed()}, rows AS (SELECT row_id AS id, coalesce((llm_label = gold_label)::INT, 0) AS label, md5('42:' || row_id) AS h FROM ann WHERE is_valid),
+  {_COUNTS}, s AS (SELECT *, ceil(0.2::DOUBLE * tot)::BIGINT AS held FROM c), {_shares('s', 'n', 'tot - held', 'train', 'q')}"""
+
+
+def _trained_sql(name: str) -> str:
+    """What is determined about a fitted model: its rows and right answers per side, and that its checks hold."""
+    checks = "true AS scores_valid, true AS threshold_is_best, true AS converged"
+    return f"""WITH {_SIDES} SELECT '{name}' AS model_type, 'train' AS split, sum(train)::BIGINT AS n, sum(train) FILTER (WHERE label = 1)::BIGINT AS positives, {checks} FROM q
+      UNION ALL SELECT '{name}', 'validation', sum(n - train)::BIGINT, sum(n - train) FILTER (WHERE label = 1)::BIGINT, true, true, true FROM q"""
+
+
+def _gradient(scored, trained) -> float:
+    """Largest slope of the penalised loss at the solution; it vanishes there."""
+    weights = trained.model.stages[-1].coefficients.toArray()
+    gap = F.col("trust_score") - F.col("trust_label")
+    sums = scored.filter("split = 'train'").agg(F.count("*"), *[F.sum(gap * F.col(c)) for c in trained.feature_columns]).first()
+    return max(abs(sums[j + 1] + w) / sums[0] for j, w in enumerate(weights))
+
+
+def _best_f1(held, threshold: float) -> bool:
+    """No distinct score of the held-out rows has a better F1 than the threshold chosen; counted anew, row against threshold."""
+    counts = held.groupBy("trust_score").agg(F.sum("trust_label").alias("tp"), F.count("*").alias("n"))
+    above = Window.orderBy(F.desc("trust_score"))  # one row per distinct score of the labelled rows held out
+    run = counts.select("trust_score", F.sum("tp").over(above).alias("tp"), F.sum("n").over(above).alias("n"), F.sum("tp").over(Window.partitionBy()).alias("pos"))
+    p, r = F.col("tp") / F.col("n"), F.col("tp") / F.col("pos")
+    f1 = run.select("trust_score", (2 * p * r / (p + r + 1e-8)).alias("f1")).agg(F.max("f1"), F.max(F.when(F.col("trust_score") == threshold, F.col("f1")))).first()
+    return f1[1] is not None and abs(f1[0] - f1[1]) < 1e-9
+
+
 def _trained(name: str):
     def run(spark, d):
-        _, metrics = tr.train_trust(_training_rows(spark, d), name)
-        values = [(name, *[metrics[k] for k in ("train_accuracy", "val_accuracy", "val_auc", "optimal_threshold")])]
-        schema = "model_type string, train_accuracy double, val_accuracy double, val_auc double, optimal_threshold double"
-        return spark.createDataFrame(values, schema)
+        rows = tr.trust_label(_training_rows(spark, d))
+        trained, _ = tr.train_trust(rows, name)
+        parts = sp.split_in_two(rows, 0.2, "train", "validation", "row_id", "trust_label")
+        scored = stored(trained.score(parts), "scored")
+        converged = _gradient(scored, trained) < 1e-3 if name == "logistic_regression" else True
+        best = _best_f1(scored.filter("split = 'validation'"), trained.threshold)
+        return scored.groupBy("split").agg(
+            F.count("*").alias("n"), F.sum("trust_label").cast("long").alias("positives"), F.bool_and(F.col("trust_score").between(0, 1)).alias("scores_valid")
+        ).select(F.lit(name).alias("model_type"), "*", F.lit(best).alias("threshold_is_best"), F.lit(converged).alias("converged"))
 
     return run
 
 
-query("train_trust")(_trained("logistic_regression"))
-query("train_trust_forest")(_trained("random_forest"))
-query("train_trust_boosting")(_trained("gradient_boosting"))
+for _name, _kind in (("train_trust", "logistic_regression"), ("train_trust_forest", "random_forest"), ("train_trust_boosting", "gradient_boosting")):
+    query(_name, _trained_sql(_kind))(_trained(_kind))
 
 
-@query("score_trust")
+@query("score_trust", f"WITH {parsed()} SELECT row_id, true AS score_valid, true AS decision_follows FROM ann WHERE is_valid")
 def score_trust(spark, d):
     rows = _training_rows(spark, d)
     trained, _ = tr.train_trust(rows)
-    return tr.trust_decision(trained.score(rows), trained.threshold).select("row_id", r6("trust_score"), "trust_decision")
+    decided = tr.trust_decision(trained.score(rows), trained.threshold)
+    follows = F.col("trust_decision") == (F.col("trust_score") >= trained.threshold).cast("int")
+    return decided.select("row_id", F.col("trust_score").between(0, 1).alias("score_valid"), follows.alias("decision_follows"))
 
 
-@query("save_trust", f"WITH {parsed()} SELECT row_id, true AS same_score, true AS same_threshold FROM ann WHERE is_valid")
+@query(
+    "save_trust",
+    f"""WITH {parsed()} SELECT row_id, true AS same_score, true AS same_threshold, 'logistic_regression' AS model_type, 'jigsaw' AS task,
+      '{",".join(tr.FEATURE_COLUMNS)}' AS columns FROM ann WHERE is_valid""",
+)
 def save_trust(spark, d):
-    """Scores of a model before saving and after loading must agree on every row."""
+    """Scores of a model before saving and after loading must agree on every row, and so must what is kept about it."""
     rows = _training_rows(spark, d)
     trained, _ = tr.train_trust(rows)
+    trained.task = "jigsaw"
     path = shared_dir(spark, "trust-model")
     tr.save_trust(spark, trained, path)
     loaded = tr.load_trust(spark, path)
@@ -72,6 +113,9 @@ def save_trust(spark, d):
         "row_id",
         (F.abs(F.col("before") - F.col("trust_score")) < 1e-12).alias("same_score"),
         F.lit(loaded.threshold == trained.threshold).alias("same_threshold"),
+        F.lit(loaded.model_type).alias("model_type"),
+        F.lit(loaded.task).alias("task"),
+        F.lit(",".join(loaded.feature_columns)).alias("columns"),
     )
 
 

@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from ..functions import probability as pr
 from ..operators import calibration as cal, uncertainty as un
+from ..sources import readers, sinks
+from ..sources.shared import shared_dir
 from . import inputs
 from .oracle_parts import classes
 from .registry import query, r6
 
 GRID = [0.02, 0.05, 0.1, 0.25, 0.5, 1.0, 2.0, 5.0]
-THRESHOLDS = [0.5, 0.6, 0.7, 0.8, 0.9, 0.5, 0.6, 0.7, 0.8, 0.9]
+THRESHOLDS = [(0.5, 0.6, 0.7, 0.8, 0.9)[c % 5] for c in range(64)]
 
 
 @query("softmax", f"WITH {classes(1.0)} SELECT id, c, round(p, 6) AS p FROM prob")
@@ -88,10 +90,16 @@ def multilabel_confidence(spark, d):
 
 @query(
     "verify_predictions",
-    f"""WITH {classes()} SELECT count(*) AS n, round(avg(total), 6) AS mean_probability_sum, 0.0::DOUBLE AS max_entropy_gap FROM pred""",
+    f"""WITH {classes()}, seen AS (SELECT example_id, entropy AS again, total, entropy + CASE WHEN example_id % 50 = 0 THEN 0.25 ELSE 0 END AS entropy FROM pred)
+      SELECT count(*) AS n, round(avg(total), 6) AS mean_probability_sum, round(max(abs(again - entropy)), 6) AS max_entropy_gap FROM seen""",
 )
 def verify_predictions(spark, d):
-    return un.verify_predictions(inputs.class_predictions(spark, d)).select("n", r6("mean_probability_sum"), r6("max_entropy_gap"))
+    """Predictions are written and read back; some carry a wrong entropy, which the check has to find."""
+    wrong = F.col("entropy") + F.when(F.col("example_id") % 50 == 0, 0.25).otherwise(0.0)
+    path = shared_dir(spark, "verify")
+    sinks.write_predictions(inputs.class_predictions(spark, d).withColumn("entropy", wrong), path)
+    fields = ["example_id", "probabilities", "entropy"]
+    return un.verify_predictions(readers.load_predictions(spark, path, fields=fields)).select("n", r6("mean_probability_sum"), r6("max_entropy_gap"))
 
 
 @query(
@@ -143,9 +151,10 @@ def fit_temperature(spark, d):
 
 @query(
     "apply_calibration",
-    f"""WITH {classes(0.5)} SELECT example_id, predicted_label::INT AS predicted_label, round(max_prob, 6) AS max_prob,
-      round(entropy, 6) AS entropy FROM pred""",
+    f"""WITH {classes(0.5)}, l AS (SELECT id AS example_id, sum(z / 0.5) AS logit_sum FROM cell GROUP BY id)
+      SELECT example_id, predicted_label::INT AS predicted_label, round(max_prob, 6) AS max_prob,
+      round(entropy, 6) AS entropy, round(logit_sum, 6) AS logit_sum FROM pred JOIN l USING (example_id)""",
 )
 def apply_calibration(spark, d):
     out = un.predictions(inputs.class_logits(spark, d), temperature=0.5)
-    return out.select("example_id", "predicted_label", r6("max_prob"), r6("entropy"))
+    return out.select("example_id", "predicted_label", r6("max_prob"), r6("entropy"), r6(pr.array_sum(F.col("logits")), "logit_sum"))

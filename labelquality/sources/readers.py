@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import fixed
+from ..operators import sampling
 from ..operators.sampling import factorize_labels
 
 SPLITS = ("train", "dev", "test")
 CSV_OPTIONS = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+def _found(read: Callable[[], DataFrame]) -> DataFrame | None:
+    """What ``read`` returns, or None if the path does not exist."""
+    try:
+        return read()
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def _all_splits(parts: Sequence[tuple[str, DataFrame]]) -> DataFrame:
@@ -26,24 +33,43 @@ def _all_splits(parts: Sequence[tuple[str, DataFrame]]) -> DataFrame:
     return out
 
 
-def read_csv_splits(spark: SparkSession, folder: str, types: dict[str, str] | None = None) -> DataFrame | None:
+def narrowest_label(df: DataFrame, label_col: str = "label") -> DataFrame:
+    """A string label column as int if all its values are whole numbers, as double if all are numbers, else as it is.
+
+    One aggregate job over the column decides, so no value is lost.
+    """
+    text = F.btrim(F.col(label_col))
+    whole, number = text.rlike(r"^[+-]?[0-9]{1,9}$"), text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")
+    ints, numbers = df.agg(F.bool_and(whole), F.bool_and(number)).first()
+    kind = "int" if ints else "double" if numbers else None
+    return df.withColumn(label_col, text.cast(kind)) if kind else df
+
+
+def read_csv_file(spark: SparkSession, path: str, types: dict[str, str] | None = None, multi_line: bool = True) -> DataFrame | None:
+    """A CSV file (or folder of them) with text and label; None unless it exists and has both. Columns are strings except those in ``types``.
+
+    Quoted texts may contain line breaks, which makes one task of each file; without them, ``multi_line=False`` splits files. Large sets
+    should come as many files or as parquet.
+    """
+    options = CSV_OPTIONS | {"multiLine": multi_line}
+    header = _found(lambda: spark.read.options(**options).csv(path))
+    if header is None or not {"text", "label"} <= set(header.columns):
+        return None
+    schema = ", ".join(f"`{c}` {(types or {}).get(c, 'string')}" for c in header.columns)
+    return spark.read.schema(schema).options(**options).csv(path)
+
+
+def read_csv_splits(spark: SparkSession, folder: str, types: dict[str, str] | None = None, multi_line: bool = True) -> DataFrame | None:
     """train.csv, dev.csv and test.csv (files or folders of files) as one table with a split column.
 
-    None unless all three exist and hold text and label. Quoted texts may contain line breaks and doubled
-    quotes. Columns are strings except label (int) and those named in ``types``; nothing is inferred.
+    None unless all three exist and hold text and label. Labels stay what they are in the files: whole numbers,
+    numbers or text (``narrowest_label``), unless ``types`` names their type.
     """
-    paths = {s: f"{folder}/{s}.csv" for s in SPLITS}
-    if not all(_exists(spark, p) for p in paths.values()):
+    parts = [(s, read_csv_file(spark, f"{folder}/{s}.csv", types, multi_line)) for s in SPLITS]
+    if any(df is None for _, df in parts):
         return None
-    known = {"label": "int", **(types or {})}
-    parts = []
-    for split, path in paths.items():
-        header = spark.read.options(**CSV_OPTIONS).csv(path).columns
-        if not {"text", "label"} <= set(header):
-            return None
-        schema = ", ".join(f"`{c}` {known.get(c, 'string')}" for c in header)
-        parts.append((split, spark.read.schema(schema).options(**CSV_OPTIONS).csv(path)))
-    return _all_splits(parts)
+    out = _all_splits(parts)
+    return out if "label" in (types or {}) else narrowest_label(out)
 
 
 def claims(df: DataFrame) -> DataFrame:
@@ -57,18 +83,22 @@ def claims(df: DataFrame) -> DataFrame:
 
 
 def read_jsonl_claims(
-    spark: SparkSession, folder: str, files: Sequence[str] = ("train", "paper_dev", "paper_test"), columns: str = "claim string, label string"
+    spark: SparkSession,
+    folder: str,
+    files: Sequence[str] = ("train", "paper_dev", "paper_test"),
+    columns: str = "claim string, label string",
+    mode: str = "FAILFAST",
 ) -> DataFrame | None:
-    """Claims in JSON lines, one file (or folder) per split; None unless all exist."""
-    paths = [f"{folder}/{name}.jsonl" for name in files]
-    if not all(_exists(spark, p) for p in paths):
+    """Claims in JSON lines, one file (or folder) per split; None unless all exist. A broken line is an error; ``mode="DROPMALFORMED"`` skips it."""
+    parts = [_found(lambda name=name: spark.read.schema(columns).option("mode", mode).json(f"{folder}/{name}.jsonl")) for name in files]
+    if any(df is None for df in parts):
         return None
-    return _all_splits([(s, claims(spark.read.schema(columns).json(p))) for s, p in zip(SPLITS, paths)])
+    return _all_splits([(s, claims(df)) for s, df in zip(SPLITS, parts)])
 
 
-def pick_text_column(df: DataFrame) -> str:
-    """The known text column if there is one, else the first string column, else the first column."""
-    for name in fixed.TEXT_COLUMNS:
+def pick_text_column(df: DataFrame, candidates: Sequence[str] = tuple(fixed.TOXICITY_TEXT_COLUMNS)) -> str:
+    """The first of the source's text columns that there is, else the first string column, else the first column."""
+    for name in candidates:
         if name in df.columns:
             return name
     strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
@@ -102,26 +132,50 @@ def normalize_crisis_source(df: DataFrame, id_col: str, keep: Sequence[str] = ()
     names = [c for c in fixed.LABEL_COLUMNS if c in df.columns]
     if not names:
         raise ValueError("Could not find label column")
-    name, text = names[0], pick_text_column(df)
+    name, text = names[0], pick_text_column(df, fixed.CRISIS_TEXT_COLUMNS)
     if isinstance(df.schema[name].dataType, T.StringType):
         coded = factorize_labels(df.select(*{*keep, id_col, text, name}), name, id_col, "_code")
         return coded.select(*keep, F.col(text).alias("text"), F.col("_code").cast("int").alias("label"))
     return df.select(*keep, F.col(text).alias("text"), F.col(name).cast("int").alias("label"))
 
 
-def load_dataset(spark: SparkSession, name: str, root: str, **options) -> DataFrame:
-    """Labelled text of a data set by name, from ``root/<name>``."""
-    readers = {
-        "imdb": read_csv_splits,
-        "jigsaw": read_csv_splits,
-        "crisisbench": read_csv_splits,
-        "crisisbench_humanitarian": read_csv_splits,
-        "crisisbench_informativeness": read_csv_splits,
-        "fever": read_jsonl_claims,
-    }
-    if name not in readers:
+def normalize_review_source(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Review sources to (text, label), plus ``keep``."""
+    return df.select(*keep, F.col(pick_text_column(df, fixed.REVIEW_TEXT_COLUMNS)).alias("text"), F.col("label").cast("int").alias("label"))
+
+
+#: How a raw table of a data set becomes (text, label), and where its dev split is cut from if it has none.
+RAW_SOURCES = {
+    "imdb": (lambda df, i: normalize_review_source(df, (i, "split")), "test"),
+    "jigsaw": (lambda df, i: normalize_label_source(df, (i, "split")), "train"),
+    **{name: (lambda df, i: normalize_crisis_source(df, i, (i, "split")), "train") for name in ("crisisbench", "crisisbench_humanitarian", "crisisbench_informativeness")},
+}
+
+
+def load_dataset(spark: SparkSession, name: str, root: str, id_col: str = "id", **options) -> DataFrame:
+    """Labelled text of a data set by name, from the first of these that ``root/<name>`` has:
+
+    for jigsaw a stratified sample, sample.csv, nearly all of which becomes test (``sampling.mini_splits``); train.csv,
+    dev.csv and test.csv; a parquet table ``raw`` in the source's own columns with ``id_col`` and split, whose columns are
+    normalised and whose missing splits are cut by the data set's rule. Claims (fever) come as JSON lines.
+    """
+    folder = f"{root}/{name}"
+    if name == "fever":
+        found = read_jsonl_claims(spark, folder, **options)
+    elif name not in RAW_SOURCES:
         raise ValueError(f"Unknown dataset: {name}")
-    found = readers[name](spark, f"{root}/{name}", **options)
+    else:
+        found = None
+        sample = read_csv_file(spark, f"{folder}/sample.csv", **options) if name == "jigsaw" else None
+        if sample is not None and id_col in sample.columns:
+            found = sampling.mini_splits(sample if "label" in (options.get("types") or {}) else narrowest_label(sample), id_col)
+        if found is None:
+            found = read_csv_splits(spark, folder, **options)
+        if found is None:
+            raw = _found(lambda: spark.read.parquet(f"{folder}/raw"))
+            if raw is not None:
+                normalize, dev_from = RAW_SOURCES[name]
+                found = sampling.split_from_existing(normalize(raw, id_col), "split", id_col, "label", dev_from=dev_from)
     if found is None:
         raise FileNotFoundError(f"no complete set of files for {name} under {root}")
     return found
@@ -149,18 +203,20 @@ PREDICTION_FIELDS = {
 }
 
 
-def load_predictions(spark: SparkSession, path: str, form: str = "parquet", fields: Sequence[str] = tuple(PREDICTION_FIELDS)) -> DataFrame:
+def load_predictions(
+    spark: SparkSession, path: str, form: str = "parquet", fields: Sequence[str] = tuple(PREDICTION_FIELDS), multi_line: bool = False
+) -> DataFrame:
     """Saved predictions as rows.
 
-    ``form`` "columns" reads JSON objects that hold parallel lists, one object per line or file (pass the
-    fields present); "parquet" reads rows as they are.
+    ``form`` "columns" reads JSON objects that hold parallel lists (pass the fields present): one object per line, or
+    with ``multi_line`` one object per file, spread over its lines. "parquet" reads rows as they are.
     """
     if form == "parquet":
         return spark.read.parquet(path).select(*fields)
     if form != "columns":
         raise ValueError(f"Unknown form: {form}")
     schema = ", ".join(f"{f} array<{PREDICTION_FIELDS[f]}>" for f in fields)
-    lists = spark.read.schema(schema).option("multiLine", not _exists(spark, f"{path}/_SUCCESS")).json(path)
+    lists = spark.read.schema(schema).option("multiLine", multi_line).option("mode", "FAILFAST").json(path)
     return lists.select(F.inline(F.arrays_zip(*fields)))
 
 

@@ -8,7 +8,6 @@ import check
 from labelquality.plans import catalog
 
 QUERIES, ORACLES = catalog.queries(), catalog.oracles()
-SLOW = {"train_trust_forest", "train_trust_boosting"}  # their learners are covered in test_trust
 
 
 @pytest.fixture(scope="module")
@@ -23,7 +22,7 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in SLOW])
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, small, name):
     """Values agree with the oracle; no cross join, and Python only where a model is plugged in."""
     plans = []
@@ -41,7 +40,7 @@ def test_query(spark, con, small, name):
 
 def test_contract(spark):
     assert set(ORACLES) <= set(QUERIES)
-    assert {n for n in QUERIES if n not in ORACLES} == {"train_trust", "train_trust_forest", "train_trust_boosting", "score_trust"}
+    assert set(QUERIES) == set(ORACLES)
     out = entry.entry(spark)
     assert out.count() == 1 and "cohen_kappa" in out.columns
 

@@ -7,7 +7,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelquality.operators import sampling as sp
-from labelquality.operators.small import bounded
 
 
 def frame(spark, counts):
@@ -71,12 +70,74 @@ def test_one_label_only_and_empty(spark):
     assert sp.stratified_split(one.filter("false")).count() == 0
 
 
-def test_beyond_the_broadcast_bound(spark, monkeypatch):
-    """With more labels than may be broadcast, the joins shuffle and the result is the same."""
-    df = frame(spark, [3 + i % 5 for i in range(60)])
-    small = {r.id: r.split for r in sp.stratified_split(df).collect()}
-    monkeypatch.setattr(sp, "bounded", lambda t: bounded(t, 5))
-    assert {r.id: r.split for r in sp.stratified_split(df).collect()} == small
+def test_null_is_a_label(spark):
+    rows = [(i, None if i % 4 == 0 else "ab"[i % 2]) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, label string")
+    sample = sp.stratified_sample_n(df, 100)
+    assert sample.count() == 100 and sample.filter("label IS NULL").count() == 25
+    split = {r.split: r["count"] for r in sp.stratified_split(df).groupBy("split").count().collect()}
+    assert split == {"train": 140, "dev": 30, "test": 30}
+
+
+def test_repeated_ids_are_refused(spark):
+    df = spark.createDataFrame([(7, "a")] * 100, "id long, label string")
+    with pytest.raises(Exception, match="ids repeat"):
+        sp.stratified_sample_n(df, 10).count()
+
+
+def test_building_runs_no_job(spark):
+    df = frame(spark, [50, 30])
+    spark.sparkContext.setJobGroup("lazy", "lazy")
+    try:
+        sample = sp.stratified_sample_n(df, 20)
+        sp.stratified_split(df), sp.mini_splits(df), sp.sampling_report(df, sample), sp.factorize_labels(df, "label")
+        sp.split_from_existing(df.withColumn("split", F.lit("train")), present=["train"])
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("lazy")
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+
+
+def test_many_labels(spark, monkeypatch):
+    monkeypatch.setattr(sp, "MAX_LABELS", 5)
+    with pytest.raises(Exception, match="more than 5 labels"):
+        sp.stratified_split(frame(spark, [3] * 6)).collect()
+
+
+def test_split_rules(spark):
+    """validation is dev; dev from train where the data set says so; unknown names and NULL do not pass unseen."""
+    base = spark.range(1000).withColumn("label", (F.col("id") < 700).cast("int"))
+    name = F.when(F.col("id") % 10 < 6, "train").when(F.col("id") % 10 < 8, "validation").otherwise("test")
+    got = {r.split: r["count"] for r in sp.split_from_existing(base.withColumn("split", name)).groupBy("split").count().collect()}
+    assert got == {"train": 600, "dev": 200, "test": 200}
+    two = base.withColumn("split", F.when(F.col("id") % 10 < 6, "train").otherwise("test"))
+    got = {r.split: r["count"] for r in sp.split_from_existing(two, dev_from="train").groupBy("split").count().collect()}
+    assert got == {"train": 510, "dev": 90, "test": 400}
+    many = base.withColumn("split", F.concat(F.lit("s"), F.col("id") % 9)).withColumn("split", F.when(F.col("id") < 500, "train").when(F.col("id") < 700, "test").otherwise(F.col("split")))
+    out = sp.split_from_existing(many)
+    assert out.filter("split = 'train'").count() == 500 and out.count() == 1000
+    with pytest.raises(Exception, match="no split"):
+        sp.split_from_existing(base.withColumn("split", F.when(F.col("id") > 20, "train"))).collect()
+
+
+def test_chi_square_tail(spark):
+    import math
+
+    from labelquality.functions.statistics import chi2_ln_sf, chi2_sf
+
+    def exact(x, dof):
+        h = x / 2
+        if dof % 2 == 0:
+            terms = [j * math.log(h) - math.lgamma(j + 1) for j in range(dof // 2)]
+        else:
+            e = math.erfc(math.sqrt(h))
+            start = math.log(e) + h if e > 0 else math.log((1 - 1 / (2 * h) + 3 / (4 * h * h)) / math.sqrt(math.pi * h))
+            terms = [start] + [(j - 0.5) * math.log(h) - math.lgamma(j + 0.5) for j in range(1, (dof - 1) // 2 + 1)]
+        top = max(terms)
+        return -h + top + math.log(sum(math.exp(t - top) for t in terms))
+
+    rows = [(x, k) for x in (1e-3, 0.5, 8.0, 50.0, 1500.0, 2000.0, 1e6, 1e10) for k in range(1, 51)]
+    for r in spark.createDataFrame(rows, "x double, k int").select("x", "k", chi2_ln_sf(F.col("x"), F.col("k")).alias("l"), chi2_sf(F.col("x"), F.col("k")).alias("p")).collect():
+        assert r.l == pytest.approx(exact(r.x, r.k), rel=1e-9, abs=1e-12) and 0 <= r.p <= 1
 
 
 def test_mini_splits(spark):

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from labelquality.functions import fixed
 from labelquality.operators import annotations as an
 from labelquality.sources import readers, sinks
 from labelquality.sources.shared import shared_dir
@@ -68,7 +69,42 @@ def test_text_column_rules(spark):
         return readers.pick_text_column(spark.createDataFrame([], schema))
 
     assert pick("a string, comment string, comment_text string") == "comment_text"
-    assert pick("a int, b string, c string") == "b" and pick("a int, b int") == "a" and pick("id int, tweet_text string") == "tweet_text"
+    assert pick("a int, b string, c string") == "b" and pick("a int, b int") == "a"
+    crisis = spark.createDataFrame([], "id int, comment string, tweet_text string")
+    assert readers.pick_text_column(crisis, fixed.CRISIS_TEXT_COLUMNS) == "tweet_text"
+
+
+@pytest.mark.parametrize("labels, kind", [(["1", "0", None], "int"), (["1.0", "0"], "double"), (["informative", "1"], "string")])
+def test_csv_labels_keep_their_values(spark, labels, kind):
+    root = shared_dir(spark, "csv")
+    for s in readers.SPLITS:
+        sinks.write_csv(spark.createDataFrame([("t", x) for x in labels], "text string, label string"), f"{root}/{s}.csv")
+    back = readers.read_csv_splits(spark, root)
+    assert dict(back.dtypes)["label"] == kind and back.filter("label IS NOT NULL").count() == 3 * sum(x is not None for x in labels)
+
+
+def test_broken_claim_lines_are_an_error(spark, tmp_path):
+    for name in ("train", "paper_dev", "paper_test"):
+        (tmp_path / f"{name}.jsonl").write_text('{"claim": "a", "label": "SUPPORTS"}\n{"claim": "b", "lab\n')
+    with pytest.raises(Exception, match="MALFORMED"):
+        readers.read_jsonl_claims(spark, str(tmp_path)).collect()
+    assert readers.read_jsonl_claims(spark, str(tmp_path), mode="DROPMALFORMED").count() == 3
+
+
+def test_predictions_one_object_per_line(spark, tmp_path):
+    (tmp_path / "p.json").write_text('{"example_id": [1, 2]}\n{"example_id": [3, 4]}\n')
+    rows = readers.load_predictions(spark, str(tmp_path), "columns", ["example_id"]).collect()
+    assert sorted(r[0] for r in rows) == [1, 2, 3, 4]
+
+
+def test_jigsaw_prefers_the_sample(spark):
+    root = shared_dir(spark, "data")
+    rows = spark.createDataFrame([(i, f"t{i}", i % 2) for i in range(1000)], "id long, text string, label int")
+    sinks.write_csv(rows, f"{root}/jigsaw/sample.csv")
+    for s in readers.SPLITS:
+        sinks.write_csv(rows.limit(3), f"{root}/jigsaw/{s}.csv")
+    got = {r.split: r["count"] for r in readers.load_dataset(spark, "jigsaw", root).groupBy("split").count().collect()}
+    assert got == {"train": 5, "dev": 5, "test": 990}
 
 
 def test_crisis_labels(spark):
@@ -87,7 +123,7 @@ def test_registry(spark):
 def test_predictions_as_one_object_of_lists(spark, tmp_path):
     data = {"example_id": [0, 1], "gold_label": [1, 0], "probabilities": [[0.2, 0.8], [0.5, 0.5]], "correct": [True, True]}
     (tmp_path / "p.json").write_text(json.dumps(data, indent=2))
-    rows = readers.load_predictions(spark, str(tmp_path / "p.json"), "columns", list(data)).orderBy("example_id").collect()
+    rows = readers.load_predictions(spark, str(tmp_path / "p.json"), "columns", list(data), multi_line=True).orderBy("example_id").collect()
     assert [tuple(r) for r in rows] == [(0, 1, [0.2, 0.8], True), (1, 0, [0.5, 0.5], True)]
 
 
