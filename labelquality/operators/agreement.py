@@ -175,7 +175,11 @@ def krippendorff_alpha(df: DataFrame, true: str, pred: str) -> DataFrame:
 
 def weighted_agreement(df: DataFrame, true: str, pred: str) -> DataFrame:
     """Linear-weight agreement: 1 - |i - j| / (k - 1) averaged over rows, i and j being label positions."""
-    cells = confusion_counts(df, true, pred)
+    return weighted_agreement_of(confusion_counts(df, true, pred))
+
+
+def weighted_agreement_of(cells: DataFrame) -> DataFrame:
+    """The same from counted cells (gold, pred, n)."""
     labels = cells.select(F.explode(F.array("gold", "pred")).alias("label")).agg(F.sort_array(F.collect_set("label")))
     placed = cells.withColumn("labels", labels.scalar())
     gap = F.abs(F.array_position("labels", F.col("gold")) - F.array_position("labels", F.col("pred")))
@@ -376,7 +380,7 @@ def comprehensive_metrics(
     out = _long(weighted, "classification", ["accuracy", *METRICS])
     coded = scores.select("accuracy", "cohen_kappa", "krippendorff_alpha", F.col("accuracy").alias("percentage_agreement"))
     out = out.unionByName(_long(coded, "agreement", coded.columns))
-    out = out.unionByName(_long(weighted_agreement(df, true, pred), "agreement", ["weighted_agreement"]))
+    out = out.unionByName(_long(weighted_agreement_of(cells), "agreement", ["weighted_agreement"]))
     if prob:
         cal = calibration.calibration_metrics(df, prob, true)
         out = out.unionByName(_long(cal, "calibration", ["ece", "mce", "brier_score", "reliability", "resolution"]))

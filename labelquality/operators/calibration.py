@@ -62,8 +62,8 @@ def reliability_bins(df: DataFrame, prob: Column, outcome: Column, bins: int = f
     )
 
 
-def calibration_summary(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """ECE, MCE and the reliability and resolution terms, from ``bin_counts``."""
+def calibration_summary(counts: DataFrame, by: Sequence[str] = (), more: dict[str, Column] | None = None) -> DataFrame:
+    """ECE, MCE and the reliability and resolution terms, from ``bin_counts``; ``more`` are aggregates of the same pass."""
     total = F.sum("n")
     inside = F.col("bin") > 0
     gap = F.when(inside, F.abs(F.col("sum_p") - F.col("sum_y")))
@@ -78,6 +78,7 @@ def calibration_summary(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.coalesce(F.max(gap / F.col("n")), F.lit(0.0)).alias("mce"),
         F.coalesce(F.sum(gap * gap / F.col("n")) / total, F.lit(0.0)).alias("reliability"),
         F.coalesce(second - 2.0 * base * first + base * base * share, F.lit(0.0)).alias("resolution"),
+        *[c.alias(name) for name, c in (more or {}).items()],
     )
 
 
@@ -100,8 +101,8 @@ def calibration_metrics(df: DataFrame, prob: str, outcome: str, bins: int = fixe
             F.sum((F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))).alias("sum_sq"),
         )
     )
-    brier = counts.agg(F.sum("sum_sq") / F.sum("n"))
-    return calibration_summary(counts).withColumn("brier_score", brier.scalar())
+    brier = F.sum("sum_sq") / F.sum("n")
+    return calibration_summary(counts, more={"brier_score": brier})
 
 
 def ece_binary(df: DataFrame, prob: str, outcome: str, bins: int = fixed.BINARY_BINS) -> DataFrame:

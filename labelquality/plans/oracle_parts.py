@@ -148,3 +148,37 @@ def edges(bins: int) -> str:
 RANK_AUC = """auc AS (SELECT (sum(mid) FILTER (WHERE y = 1) - count(*) FILTER (WHERE y = 1) * (count(*) FILTER (WHERE y = 1) + 1) / 2.0::DOUBLE)
    / (count(*) FILTER (WHERE y = 1)::DOUBLE * count(*) FILTER (WHERE y = 0)) AS a
    FROM (SELECT y, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0::DOUBLE AS mid FROM ps) r)"""
+
+
+def bundle_rows(cells: str, group_cells: str) -> str:
+    """Rows (section, group, metric, value) of classification, agreement and fairness for labels 0 and 1.
+
+    ``cells`` has (gold, pred, n) and ``group_cells`` (grp, gold, pred, n). For two classes the linear weights leave the
+    plain agreement.
+    """
+    def scores(source: str, by: str) -> str:
+        g, on = (f"{by}, ", f"GROUP BY {by}") if by else ("", "")
+        return f"""SELECT {g}sum(tp)::DOUBLE / sum(support) AS accuracy, sum(pr * support) / sum(support) AS "precision", sum(rc * support) / sum(support) AS recall,
+          sum(f1 * support) / sum(support) AS f1_score, sum(support)::DOUBLE AS sample_size, 1 - sum(tp)::DOUBLE / sum(support) AS error_rate,
+          sum(support::DOUBLE * predicted) / (sum(support)::DOUBLE * sum(support)) AS pe,
+          1 - sum((support + predicted) * (support + predicted - 1.0::DOUBLE)) / (2.0::DOUBLE * sum(support) * (2.0::DOUBLE * sum(support) - 1)) AS de FROM {source} {on}"""
+
+    def per(name: str, source: str, by: str) -> str:
+        g = f"{by}, " if by else ""
+        on = f" AND a.{by} IS NOT DISTINCT FROM b.{by}" if by else ""
+        key = f"a.{by}, " if by else ""
+        return f"""{name} AS (SELECT {g}label, tp, support, predicted, CASE WHEN predicted > 0 THEN tp::DOUBLE / predicted ELSE 0 END AS pr,
+          CASE WHEN support > 0 THEN tp::DOUBLE / support ELSE 0 END AS rc, 2.0::DOUBLE * tp / (support + predicted) AS f1 FROM (
+          SELECT {key}a.l AS label, sum(CASE WHEN gold = l AND pred = l THEN n ELSE 0 END)::BIGINT AS tp, sum(CASE WHEN gold = l THEN n ELSE 0 END)::BIGINT AS support,
+            sum(CASE WHEN pred = l THEN n ELSE 0 END)::BIGINT AS predicted
+          FROM (SELECT DISTINCT {g}unnest([gold, pred]) AS l FROM {source}) a JOIN {source} b ON true{on} GROUP BY ALL) q)"""
+
+    def rows(section: str, group: str, table: str, pairs: dict[str, str]) -> str:
+        return " UNION ALL ".join(f"SELECT '{section}' AS section, {group} AS \"group\", '{m}' AS metric, round(({e})::DOUBLE, 6) AS value FROM {table}" for m, e in pairs.items())
+
+    plain = {m: f'"{m}"' for m in ("accuracy", "precision", "recall", "f1_score")}
+    agree = {"accuracy": "accuracy", "cohen_kappa": "(accuracy - pe) / (1 - pe)", "krippendorff_alpha": "1 - (1 - accuracy) / de", "percentage_agreement": "accuracy", "weighted_agreement": "accuracy"}
+    fair = {**plain, "sample_size": "sample_size", "error_rate": "error_rate"}
+    ctes = ", ".join([per("all_cls", cells, ""), per("grp_cls", group_cells, "grp"), f"all_sc AS ({scores('all_cls', '')})", f"grp_sc AS ({scores('grp_cls', 'grp')})"])
+    body = " UNION ALL ".join([rows("classification", "'all'", "all_sc", plain), rows("agreement", "'all'", "all_sc", agree), rows("fairness", "grp", "grp_sc", fair)])
+    return f"{ctes}, bundle AS ({body})"

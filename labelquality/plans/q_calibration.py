@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import probability as pr
 from ..operators import agreement as ag, calibration as cal
 from . import inputs
-from .oracle_parts import RANK_AUC, SCORES, classes, edges
+from .oracle_parts import RANK_AUC, SCORES, bundle_rows, classes, edges
 from .registry import query, r6
 
 
@@ -127,30 +127,30 @@ def calibration_metrics(spark, d):
     return m.select("n", *[r6(c) for c in ("ece", "mce", "reliability", "resolution", "brier_score")])
 
 
-_ALL = f"""{_BINARY}, ps AS (SELECT p AS score, y FROM bs), d AS (SELECT y, (p >= 0.5)::INT AS q, grp FROM bs),
-  cal AS (SELECT sum(n)::BIGINT AS n, sum(CASE WHEN b IS NOT NULL THEN abs(sp - sy) END) / sum(n) AS ece,
-    max(CASE WHEN b IS NOT NULL THEN abs(sp - sy) / n END) AS mce, {_MURPHY})"""
+_F1 = "2 * prec * rec / (prec + rec + 1e-8::DOUBLE)"
 
 
 @query(
     "comprehensive_metrics_scores",
-    f"""WITH {_ALL}, {RANK_AUC}
-      SELECT 'classification' AS section, 'all' AS "group", 'accuracy' AS metric, round(avg((y = q)::INT), 6) AS value FROM d
-      UNION ALL SELECT 'agreement', 'all', 'percentage_agreement', round(avg((y = q)::INT), 6) FROM d
-      UNION ALL SELECT 'calibration', 'all', 'ece', round(ece, 6) FROM cal
-      UNION ALL SELECT 'calibration', 'all', 'mce', round(mce, 6) FROM cal
-      UNION ALL SELECT 'calibration', 'all', 'reliability', round(rel, 6) FROM cal
-      UNION ALL SELECT 'calibration', 'all', 'resolution', round(res, 6) FROM cal
+    f"""WITH {_BINARY}, ps AS (SELECT p AS score, y FROM bs), d AS (SELECT y AS gold, (p >= 0.5)::INT AS pred, grp FROM bs),
+      cells AS (SELECT gold, pred, count(*) AS n FROM d GROUP BY ALL), gcells AS (SELECT grp, gold, pred, count(*) AS n FROM d GROUP BY ALL),
+      cal AS (SELECT sum(CASE WHEN b IS NOT NULL THEN abs(sp - sy) END) / sum(n) AS ece, max(CASE WHEN b IS NOT NULL THEN abs(sp - sy) / n END) AS mce, {_MURPHY}),
+      g AS (SELECT score, sum(y)::BIGINT AS pos, sum(1 - y)::BIGINT AS neg FROM ps GROUP BY score),
+      cum AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER () AS np FROM g WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
+      curve AS (SELECT *, tp::DOUBLE / (tp + fp) AS prec, tp::DOUBLE / np AS rec FROM cum),
+      {RANK_AUC}, {bundle_rows('cells', 'gcells')}
+      SELECT * FROM bundle
+      UNION ALL SELECT 'calibration', 'all', u.m, round(u.v, 6) FROM (SELECT unnest(['ece', 'mce', 'reliability', 'resolution']) AS m, unnest([ece, mce, rel, res]) AS v FROM cal) u
       UNION ALL SELECT 'calibration', 'all', 'brier_score', round(avg((p - y) ** 2), 6) FROM bs
-      UNION ALL SELECT 'fairness', grp, 'accuracy', round(avg((y = q)::INT), 6) FROM d GROUP BY grp
-      UNION ALL SELECT 'fairness', grp, 'sample_size', count(*)::DOUBLE FROM d GROUP BY grp
-      UNION ALL SELECT 'trust_prediction', 'all', 'roc_auc', round(a, 6) FROM auc""",
+      UNION ALL SELECT 'trust_prediction', 'all', 'roc_auc', round(a, 6) FROM auc
+      UNION ALL SELECT 'trust_prediction', 'all', 'pr_auc', round(sum(prec * pos / np), 6) FROM curve
+      UNION ALL SELECT 'trust_prediction', 'all', 'precision_at_90_recall', round(max(prec) FILTER (WHERE rec >= 0.9), 6) FROM curve
+      UNION ALL SELECT 'trust_prediction', 'all', 'precision_at_95_recall', round(max(prec) FILTER (WHERE rec >= 0.95), 6) FROM curve
+      UNION ALL SELECT 'trust_prediction', 'all', 'f1_score', round(max({_F1}), 6) FROM curve""",
 )
 def comprehensive_metrics_scores(spark, d):
     """All metric groups from one table of scores; the score also stands in as the trust score."""
     rows = inputs.binary_scores(spark, d).select(
         "p", "y", (F.col("p") >= 0.5).cast("int").alias("q"), F.array("grp").alias("groups")
     )
-    out = ag.comprehensive_metrics(rows, "y", "q", "p", "groups", "y", "p").select("section", "group", "metric", r6("value"))
-    shown = F.col("metric").isin("accuracy", "percentage_agreement", "sample_size", "roc_auc") | (F.col("section") == "calibration")
-    return out.filter(shown & ~((F.col("section") == "agreement") & (F.col("metric") == "accuracy")))
+    return ag.comprehensive_metrics(rows, "y", "q", "p", "groups", "y", "p").select("section", "group", "metric", r6("value"))

@@ -10,7 +10,7 @@ from ..sources import readers, sinks
 from ..sources.shared import shared_dir
 from ..streaming import incremental as inc
 from . import inputs, q_agreement as qa
-from .oracle_parts import LABELLED, classes, parsed
+from .oracle_parts import LABELLED, bundle_rows, classes, parsed
 from .q_responses import _ANN_COLUMNS
 from .q_sampling import _COUNTS, _RANKED, _SAMPLE, _DOCS, _shares
 from .registry import query, r6
@@ -277,16 +277,11 @@ def write_metrics(spark, d):
 
 @query(
     "comprehensive_metrics",
-    f"""WITH {qa._BIN_CELLS}, tot AS (SELECT sum(support)::DOUBLE AS n, sum(tp) / sum(support)::DOUBLE AS po,
-        sum(support::DOUBLE * predicted) / (sum(support)::DOUBLE * sum(support)) AS pe FROM cls)
-      SELECT 'classification' AS section, 'all' AS "group", u.metric, round(u.value, 6) AS value FROM (
-        SELECT unnest(['accuracy', 'precision', 'recall', 'f1_score']) AS metric,
-          unnest([any_value(po), sum(pr * support) / sum(support), sum(rc * support) / sum(support), sum(f1 * support) / sum(support)]) AS value FROM sc, tot) u
-      UNION ALL SELECT 'agreement', 'all', 'cohen_kappa', round((po - pe) / (1 - pe), 6) FROM tot
-      UNION ALL SELECT 'fairness', lang, 'accuracy', round(avg((gold_label = llm_label)::INT), 6) FROM ann WHERE is_valid AND llm_label >= 0 GROUP BY lang""",
+    f"""WITH {parsed()}, ok AS (SELECT gold_label AS gold, llm_label AS pred, lang AS grp FROM ann WHERE is_valid AND llm_label >= 0),
+      cells AS (SELECT gold, pred, count(*) AS n FROM ok GROUP BY ALL), gcells AS (SELECT grp, gold, pred, count(*) AS n FROM ok GROUP BY ALL),
+      {bundle_rows('cells', 'gcells')} SELECT * FROM bundle""",
 )
 def comprehensive_metrics(spark, d):
     ann = inputs.annotations(spark, d, keep=("lang",)).filter("is_valid AND llm_label >= 0")
     out = ag.comprehensive_metrics(ann.withColumn("groups", F.array("lang")), "gold_label", "llm_label", groups="groups")
-    keep = (F.col("section") == "classification") | (F.col("metric") == "cohen_kappa") | ((F.col("section") == "fairness") & (F.col("metric") == "accuracy"))
-    return out.filter(keep).select("section", "group", "metric", r6("value"))
+    return out.select("section", "group", "metric", r6("value"))
