@@ -31,13 +31,14 @@ def cumulative_counts(df: DataFrame, score: str, positive: Column, rows_per_rang
     """
     counts = stored(score_counts(df, score, positive), "scores")
     ranges = max(1, -(-counts.count() // rows_per_range))
-    placed = counts
-    if ranges > 1:  # range 0 holds the highest scores
-        placed = stored(counts.repartitionByRange(ranges, F.desc("score")).withColumn("part", F.spark_partition_id()), "ranges")
-    else:
-        placed = counts.withColumn("part", F.lit(0))
-    above = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
     everything = Window.partitionBy()
+    if ranges == 1:  # at most rows_per_range rows
+        down = Window.orderBy(F.desc("score"))
+        sums = {"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down)}
+        return counts.withColumns(sums | {"positives": F.sum("pos").over(everything), "negatives": F.sum("neg").over(everything)})
+    # Range 0 holds the highest scores.
+    placed = stored(counts.repartitionByRange(ranges, F.desc("score")).withColumn("part", F.spark_partition_id()), "ranges")
+    above = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
     totals = placed.groupBy("part").agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"))
     offsets = totals.select(
         "part",
