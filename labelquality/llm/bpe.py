@@ -21,7 +21,7 @@ from tokenizers import Tokenizer
 
 from .texts import slices, table
 
-CACHED_PIECES = 250_000  # distinct pieces a worker remembers; results do not depend on it
+CACHED_PIECES = 100_000  # distinct pieces, in each of two halves, that a worker remembers; results do not depend on it
 LONG_PIECE = 64  # longer pieces are not remembered
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"""
 #: Code points whose classes are the same in all Unicode versions since 15: texts of these alone go through re.
@@ -56,6 +56,16 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in seen} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
+@lru_cache(maxsize=1)
+def token_bytes(path: str) -> dict[int, bytes]:
+    """Bytes of every token, all that decoding needs."""
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)
+    byte = _byte_of()
+    plain = {i: bytes(byte[c] for c in t) for t, i in model["model"]["vocab"].items()}
+    return plain | {t["id"]: t["content"].encode() for t in model["added_tokens"]}
+
+
 class Vocabulary:
     """Tokens in merge order: ``rank`` of a byte is below all merges, and a merge's rank follows its place in the list."""
 
@@ -65,7 +75,7 @@ class Vocabulary:
         byte = _byte_of()
         ids = {"".join(chr(byte[c]) for c in t): i for t, i in model["model"]["vocab"].items()}
         self.special = {t["content"]: t["id"] for t in model["added_tokens"]}
-        self.bytes = {i: t.encode("latin-1") for t, i in ids.items()} | {i: t.encode() for t, i in self.special.items()}
+        self.size = max(*ids.values(), *self.special.values()) + 1
         rank = {chr(b): b for b in range(256)}
         self.parts, self.merged = [(r, r) for r in range(256)], {}
         for pair in model["model"]["merges"]:
@@ -194,7 +204,7 @@ def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids", out_col: s
     schema = encoded.select(*kept).schema.add(out_col, "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = encoder(vocabulary)[0].bytes.__getitem__
+        token = token_bytes(vocabulary).__getitem__
         for part in slices(batches, ids_col):
             out = [None if x is None else b"".join(map(token, memoryview(x).cast("I"))).decode("utf-8", "replace") for x in part.column(ids_col).to_pylist()]
             yield table([*kept, out_col], *(part.column(c) for c in kept), pa.array(out, pa.string()))
