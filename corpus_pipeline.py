@@ -15,6 +15,7 @@ from labelquality.llm.repeats import keyed_columns
 from labelquality.sources.shared import stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+ROW = "_row"  # number of a stored row; ids may be null or repeated
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,9 +39,9 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice."""
-    copies = mixing.mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    joined = docs.join(copies, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
-    return joined.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select(*docs.columns)
+    rows = stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    copies = mixing.mix(rows, carry=(ROW,)).select(ROW, F.col("copies").alias("_copies"))
+    return rows.join(copies, ROW).select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

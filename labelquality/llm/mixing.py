@@ -97,8 +97,8 @@ def _fly(land: bool):
     return run
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, seed: int = 42) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken) for every row of ``docs``.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, seed: int = 42, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, taken) and the columns ``carry`` for every row of ``docs``.
 
     A source's rate is target / source_size, between 0 and 2. Each of its documents is taken floor(rate) times,
     and once more with the chance that is left. The cube method turns these chances into decisions that keep each
@@ -109,7 +109,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     its own, repeated rows are decided one by one, an empty table gives an empty result.
     """
     h = F.xxhash64(F.lit(seed), F.col(id_col).cast("long"), "size")
-    sizes = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words_in(F.col(text_col)).alias("size"))
+    sizes = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words_in(F.col(text_col)).alias("size"), *carry)
     sizes = stored(sizes.withColumn("h", h), "sizes")
     plan = stored(targets(sizes, weights), "targets")
     rate = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
@@ -136,4 +136,4 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     for more in decided[1:]:
         rows = rows.unionByName(more)
     copies = (F.col("whole") + F.round("chance")).cast("int")
-    return rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).cast("long").alias("taken"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).cast("long").alias("taken"), *carry)

@@ -102,3 +102,15 @@ def test_edge_cases(spark, make_docs, small):
             docs = after
         docs = corpus_pipeline.STAGES[-1][1](spark, docs, small)
         assert docs.filter("n_tokens < 0").count() == 0
+
+
+def test_mixing_counts_rows_without_and_with_shared_ids_one_by_one(spark, make_docs):
+    """The words of each source miss its target by less than a document, whatever the ids."""
+    for ids in ([None] * 90, [7] * 90):
+        rows = [(i, " ".join(["w"] * (3 + k % 5)), "abc"[k % 3]) for k, i in enumerate(ids)]
+        sizes, taken = {}, {}
+        for _, t, s in rows:
+            sizes[s] = sizes.get(s, 0) + len(t.split())
+        for r in corpus_pipeline.mixed(spark, make_docs(rows), "").collect():
+            taken[r["source"]] = taken.get(r["source"], 0) + len(r["text"].split())
+        assert all(abs(taken.get(s, 0) - want) <= 7 for s, want in slow_targets(sizes).items())
