@@ -104,3 +104,14 @@ def docs_const():
     from pyspark.sql import functions as F
 
     return F.lit(0)
+
+
+def test_one_row_of_each_group_stays(spark, make_docs):
+    """Rows without an id, exact repeats, and different texts under one id: by row, as the fingerprints group them."""
+    rows = [(1, "one two three four"), (None, "one two three four"), (1, "one two three four"), (2, "ONE two three four"), (3, "something else altogether here"),
+            (2, "a clean text of its own"), (None, "no id at all"), (None, "no id at all"), (None, "another without an id")]
+    docs = make_docs(rows)
+    got = sorted(((r["doc_id"], r["text"]) for r in simhash.one_of_each(docs).collect()), key=str)
+    want = [(1, "one two three four"), (2, "a clean text of its own"), (3, "something else altogether here"), (None, "no id at all"), (None, "another without an id")]
+    assert got == sorted(want, key=str) and simhash.one_of_each(docs).columns == docs.columns
+    assert simhash.one_of_each(make_docs([]).limit(0)).count() == 0
