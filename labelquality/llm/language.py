@@ -171,19 +171,23 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     return fit(sorted(rows, key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2].tobytes())))
 
 
+def _judge(model: Model, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Language and score of each text; UNKNOWN with 0 where it has no letter or nothing was learned."""
+    names = np.array([*model.languages, UNKNOWN], object)
+    good = np.array([has_letter(p) for p in parts]) & bool(model.languages)
+    best, score = model.predict(parts) if model.languages else (np.zeros(len(parts), int), np.zeros(len(parts)))
+    return names[np.where(good, best, len(names) - 1)], np.where(good, score, 0.0)
+
+
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) for every row, from the whole text alone.
 
     Null texts and texts without a letter are ``und`` with score 0, as is every text if nothing was learned.
     """
-    names = np.array([*model.languages, UNKNOWN], object)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            parts = raw(part.column("text"))
-            good = np.array([has_letter(p) for p in parts]) & bool(model.languages)
-            best, score = model.predict(parts) if model.languages else (np.zeros(len(parts), int), np.zeros(len(parts)))
-            yield table(["doc_id", "lang_pred", "score"], part.column("doc_id"), names[np.where(good, best, len(names) - 1)], np.where(good, score, 0.0))
+            names, score = _judge(model, raw(part.column("text")))
+            yield table(["doc_id", "lang_pred", "score"], part.column("doc_id"), names, score)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
@@ -201,10 +205,12 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` whose text has a language; all columns. Rejected are the texts that ``predict`` calls und."""
+    """Rows of ``docs`` whose text ``predict`` does not call und, row by row; all columns. Without any label, rows with a letter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text_col):
-            yield part.filter(pa.array([bool(model.languages) and has_letter(t) for t in raw(part.column(text_col))], pa.bool_()))
+            parts = raw(part.column(text_col))
+            keep = _judge(model, parts)[0] != UNKNOWN if model.languages else np.array([has_letter(t) for t in parts])
+            yield part.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

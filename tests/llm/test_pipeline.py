@@ -114,3 +114,20 @@ def test_mixing_counts_rows_without_and_with_shared_ids_one_by_one(spark, make_d
         for r in corpus_pipeline.mixed(spark, make_docs(rows), "").collect():
             taken[r["source"]] = taken.get(r["source"], 0) + len(r["text"].split())
         assert all(abs(taken.get(s, 0) - want) <= 7 for s, want in slow_targets(sizes).items())
+
+
+def test_language_without_labels_keeps_what_has_a_letter(spark, make_docs):
+    rows = [(1, "clean text", "s", None), (1, "12 34", "s", None), (None, "more of it", "s", None), (2, None, "s", None)]
+    got = corpus_pipeline.known_language(spark, make_docs(rows), "").collect()
+    assert sorted(r["text"] for r in got) == ["clean text", "more of it"]
+
+
+def test_language_drops_what_predict_calls_und(spark, make_docs):
+    """The stage's decision is the prediction, row by row, also where ids are null or repeated."""
+    judge = corpus_pipeline.language._judge
+    docs = make_docs([(k, "the words of a text", "s", "en") for k in range(20)] + [(None, "12 34"), (None, "the word"), (3, "- -"), (3, "a word")])
+    model = corpus_pipeline.language.learn(docs)
+    assert judge(model, [b"12 34", b"a word"])[0].tolist() == ["und", "en"]
+    want = sorted(r["lang_pred"] for r in corpus_pipeline.language.predict(docs, model).collect() if r["lang_pred"] != "und")
+    kept = corpus_pipeline.language.keep_known(docs, model)
+    assert kept.count() == len(want) == 22 and sorted(r["lang_pred"] for r in corpus_pipeline.language.predict(kept, model).collect()) == want
