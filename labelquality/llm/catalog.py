@@ -1,4 +1,4 @@
-"""Registered queries of this subpackage. None has an oracle: tests compare them with brute force."""
+"""Registered queries of this subpackage. Two have an oracle in oracle_sql.py; tests compare the others with brute force."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, embeddings, language, mixing, phrases, quality, scoring, sharding, simhash, suffixes
+from . import bpe, collocations, embeddings, huffman, language, merkle, mixing, oracle_sql, phrases, quality, scoring, sharding, simhash, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,6 +66,19 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_documents(spark, sf_dir))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle.manifest(_documents(spark, sf_dir))
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op13_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return huffman.round_trip(_documents(spark, sf_dir), vocabulary())
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -74,8 +87,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     numbered = (op1_suffixes, op2_scoring, op3_mixing, op4_quality, op5_embeddings, op6_phrases, op7_bpe, op8_language, op9_simhash, op10_sharding)
+    numbered += (op11_collocations, op12_merkle, op13_huffman)
     return {q.__name__: q for q in (*numbered, pipeline)}
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {"op11_collocations": oracle_sql.COLLOCATIONS, "op12_merkle": oracle_sql.MERKLE}
