@@ -26,9 +26,9 @@ LONGEST = 4
 COVERED = (80, 100)  # a longer phrase as often as 80 of 100 covers a shorter one
 TOP = 2000
 UNKNOWN = "und"
-SLICE = 4 << 20  # bytes that are worked on at once
-HELD = 4_000_000  # fingerprints counted in a task before they are folded, and different ones before they are passed on
-PHRASES = 400_000  # different phrases of a task before they are passed on
+SLICE = 2 << 20  # bytes that are worked on at once
+HELD = 1_000_000  # fingerprints counted in a task before they are folded, and different ones before they are passed on
+PHRASES = 150_000  # different phrases of a task before they are passed on
 BITS = (16, 28)  # least and largest size of the bit table, as powers of two
 PER_FINGERPRINT = 16  # bits
 
@@ -40,6 +40,7 @@ KIND[[*b".,;:!?", *range(0x0A, 0x0E)]] = BREAK
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 LOWER_BYTES = LOWER.tobytes()
+VALUE = np.arange(1, 257, dtype=np.uint64)
 
 
 class Powers:
@@ -62,7 +63,8 @@ def prefix_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.
     """Polynomial of ``values[start:end]`` for every pair, modulo 2**64, from one pass of prefix sums; independent of its place."""
     up, down = POWERS.upto(len(values) + 1)
     prefix = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[:-1], out=prefix[1:])
+    np.multiply(values, up[:-1], out=prefix[1:])
+    np.cumsum(prefix, out=prefix)
     return (prefix[end] - prefix[start]) * down[start]
 
 
@@ -93,8 +95,8 @@ class Grams:
         inside = np.concatenate(([0], (kind == WORD).view(np.int8), [0]))
         edge = np.diff(inside)
         self.start, self.end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        self.piece = np.cumsum(kind == BREAK)[self.start] if len(raw_bytes) else self.start
-        self.hash = mix(prefix_hashes(raw_bytes.astype(np.uint64) + np.uint64(1), self.start, self.end) + (self.end - self.start).astype(np.uint64))
+        self.piece = np.cumsum(kind == BREAK, dtype=np.int32)[self.start] if len(raw_bytes) else self.start
+        self.hash = mix(prefix_hashes(VALUE[raw_bytes], self.start, self.end) + (self.end - self.start).astype(np.uint64))
         self.text = np.searchsorted(of, self.start, "right")
         self.seed = seeds[self.text]
 
