@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..sources.shared import shared_dir, stored
+from ..sources.shared import shared_dir
 from .texts import slices, table
 from .tokens import encoder
 
@@ -185,7 +185,9 @@ def write(docs: DataFrame, vocabulary: str, path: str, end: int = END, id_col: s
     """
     library = encoder(vocabulary)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ids = stored(rows.mapInArrow(_encode(vocabulary, end), "doc_id long, ids binary"), "ids")
+    plain = shared_dir(docs.sparkSession, "ids")
+    rows.mapInArrow(_encode(vocabulary, end), "doc_id long, ids binary").write.option("compression", "zstd").parquet(plain)
+    ids = docs.sparkSession.read.schema("doc_id long, ids binary").parquet(plain)
     counted = ids.select("ids").mapInArrow(_counts(library.kind, library.size), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(library.size, np.int64)
     counts[counted["id"].to_numpy()] = counted["n"].to_numpy()
@@ -219,14 +221,14 @@ def read(spark: SparkSession, path: str, keep_ids: bool = False) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32[, ids]) per document of a file set; ``start`` counts the ids of all documents before it.
 
     ids are little-endian unsigned 32-bit integers. Blocks are read independently; only the ids per part (one row a file) meet
-    in one place.
+    in one place. There are at most as many parts as shuffle partitions when the files were written, so their bases are broadcast.
     """
     blocks = spark.read.parquet(f"{path}/blocks")
     lengths = np.frombuffer(spark.read.parquet(f"{path}/code").first()[0], np.uint8)
     parts = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    placed = blocks.join(bases, "part").select((F.col("base") + F.col("start")).alias("start"), "body")
+    placed = blocks.join(F.broadcast(bases), "part").select((F.col("base") + F.col("start")).alias("start"), "body")
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if keep_ids else "")
     return placed.mapInArrow(_decode(lengths, keep_ids), schema)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -10,20 +11,19 @@ from tokenizers import Tokenizer
 
 from . import bpe
 
-CACHED = 300_000  # pieces a worker remembers; results do not depend on it
-AT_ONCE = 20_000  # pieces in one call of the library
+CACHED = 400_000  # pieces a worker remembers; results do not depend on it
 
 
 class Pieces(dict):
-    """Packed ids by piece. ``learn`` encodes the pieces that are not known yet, many in one call of the library's model."""
+    """Packed ids by piece. ``learn`` encodes the pieces that are not known yet, by the library's model."""
 
     def __init__(self, path: str):
         library = Tokenizer.from_file(path)
         self.size = library.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.special = {t.content: np.array([i], self.kind).tobytes() for i, t in library.get_added_tokens_decoder().items()}
-        self.model = Tokenizer(library.model)
-        self.printable = {b: c for c, b in bpe._byte_of().items()} | {0xFF: "\n"}  # no byte of a UTF-8 text is 0xFF
+        self.model = library.model
+        self.printable = {b: c for c, b in bpe._byte_of().items()} | {0xFF: "\n"}
         self.update(self.special)
 
     def learn(self, pieces: set[str]) -> None:
@@ -31,15 +31,12 @@ class Pieces(dict):
             self.clear()
             self.update(self.special)
         new = [p for p in pieces if p not in self]
-        for s in range(0, len(new), AT_ONCE):
-            some = new[s : s + AT_ONCE]
-            joined = "\udcff".join(some).encode("utf-8", "surrogateescape").decode("latin-1").translate(self.printable)
-            found = self.model.encode(joined.split("\n"), is_pretokenized=True, add_special_tokens=False)
-            ends = np.cumsum(np.bincount(np.array(found.word_ids, np.int64), minlength=len(some))) * self.kind.itemsize
-            packed, start = np.array(found.ids, self.kind).tobytes(), 0
-            for piece, end in zip(some, ends.tolist()):
-                self[piece] = packed[start:end]
-                start = end
+        if new:
+            # one join and one translation for all; no byte of a UTF-8 text is 0xFF, no printable stand-in is a line feed
+            joined = "\udcff".join(new).encode("utf-8", "surrogateescape").decode("latin-1").translate(self.printable)
+            tokenize, code = self.model.tokenize, "H" if self.kind.itemsize == 2 else "I"
+            for piece, shown in zip(new, joined.split("\n")):
+                self[piece] = array(code, [t.id for t in tokenize(shown)]).tobytes()
 
 
 class Encoder:
