@@ -2,13 +2,17 @@
 
 Selection is by hash order: rows of a label are ordered by md5("seed:id"), then id, and consecutive
 stretches of that order go to the splits. The quotas turn into one cut point (hash, id) per label and
-split, so the output is a narrow pass over the input: the text never moves. The cut points come from two
-passes over (id, label) alone: counts per (label, hash bucket), then a ranking inside the one bucket per
-cut in which the quota falls. No pass puts a label into one task.
+split. The cut points come from two passes over (id, label) alone: counts per (label, hash bucket), then a ranking
+inside the one bucket per cut in which the quota falls. No pass puts a label into one task.
 
-Everything here is lazy: the cut points, one row per label, reach the rows as a scalar subquery. NULL is a label
-like any other. Ids have to be unique; a repeated id at a cut raises an error when the result is computed, because
-no exact quota exists then. More than MAX_LABELS labels raise an error as well.
+With up to FEW labels the cut points reach the rows as a scalar subquery: the output is a narrow pass over the input, the
+text never moves. With more labels rows meet their cut points in a join by label; labels that hold at least one in FEW
+rows, of which there are at most FEW, keep to the scalar subquery and are dealt evenly in that join, so no label makes a large task.
+Label rows are then summed and ranked in parts as well. ``many`` says which it is; if it is not given, one job over the
+label column asks when the function is called. The rest is lazy where labels are few.
+
+NULL is a label like any other. Ids have to be unique; a repeated id at a cut raises an error when the result is computed,
+because no exact quota exists then.
 """
 
 from __future__ import annotations
@@ -20,9 +24,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import fixed
 from ..functions.scalar import ratio
 from ..functions.statistics import chi2_ln_sf, chi2_sf
+from ..sources.shared import stored
+from .ranking import ranked
 
 BUCKET_DIGITS = 4  # 65,536 hash buckets per label
-MAX_LABELS = 10_000  # a label column, not an id
+FEW = 256  # labels whose cut points go to every task
+SPREAD_DIGITS = 3  # rows of a large label are dealt to 4,096 keys
 
 
 def label_key(label: Column) -> Column:
@@ -34,28 +41,40 @@ def order_hash(id_col: str, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")))
 
 
-def largest_remainder(counts: DataFrame, total: Column, weight: str, name: str) -> DataFrame:
+def _total(rows: DataFrame, column: str, many: bool) -> Column:
+    """Sum of a column over all label rows, for each of them."""
+    return rows.agg(F.sum(column)).scalar() if many else F.sum(column).over(Window.partitionBy())  # at most FEW rows
+
+
+def largest_remainder(counts: DataFrame, total: Column, weight: str, name: str, many: bool = False) -> DataFrame:
     """Add ``name``: integer shares of ``total`` proportional to ``weight``, ties by label.
 
-    ``counts`` has one row per label; ``total`` must be the same on every row.
+    ``counts`` has one row per label; ``total`` must be the same on every row. With ``many`` label rows are stored and ranked in parts.
     """
-    everything = Window.partitionBy()  # one row per label
-    exact = total * F.col(weight) / F.nullif(F.sum(weight).over(everything), F.lit(0))
-    order = Window.orderBy(F.desc("_rest"), F.asc("label"))
-    return (
-        counts.withColumn("_exact", F.coalesce(exact.cast("double"), F.lit(0.0)))
-        .withColumn("_floor", F.floor("_exact"))
-        .withColumn("_rest", F.col("_exact") - F.col("_floor"))
-        .withColumn("_missing", F.round(total).cast("long") - F.sum("_floor").over(everything))
-        .withColumn(name, F.col("_floor") + (F.row_number().over(order) <= F.col("_missing")).cast("long"))
-        .drop("_exact", "_floor", "_rest", "_missing")
-    )
+    exact = total * F.col(weight) / F.nullif(_total(counts, weight, many), F.lit(0))
+    parts = counts.withColumn("_exact", F.coalesce(exact.cast("double"), F.lit(0.0))).withColumn("_floor", F.floor("_exact"))
+    parts = parts.withColumn("_rest", F.col("_exact") - F.col("_floor")).withColumn("_total", F.round(total).cast("long"))
+    order = [F.desc("_rest"), F.asc("label")]
+    if many:
+        parts = ranked(parts.withColumn("_one", F.lit("")), "_one", order, "shares").drop("_one", "total").withColumnRenamed("rank", "_rank")
+    else:
+        parts = parts.withColumn("_rank", F.row_number().over(Window.orderBy(*order)) - 1)
+    missing = F.col("_total") - _total(parts, "_floor", many)
+    return parts.withColumn(name, F.col("_floor") + (F.col("_rank") < missing).cast("long")).drop("_exact", "_floor", "_rest", "_rank", "_total")
 
 
 def _label_counts(df: DataFrame, label_col: str) -> DataFrame:
     return df.groupBy(F.col(label_col).alias("label")).agg(F.count("*").alias("n"))
 
 
+def _counted(df: DataFrame, label_col: str, many: bool | None) -> tuple[DataFrame, bool]:
+    """Rows per label, stored if there are many, and whether there are."""
+    counts = _label_counts(df, label_col)
+    if many is None:
+        many = counts.limit(FEW + 1).count() > FEW
+    return (stored(counts, "labels") if many else counts), many
+
+
 def _cut_points(df: DataFrame, id_col: str, label_col: str, quotas: DataFrame, splits: Sequence[str], seed: int) -> DataFrame:
     """(key, cut_<split>...) where a cut is the (hash, id) of the last row that belongs to the split.
 
@@ -98,59 +117,73 @@ def _cut_points(df: DataFrame, id_col: str, label_col: str, quotas: DataFrame, s
     return last.groupBy("key").agg(*cuts)
 
 
+def _as_map(cuts: DataFrame, splits: Sequence[str]) -> Column:
+    """The cut points of at most FEW labels as one map, a scalar subquery."""
+    entry = F.struct("key", F.struct(*[f"cut_{s}" for s in splits]))
+    return cuts.agg(F.map_from_entries(F.collect_list(entry)).alias("cuts")).scalar()
+
+
 def assign_splits(
-    df: DataFrame, quotas: DataFrame, splits: Sequence[str], id_col: str, label_col: str, seed: int = fixed.SEED
+    df: DataFrame, quotas: DataFrame, splits: Sequence[str], id_col: str, label_col: str, seed: int = fixed.SEED, many: bool = False
 ) -> DataFrame:
     """Add ``split``: quota rows of each label to the first split, the next ones to the second, and so on.
 
-    Rows beyond the last quota get NULL.
+    Rows beyond the last quota get NULL. ``quotas`` has one row per label: label, n (its rows) and a column per split. Without ``many``
+    there are at most FEW of them.
     """
+    if many:
+        quotas = stored(quotas, "quotas")
     cuts = _cut_points(df, id_col, label_col, quotas, splits, seed)
-    entry = F.struct("key", F.struct(*[f"cut_{s}" for s in splits]))
-    many = F.raise_error(F.lit(f"more than {MAX_LABELS} labels"))
-    table = cuts.agg(F.when(F.count("*") > MAX_LABELS, many).otherwise(F.map_from_entries(F.collect_list(entry))).alias("cuts"))
-    place = F.struct(order_hash(id_col, seed).alias("h"), F.col(id_col).alias("id"))
-    mine = F.element_at(F.col("_cuts"), label_key(F.col(label_col)))
+    key = label_key(F.col(label_col))
+    placed = df.withColumn("_place", F.struct(order_hash(id_col, seed).alias("h"), F.col(id_col).alias("id")))
+    if many:
+        cuts = stored(cuts, "cuts")
+        large = quotas.withColumn("_all", quotas.agg(F.sum("n")).scalar()).filter(F.col("n") * FEW >= F.col("_all"))
+        large = large.select(label_key(F.col("label")).alias("key"))  # at most FEW
+        placed = placed.withColumn("_large", F.element_at(_as_map(cuts.join(large, "key", "left_semi"), splits), key))
+        dealt = F.when(F.col("_large").isNull(), key).otherwise(F.concat(F.lit("#"), F.substring("_place.h", 1, SPREAD_DIGITS)))  # no label's key
+        points = cuts.join(large, "key", "left_anti").select(F.col("key").alias("_key"), F.struct(*[f"cut_{s}" for s in splits]).alias("_small"))
+        placed = placed.withColumn("_key", dealt).join(points, "_key", "left").withColumn("_mine", F.coalesce("_large", "_small")).drop("_key", "_large", "_small")
+    else:
+        placed = placed.withColumn("_mine", F.element_at(_as_map(cuts, splits), key))
     split = None
     for s in splits:
         inside = F.col("_place") <= F.col(f"_mine.cut_{s}")
         split = F.when(inside, s) if split is None else split.when(inside, s)
-    joined = df.withColumn("_cuts", table.scalar()).withColumn("_place", place).withColumn("_mine", mine)
-    return joined.withColumn("split", split).drop("_place", "_mine", "_cuts")
+    return placed.withColumn("split", split).select(*[F.col(f"`{c}`") for c in df.columns if c != "split"], "split")
 
 
-def _two_stage_quotas(counts: DataFrame, holdout: float, second: float) -> DataFrame:
+def _two_stage_quotas(counts: DataFrame, holdout: float, second: float, many: bool = False) -> DataFrame:
     """Train, dev and test quotas: ``holdout`` of all rows leaves train, ``second`` of those is test.
 
     Sizes round up on the test side at each stage; shares per label are largest-remainder.
     """
-    everything = Window.partitionBy()  # one row per label
-    n = F.sum("n").over(everything)
-    out = counts.withColumn("_held", F.ceil(F.lit(float(holdout)) * n)).withColumn("_train", n - F.col("_held"))
-    out = largest_remainder(out, F.col("_train"), "n", "train").withColumn("_temp", F.col("n") - F.col("train"))
+    out = counts.withColumn("_all", _total(counts, "n", many))
+    out = out.withColumn("_held", F.ceil(F.lit(float(holdout)) * F.col("_all"))).withColumn("_train", F.col("_all") - F.col("_held"))
+    out = largest_remainder(out, F.col("_train"), "n", "train", many).withColumn("_temp", F.col("n") - F.col("train"))
     out = out.withColumn("_test", F.ceil(F.lit(float(second)) * F.col("_held")))
-    out = largest_remainder(out, F.col("_held") - F.col("_test"), "_temp", "dev")
-    return out.withColumn("test", F.col("_temp") - F.col("dev")).select("label", "train", "dev", "test")
+    out = largest_remainder(out, F.col("_held") - F.col("_test"), "_temp", "dev", many)
+    return out.withColumn("test", F.col("_temp") - F.col("dev")).select("label", "n", "train", "dev", "test")
 
 
 def stratified_split(
-    df: DataFrame, id_col: str = "id", label_col: str = "label", holdout: float = 0.3, second: float = 0.5, seed: int = fixed.SEED
+    df: DataFrame, id_col: str = "id", label_col: str = "label", holdout: float = 0.3, second: float = 0.5, seed: int = fixed.SEED, many: bool | None = None
 ) -> DataFrame:
     """70/15/15 by default, in two stratified stages; adds ``split``."""
-    quotas = _two_stage_quotas(_label_counts(df, label_col), holdout, second)
-    return assign_splits(df, quotas, ["train", "dev", "test"], id_col, label_col, seed)
+    counts, many = _counted(df, label_col, many)
+    return assign_splits(df, _two_stage_quotas(counts, holdout, second, many), ["train", "dev", "test"], id_col, label_col, seed, many)
 
 
 def split_in_two(
-    df: DataFrame, share: float, first: str, second: str, id_col: str = "id", label_col: str = "label", seed: int = fixed.SEED
+    df: DataFrame, share: float, first: str, second: str, id_col: str = "id", label_col: str = "label", seed: int = fixed.SEED, many: bool | None = None
 ) -> DataFrame:
     """Stratified split into ``first`` and a ``share`` (rounded up) called ``second``."""
-    everything = Window.partitionBy()  # one row per label
-    n = F.sum("n").over(everything)
-    counts = _label_counts(df, label_col).withColumn("_size", n - F.ceil(F.lit(float(share)) * n))
-    quotas = largest_remainder(counts, F.col("_size"), "n", first)
-    quotas = quotas.withColumn(second, F.col("n") - F.col(first)).select("label", first, second)
-    return assign_splits(df, quotas, [first, second], id_col, label_col, seed)
+    counts, many = _counted(df, label_col, many)
+    n = _total(counts, "n", many)
+    counts = counts.withColumn("_size", n - F.ceil(F.lit(float(share)) * n))
+    quotas = largest_remainder(counts, F.col("_size"), "n", first, many)
+    quotas = quotas.withColumn(second, F.col("n") - F.col(first)).select("label", "n", first, second)
+    return assign_splits(df, quotas, [first, second], id_col, label_col, seed, many)
 
 
 def given_splits(df: DataFrame, split_col: str = "split") -> set[str]:
@@ -168,6 +201,7 @@ def split_from_existing(
     seed: int = fixed.SEED,
     dev_from: str = "test",
     present: Sequence[str] | None = None,
+    many: bool | None = None,
 ) -> DataFrame:
     """Complete a data set that lacks dev or test, keeping the splits it has; ``validation`` is dev.
 
@@ -177,43 +211,44 @@ def split_from_existing(
     """
     have = set(present) if present is not None else given_splits(df, split_col)
     if "train" not in have:
-        return stratified_split(df.drop(split_col), id_col, label_col, seed=seed)
+        return stratified_split(df.drop(split_col), id_col, label_col, seed=seed, many=many)
     known = F.col(split_col)
     known = F.when(known.isNull(), F.raise_error(F.lit("a row has no split"))).when(known == "validation", "dev").otherwise(known)
     out = df.drop(split_col).withColumn("split", known) if split_col != "split" else df.withColumn("split", known)
 
     def cut(rows: DataFrame, source: str, share: float, second: str) -> DataFrame:
-        made = split_in_two(rows.filter(F.col("split") == source).drop("split"), share, source, second, id_col, label_col, seed)
+        made = split_in_two(rows.filter(F.col("split") == source).drop("split"), share, source, second, id_col, label_col, seed, many)
         return rows.filter(F.col("split") != source).unionByName(made)
 
     if "dev" not in have:
         if dev_from == "test" and "test" in have:
-            made = split_in_two(out.filter("split = 'test'").drop("split"), 0.5, "dev", "test", id_col, label_col, seed)
+            made = split_in_two(out.filter("split = 'test'").drop("split"), 0.5, "dev", "test", id_col, label_col, seed, many)
             out = out.filter("split != 'test'").unionByName(made)
         else:
             out = cut(out, "train", 0.15, "dev")
     return out if "test" in have else cut(out, "dev", 0.5, "test")
 
 
-def stratified_sample_n(df: DataFrame, n: int, id_col: str = "id", label_col: str = "label", seed: int = fixed.SEED) -> DataFrame:
+def stratified_sample_n(df: DataFrame, n: int, id_col: str = "id", label_col: str = "label", seed: int = fixed.SEED, many: bool | None = None) -> DataFrame:
     """Exactly ``n`` rows (all, if there are fewer) with the label proportions kept; all input columns."""
-    quotas = largest_remainder(_label_counts(df, label_col), F.lit(n), "n", "sample")
-    quotas = quotas.select("label", F.least("sample", "n").alias("sample"))
-    chosen = assign_splits(df, quotas, ["sample"], id_col, label_col, seed)
+    counts, many = _counted(df, label_col, many)
+    quotas = largest_remainder(counts, F.lit(n), "n", "sample", many)
+    quotas = quotas.select("label", "n", F.least("sample", "n").alias("sample"))
+    chosen = assign_splits(df, quotas, ["sample"], id_col, label_col, seed, many)
     return chosen.filter("split = 'sample'").drop("split")
 
 
-def mini_splits(df: DataFrame, id_col: str = "id", label_col: str = "label", seed: int = fixed.SEED) -> DataFrame:
+def mini_splits(df: DataFrame, id_col: str = "id", label_col: str = "label", seed: int = fixed.SEED, many: bool | None = None) -> DataFrame:
     """Nearly all of a sample becomes test; min(100, 1%) rows go to train and dev, half each.
 
     Under 100 rows everything is test, and the first row also serves as train and as dev.
     """
-    total = F.sum("n").over(Window.partitionBy())  # one row per label
-    counts = _label_counts(df, label_col).withColumn("_all", F.least(F.lit(100), F.floor(total / 100)))
-    quotas = largest_remainder(counts, F.col("_all"), "n", "_few")
-    quotas = largest_remainder(quotas, F.col("_all") - F.floor(F.col("_all") / 2), "_few", "train")
+    counts, many = _counted(df, label_col, many)
+    counts = counts.withColumn("_all", F.least(F.lit(100), F.floor(_total(counts, "n", many) / 100)))
+    quotas = largest_remainder(counts, F.col("_all"), "n", "_few", many)
+    quotas = largest_remainder(quotas, F.col("_all") - F.floor(F.col("_all") / 2), "_few", "train", many)
     quotas = quotas.withColumn("dev", F.col("_few") - F.col("train")).withColumn("test", F.col("n") - F.col("_few"))
-    whole = assign_splits(df, quotas.select("label", "train", "dev", "test"), ["train", "dev", "test"], id_col, label_col, seed)
+    whole = assign_splits(df, quotas.select("label", "n", "train", "dev", "test"), ["train", "dev", "test"], id_col, label_col, seed, many)
     first = df.orderBy(id_col).limit(1).withColumn("_n", df.agg(F.count("*")).scalar()).filter("_n < 100").drop("_n")
     for s in ("train", "dev"):
         whole = whole.unionByName(first.withColumn("split", F.lit(s)))
@@ -265,8 +300,11 @@ def chi_square_test(validation: DataFrame) -> DataFrame:
 
 
 def sampling_report(full: DataFrame, sample: DataFrame, label_col: str = "label", seed: int = fixed.SEED) -> DataFrame:
-    """One row: sampling metadata, validation and the verdict, with maps keyed by label."""
-    per_label = sampling_validation(full, sample, label_col)
+    """One row: sampling metadata, validation and the verdict, with maps keyed by label.
+
+    The table of labels is computed when this is called and stored, as totals and test both need it.
+    """
+    per_label = stored(sampling_validation(full, sample, label_col), "labels")
 
     def by_label(value: str) -> Column:
         return F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("label").cast("string"), value))))

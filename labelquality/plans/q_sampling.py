@@ -12,9 +12,10 @@ _DOCS = "rows AS (SELECT doc_id AS id, lang AS label, md5('42:' || doc_id) AS h
 _ORDERS = "rows AS (SELECT o_orderkey AS id, o_orderpriority AS label, md5('42:' || o_orderkey) AS h FROM orders)"
 
 
-def _shares(source: str, weight: str, total: str, name: str, out: str) -> str:
-    """Largest-remainder shares of ``total`` by ``weight`` over the label rows of ``source``."""
-    return f"""{out}0 AS (SELECT *, ({total}) * {weight}::DOUBLE / sum({weight}) OVER () AS ex FROM {source}),
+def _shares(source: str, weight: str, total: str, name: str, out: str, none: bool = False) -> str:
+    """Largest-remainder shares of ``total`` by ``weight`` over the label rows of ``source``; with ``none`` all weights may be 0."""
+    exact = f"({total}) * {weight}::DOUBLE / " + (f"nullif(sum({weight}) OVER (), 0)" if none else f"sum({weight}) OVER ()")
+    return f"""{out}0 AS (SELECT *, {f'coalesce({exact}, 0)' if none else exact} AS ex FROM {source}),
     {out}1 AS (SELECT *, floor(ex)::BIGINT AS fl, row_number() OVER (ORDER BY ex - floor(ex) DESC, label) AS rk,
        ({total}) - sum(floor(ex)::BIGINT) OVER () AS miss FROM {out}0),
     {out} AS (SELECT * EXCLUDE (ex, fl, rk, miss), fl + (rk <= miss)::BIGINT AS {name} FROM {out}1)"""
@@ -45,6 +46,16 @@ def stratified_split(spark, d):
     return sp.stratified_split(_docs(spark, d))
 
 
+_KEYS = "rows AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'hot' ELSE o_custkey::VARCHAR END AS label, md5('42:' || o_orderkey) AS h FROM orders)"
+
+
+@query("stratified_split_many_labels", _split_sql(_KEYS))
+def stratified_split_many_labels(spark, d):
+    """A label per customer, and one label for a third of the rows."""
+    label = F.when(F.col("o_orderkey") % 3 == 0, "hot").otherwise(F.col("o_custkey").cast("string"))
+    return sp.stratified_split(inputs.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), label.alias("label")))
+
+
 @query("stratified_split_orders", _split_sql(_ORDERS))
 def stratified_split_orders(spark, d):
     return sp.stratified_split(_orders(spark, d))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed, text as tx
 from ..operators import agreement as ag, sampling as sp
 from ..sources import readers, sinks
-from ..sources.shared import shared_dir
+from ..sources.shared import shared_dir, stored
 from ..streaming import incremental as inc
 from . import inputs, q_agreement as qa
 from .oracle_parts import LABELLED, bundle_rows, classes, parsed
@@ -33,22 +33,48 @@ _CLAIM_CODE = "CASE label WHEN 'REFUTES' THEN 0 WHEN 'NOT ENOUGH INFO' THEN 1 WH
 _HASH = "substr(sha256(text), 1, 16) AS text_hash"
 
 
+def _write_csv_splits(spark, d, root, files=None):
+    rows = inputs.labelled_text(spark, d).select("id", "text", F.col("gold").alias("label"))
+    parts = stored(sp.stratified_split(rows), "split")
+    for split in readers.SPLITS:
+        part = parts.filter(F.col("split") == split).drop("split")
+        sinks.write_csv(part.coalesce(files) if files else part, f"{root}/{split}.csv")
+
+
 @query("read_csv_splits", _split_sql(_TEXT_ROWS, f"id, {_HASH}, label, split"))
 def read_csv_splits(spark, d):
     root = shared_dir(spark, "csv")
-    rows = inputs.labelled_text(spark, d).select("id", "text", F.col("gold").alias("label"))
-    parts = sp.stratified_split(rows)
-    for split in readers.SPLITS:
-        sinks.write_csv(parts.filter(F.col("split") == split).drop("split"), f"{root}/{split}.csv")
+    _write_csv_splits(spark, d, root)
     back = readers.read_csv_splits(spark, root, {"id": "bigint"})
     return back.select("id", tx.text_hash(F.col("text")).alias("text_hash"), "label", "split")
 
 
+@query("read_csv_splits_parallel", _split_sql(_TEXT_ROWS, f"id, {_HASH}, label, split"))
+def read_csv_splits_parallel(spark, d):
+    """One file per split with line breaks in its texts, which many tasks may read."""
+    root = shared_dir(spark, "csv")
+    _write_csv_splits(spark, d, root, files=1)
+    back = readers.read_csv_splits(spark, root, {"id": "bigint"}, multi_line="split")
+    return back.select("id", tx.text_hash(F.col("text")).alias("text_hash"), "label", "split")
+
+
+@query("read_csv_long_labels", "SELECT doc_id AS id, (1000000000000000001 + 9 * doc_id)::HUGEINT::VARCHAR AS label FROM documents")
+def read_csv_long_labels(spark, d):
+    """Labels of 19 digits keep them all."""
+    root = shared_dir(spark, "csv")
+    label = (F.col("doc_id").cast("decimal(38,0)") * 9 + F.expr("CAST(1000000000000000001 AS DECIMAL(38,0))")).cast("string")
+    rows = inputs.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lit("t").alias("text"), label.alias("label"))
+    for k, split in enumerate(readers.SPLITS):
+        sinks.write_csv(rows.filter(F.col("id") % 3 == k), f"{root}/{split}.csv")
+    back = readers.read_csv_splits(spark, root, {"id": "bigint"})
+    return back.select("id", F.col("label").cast("string").alias("label"))
+
+
 def _write_claims(spark, d, root):
     q, t = F.col("quality"), F.col("gold")
     name = F.when((q == 1) & (t == 0), "SUPPORTS").when((q == 0) & (t == 1), "REFUTES").when(q == 0, "NOT ENOUGH INFO").otherwise("DISPUTED")
     rows = inputs.labelled_text(spark, d).select("id", F.col("text").alias("claim"), name.alias("label"))
-    parts = sp.stratified_split(rows)
+    parts = stored(sp.stratified_split(rows), "split")
     for split, file in zip(readers.SPLITS, ("train", "paper_dev", "paper_test")):
         parts.filter(F.col("split") == split).drop("split").write.json(f"{root}/{file}.jsonl")
 
@@ -91,14 +117,13 @@ def load_dataset_imdb(spark, d):
     return readers.load_dataset(spark, "imdb", root).select("id", tx.text_hash(F.col("text")).alias("text_hash"), "label", "split")
 
 
-@query(
-    "load_dataset_crisisbench",
-    f"""WITH f AS (SELECT event_type, row_number() OVER (ORDER BY min(event_id)) - 1 AS code FROM events GROUP BY event_type),
+_CRISIS = """WITH f AS (SELECT event_type, row_number() OVER (ORDER BY min(event_id)) - 1 AS code FROM events GROUP BY event_type),
       all_rows AS (SELECT event_id AS id, props AS text, code::INT AS label, md5('42:' || event_id) AS h,
         CASE event_id % 4 WHEN 0 THEN 'dev' WHEN 1 THEN 'test' ELSE 'train' END AS split FROM events JOIN f USING (event_type))
-      SELECT id, text, label, split FROM all_rows""",
-)
-def load_dataset_crisisbench(spark, d):
+      SELECT id, text, label, split FROM all_rows"""
+
+
+def _load_crisis(spark, d, name):
     """A raw table with text labels and all splits, dev under the name validation."""
     root = shared_dir(spark, "datasets")
     part = F.col("event_id") % 4
@@ -106,14 +131,18 @@ def load_dataset_crisisbench(spark, d):
         F.col("event_id").alias("id"), F.col("props").alias("tweet_text"), F.col("event_type").alias("class_label"),
         F.when(part == 0, "validation").when(part == 1, "test").otherwise("train").alias("split"),
     )
-    raw.write.parquet(f"{root}/crisisbench/raw")
-    return readers.load_dataset(spark, "crisisbench", root).select("id", "text", "label", "split")
+    raw.write.parquet(f"{root}/{name}/raw")
+    return readers.load_dataset(spark, name, root).select("id", "text", "label", "split")
+
+
+for _name in ("crisisbench", "crisisbench_humanitarian", "crisisbench_informativeness"):
+    query(f"load_dataset_{_name}", _CRISIS)(lambda spark, d, name=_name: _load_crisis(spark, d, name))
 
 
 @query(
     "load_dataset_jigsaw",
     f"""WITH {_TEXT_ROWS}, {_COUNTS}, m AS (SELECT *, least(100, tot // 100)::BIGINT AS few FROM c),
-      {_shares('m', 'n', 'few', 'k', 'a')}, {_shares('a', 'k', 'few - few // 2', 'train', 'q')}, {_RANKED}, s AS (
+      {_shares('m', 'n', 'few', 'k', 'a')}, {_shares('a', 'k', 'few - few // 2', 'train', 'q', none=True)}, {_RANKED}, s AS (
       SELECT id, {_HASH}, label, CASE WHEN rn <= train THEN 'train' WHEN rn <= k THEN 'dev' ELSE 'test' END AS split FROM ranked JOIN q USING (label)),
       n AS (SELECT count(*) AS n FROM rows)
       SELECT * FROM s UNION ALL SELECT id, text_hash, label, x.split FROM (SELECT * FROM s ORDER BY id LIMIT 1) f, n, (SELECT unnest(['train', 'dev']) AS split) x WHERE n < 100""",
@@ -219,6 +248,22 @@ def load_predictions_columns(spark, d):
     return _shown(readers.load_predictions(spark, path, "columns", _PRED_FIELDS))
 
 
+@query("load_predictions_lists", _PRED_SQL)
+def load_predictions_lists(spark, d):
+    """One file that is one object of parallel lists; no task writes or reads a list as a whole."""
+    path = shared_dir(spark, "predictions-lists")
+    preds = stored(inputs.class_predictions(spark, d), "predictions")
+    element = lambda f: F.regexp_replace(F.to_json(F.array(f)), r"^\[|\]$", "")
+    cells = preds.select("example_id", F.posexplode(F.array(*[element(f) for f in _PRED_FIELDS])).alias("field", "value"))
+    cells = cells.withColumn("first", preds.agg(F.min("example_id")).scalar()).withColumn("last", preds.agg(F.max("example_id")).scalar())
+    names = F.array(*[F.lit(f'"{f}": [') for f in _PRED_FIELDS])
+    opened = F.when(F.col("example_id") == F.col("first"), F.concat(F.when(F.col("field") == 0, "{").otherwise(""), F.get(names, F.col("field")))).otherwise("")
+    closed = F.when(F.col("example_id") < F.col("last"), ",").when(F.col("field") < len(_PRED_FIELDS) - 1, "],").otherwise("]}")
+    lines = cells.orderBy("field", "example_id").select(F.concat(opened, "value", closed).alias("value"))
+    lines.coalesce(1).write.text(path)
+    return _shown(readers.load_predictions(spark, path, "lists", _PRED_FIELDS))
+
+
 @query("resume_pending", "SELECT doc_id AS id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def resume_pending(spark, d):
     """Documents without a finished label."""
@@ -241,6 +286,37 @@ def incremental_annotate(spark, d):
     return out.withColumn("llm_rationale", F.coalesce("llm_rationale", F.lit("")))
 
 
+def _two_arrivals(spark, d, root):
+    """The first arrival has all rows; the second repeats the valid ones with other answers and brings a good answer to every second failed one."""
+    rows = inputs.with_raw_response(inputs.labelled_text(spark, d)).select("id", "text", "gold", "raw_response")
+    good = F.lit('{"label": "toxic", "confidence": "low"}')
+    failed = inputs.annotations(spark, d).filter("NOT is_valid").select(F.col("row_id").alias("id"), F.lit(True).alias("failed"))
+    second = rows.join(failed, "id", "left").filter("failed IS NULL OR id % 2 = 0").withColumn("raw_response", good).drop("failed")
+    for arrival in (rows, second):
+        arrival.write.mode("append").parquet(f"{root}/in")
+        inc.incremental_annotate(spark, f"{root}/in", "id bigint, text string, gold int, raw_response string", f"{root}/out", f"{root}/checkpoint", "jigsaw")
+    return sinks.read_annotations(spark, f"{root}/out")
+
+
+@query(
+    "incremental_repeats",
+    f"""WITH {parsed()} SELECT row_id, CASE WHEN is_valid THEN raw_response WHEN row_id % 2 = 0 THEN '{{"label": "toxic", "confidence": "low"}}'
+      ELSE raw_response END AS raw_response, is_valid OR row_id % 2 = 0 AS is_valid, (NOT is_valid)::BIGINT AS failures FROM ann""",
+)
+def incremental_repeats(spark, d):
+    """An id that arrives again after a valid answer is left alone; one that failed takes the later answer. One row per id."""
+    out = inc.latest_annotations(_two_arrivals(spark, d, shared_dir(spark, "repeats")))
+    return out.select("row_id", "raw_response", "is_valid", "failures")
+
+
+@query("resume_failed", f"WITH {parsed()} SELECT row_id AS id FROM ann WHERE NOT is_valid AND row_id % 2 <> 0")
+def resume_failed(spark, d):
+    """After both arrivals only the rows without a valid answer are offered again."""
+    out = _two_arrivals(spark, d, shared_dir(spark, "resume"))
+    todo = inputs.labelled_text(spark, d).select("id")
+    return inc.resume_pending(todo, out, retry_failed=True)
+
+
 @query("write_annotations", f"WITH {parsed()} SELECT is_valid, error_type, count(*) AS n, sum(row_id)::BIGINT AS ids FROM ann GROUP BY ALL")
 def write_annotations(spark, d):
     path = shared_dir(spark, "annotations")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from ..functions import fixed
 from ..operators import sampling
 from ..operators.sampling import factorize_labels
+from . import segments
 
 SPLITS = ("train", "dev", "test")
 CSV_OPTIONS = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
@@ -34,32 +35,43 @@ def _all_splits(parts: Sequence[tuple[str, DataFrame]]) -> DataFrame:
 
 
 def narrowest_label(df: DataFrame, label_col: str = "label") -> DataFrame:
-    """A string label column as int if all its values are whole numbers, as double if all are numbers, else as it is.
+    """A string label column as int or bigint if all its values are whole numbers of up to 9 or 18 digits, as decimal(38,0) up to 38,
+    as double if all are numbers that a double holds (15 digits at most), else as it is.
 
-    One aggregate job over the column decides, so no value is lost.
+    One aggregate job over the column decides, when this is called, so no digit is lost.
     """
     text = F.btrim(F.col(label_col))
-    whole, number = text.rlike(r"^[+-]?[0-9]{1,9}$"), text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")
-    ints, numbers = df.agg(F.bool_and(whole), F.bool_and(number)).first()
-    kind = "int" if ints else "double" if numbers else None
+    number = text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")
+    digits = F.length(F.regexp_replace(F.regexp_replace(text, "[eE].*$", ""), "[^0-9]", ""))
+    whole = [F.bool_and(text.rlike(f"^[+-]?[0-9]{{1,{n}}}$")) for n in (9, 18, 38)]
+    fits = df.agg(*whole, F.bool_and(number & (digits <= 15))).first()
+    kind = next((k for k, fit in zip(("int", "bigint", "decimal(38,0)", "double"), fits) if fit), None)
     return df.withColumn(label_col, text.cast(kind)) if kind else df
 
 
-def read_csv_file(spark: SparkSession, path: str, types: dict[str, str] | None = None, multi_line: bool = True) -> DataFrame | None:
+def read_csv_file(spark: SparkSession, path: str, types: dict[str, str] | None = None, multi_line: bool | str = True) -> DataFrame | None:
     """A CSV file (or folder of them) with text and label; None unless it exists and has both. Columns are strings except those in ``types``.
 
-    Quoted texts may contain line breaks, which makes one task of each file; without them, ``multi_line=False`` splits files. Large sets
-    should come as many files or as parquet.
+    Quoted texts may contain line breaks, which makes one task of each file; without them, ``multi_line=False`` splits files. With
+    ``multi_line="split"`` many tasks read a file although texts contain line breaks: a pass over the quotes finds where records
+    end (``segments.csv_records``). Quotes then have to stand around whole fields, and all files need the same header.
     """
-    options = CSV_OPTIONS | {"multiLine": multi_line}
+    options = CSV_OPTIONS | {"multiLine": bool(multi_line)}
     header = _found(lambda: spark.read.options(**options).csv(path))
     if header is None or not {"text", "label"} <= set(header.columns):
         return None
     schema = ", ".join(f"`{c}` {(types or {}).get(c, 'string')}" for c in header.columns)
-    return spark.read.schema(schema).options(**options).csv(path)
+    if multi_line != "split":
+        return spark.read.schema(schema).options(**options).csv(path)
+    # the parser of single records turns \r\n into \n inside quotes, so \r travels as two private characters
+    mark, one, two = (F.lit(c) for c in "\ue000\ue001\ue002")
+    kept = F.replace(F.replace(F.col("value"), mark, F.concat(mark, one)), F.lit("\r"), F.concat(mark, two))
+    rows = segments.csv_records(spark, path).filter("record > 0").select(F.from_csv(kept, schema, {"quote": '"', "escape": '"'}).alias("row")).select("row.*")
+    back = lambda c: F.replace(F.replace(F.col(c), F.concat(mark, two), F.lit("\r")), F.concat(mark, one), mark)
+    return rows.select(*[back(f"`{f.name}`").alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`") for f in rows.schema.fields])
 
 
-def read_csv_splits(spark: SparkSession, folder: str, types: dict[str, str] | None = None, multi_line: bool = True) -> DataFrame | None:
+def read_csv_splits(spark: SparkSession, folder: str, types: dict[str, str] | None = None, multi_line: bool | str = True) -> DataFrame | None:
     """train.csv, dev.csv and test.csv (files or folders of files) as one table with a split column.
 
     None unless all three exist and hold text and label. Labels stay what they are in the files: whole numbers,
@@ -209,10 +221,16 @@ def load_predictions(
     """Saved predictions as rows.
 
     ``form`` "columns" reads JSON objects that hold parallel lists (pass the fields present): one object per line, or
-    with ``multi_line`` one object per file, spread over its lines. "parquet" reads rows as they are.
+    with ``multi_line`` one object per file, spread over its lines; an object is one row before it becomes many. "lists" reads files that
+    are one such object of any size: many tasks read its elements, which meet by their places (``segments.list_elements``); fields that are missing
+    and lists that are shorter give NULL. "parquet" reads rows as they are.
     """
     if form == "parquet":
         return spark.read.parquet(path).select(*fields)
+    if form == "lists":
+        cells = segments.list_elements(spark, path).filter(F.col("field").isin(list(fields)))
+        rows = cells.groupBy("file", "at").agg(*[F.max(F.when(F.col("field") == f, F.concat(F.lit("["), "value", F.lit("]")))).alias(f) for f in fields])
+        return rows.select(*[F.from_json(f, f"array<{PREDICTION_FIELDS[f]}>", {"mode": "FAILFAST"})[0].alias(f) for f in fields])
     if form != "columns":
         raise ValueError(f"Unknown form: {form}")
     schema = ", ".join(f"{f} array<{PREDICTION_FIELDS[f]}>" for f in fields)

@@ -7,14 +7,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+FOLDER = "labelquality.shared.dir"
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path under the folder named in spark.checkpoint.dir, which must be set.
+    """A fresh path under the folder named in spark.checkpoint.dir or, where that is unset, in FOLDER, which can be set while a session runs.
 
-    There is no fallback: a folder of one machine would be lost with that machine.
+    One of them must be set: a folder of one machine would be lost with that machine.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(FOLDER, None)
     if not root:
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        raise ValueError(f"set spark.checkpoint.dir or {FOLDER} to a folder all executors share")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

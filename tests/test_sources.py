@@ -1,13 +1,16 @@
 """Readers, sinks, incremental runs."""
 
 import json
+import os
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
 
 from labelquality.functions import fixed
 from labelquality.operators import annotations as an
-from labelquality.sources import readers, sinks
+from labelquality.sources import readers, segments, sinks
 from labelquality.sources.shared import shared_dir
 from labelquality.streaming import incremental as inc
 
@@ -27,6 +30,60 @@ def test_csv_round_trip(spark):
         assert sorted(map(tuple, part.collect())) == sorted(map(tuple, rows.collect()))
 
 
+@pytest.fixture
+def small_blocks(spark):
+    """Files are read in blocks of a thousand bytes."""
+    settings = {"spark.sql.files.maxPartitionBytes": "1000", "spark.sql.files.openCostInBytes": "0"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_csv_split_inside_texts(spark, small_blocks):
+    """One file, many tasks, the rows of the one-task read; a text lies across several blocks."""
+    root = shared_dir(spark, "csv")
+    texts = AWKWARD + ["", None, "\n", "\n\n x \n", 'a "\n" b', "long\n" * 300, "\ue000 \ue001\r\ue000\ue002", "end"]
+    rows = spark.createDataFrame([(i, t, i % 2) for i, t in enumerate(texts * 3)], "id int, text string, label int").coalesce(1)
+    for s in readers.SPLITS:
+        sinks.write_csv(rows, f"{root}/{s}.csv")
+    blocks = segments.segments(spark, f"{root}/train.csv", "\n").select("file", "block").distinct().collect()
+    assert len(blocks) > 3 and len({b.file for b in blocks}) == 1
+    plain = readers.read_csv_splits(spark, root, {"id": "int"})
+    split = readers.read_csv_splits(spark, root, {"id": "int"}, multi_line="split")
+    assert split.schema == plain.schema and sorted(map(tuple, split.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
+    assert plain.count() == 9 * len(texts)
+
+
+def test_csv_records_of_unquoted_and_blank_lines(spark, tmp_path, small_blocks):
+    (tmp_path / "x.csv").write_bytes(b'id,text\r\n1,plain\r\n\r\n\n2,"a\r\nb"\r\n3,last')
+    got = segments.csv_records(spark, f"{tmp_path}/x.csv").orderBy("record").collect()
+    assert [(r.record, r.value) for r in got] == [(0, "id,text"), (1, "1,plain"), (2, '2,"a\r\nb"'), (3, "3,last")]
+    (tmp_path / "empty.csv").write_bytes(b"")
+    assert segments.csv_records(spark, f"{tmp_path}/empty.csv").collect() == []
+
+
+@pytest.mark.parametrize("indent", [None, 2])
+def test_predictions_of_any_size(spark, tmp_path, indent, small_blocks):
+    """Elements are read by many tasks; commas, brackets and quotes inside texts separate nothing."""
+    data = {
+        "example_id": list(range(6)), "text": ['a, b "q" [x] {y', "back\\ slash\\\"", "new\nline, , ]", "", "é," * 400, None],
+        "logits": [[0.1, 0.2], [1.0], [], [4.5], [1e-3, -2.0], None], "correct": [True, False, None, True, True, False], "other": ['x,"', None, "]", "}", ",", "\\"],
+    }
+    (tmp_path / "p.json").write_text(json.dumps(data, indent=indent))
+    assert segments.segments(spark, str(tmp_path), ",").select("block").distinct().count() > 1
+    fields = ["example_id", "text", "logits", "correct"]
+    rows = readers.load_predictions(spark, str(tmp_path), "lists", [*fields, "entropy"]).orderBy("example_id").collect()
+    assert [tuple(r) for r in rows] == [(*x, None) for x in zip(*(data[f] for f in fields))]
+
+
+def test_predictions_in_empty_lists(spark, tmp_path):
+    (tmp_path / "p.json").write_text('{"example_id": [ ], "text": []}')
+    assert readers.load_predictions(spark, str(tmp_path), "lists", ["example_id", "text"]).collect() == []
+
+
 def test_csv_needs_its_columns(spark):
     root = shared_dir(spark, "csv")
     for s in readers.SPLITS:
@@ -74,7 +131,10 @@ def test_text_column_rules(spark):
     assert readers.pick_text_column(crisis, fixed.CRISIS_TEXT_COLUMNS) == "tweet_text"
 
 
-@pytest.mark.parametrize("labels, kind", [(["1", "0", None], "int"), (["1.0", "0"], "double"), (["informative", "1"], "string")])
+@pytest.mark.parametrize("labels, kind", [
+    (["1", "0", None], "int"), (["1.0", "0"], "double"), (["informative", "1"], "string"), (["1234567890", "-1"], "bigint"),
+    (["9007199254740993000001", "1"], "decimal(38,0)"), (["0.1234567890123456789", "1"], "string"),
+])
 def test_csv_labels_keep_their_values(spark, labels, kind):
     root = shared_dir(spark, "csv")
     for s in readers.SPLITS:
@@ -148,6 +208,29 @@ def test_incremental_runs_do_each_row_once(spark):
     assert sorted(r.id for r in pending.collect()) == list(range(15, 20))
 
 
+def test_ids_that_arrive_again(spark):
+    """A valid answer is written once, in this batch or later ones; failed rows are offered again until one is valid."""
+    root = shared_dir(spark, "inc")
+    schema = "id bigint, text string, gold int, raw_response string"
+    ok = '{"label": "%s", "confidence": "high"}'
+    todo = spark.range(6)
+
+    def arrive(*rows):
+        spark.createDataFrame([(i, "t", 1, r) for i, r in rows], schema).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        inc.incremental_annotate(spark, f"{root}/in", schema, f"{root}/out", f"{root}/cp", "jigsaw")
+        out = sinks.read_annotations(spark, f"{root}/out")
+        return {r.row_id: (r.is_valid, r.llm_label, r.failures) for r in inc.latest_annotations(out).collect()}, out
+
+    first, out = arrive((0, ok % "toxic"), (0, ok % "toxic"), (1, "broken"), (1, "broken"), (2, "broken"), (3, ok % "non-toxic"))
+    assert first == {0: (True, 1, 0), 1: (False, None, 1), 2: (False, None, 1), 3: (True, 0, 0)} and out.count() == 4
+    assert sorted(r.id for r in inc.resume_pending(todo, out, retry_failed=True).collect()) == [1, 2, 4, 5]
+    assert sorted(r.id for r in inc.resume_pending(todo, out).collect()) == [4, 5]
+    second, out = arrive((0, ok % "non-toxic"), (1, ok % "toxic"), (2, "worse"), (3, "broken"), (4, ok % "toxic"))
+    assert second == {0: (True, 1, 0), 1: (True, 1, 1), 2: (False, None, 2), 3: (True, 0, 1), 4: (True, 1, 0)}
+    assert sorted(r.id for r in inc.resume_pending(todo, out, retry_failed=True).collect()) == [2, 5]
+    assert sorted(r.id for r in inc.resume_pending(todo, out, retry_failed=True, max_failures=2).collect()) == [5]
+
+
 def test_written_annotations(spark):
     path = shared_dir(spark, "ann")
     ann = an.parse_annotations(_responses(spark, range(6)), "jigsaw")
@@ -173,5 +256,22 @@ def test_model_batches(spark):
     assert df.columns == ["id", "text"]
 
 
+def test_entry_without_a_named_folder(tmp_path):
+    """A local session that names no folder: queries run, and those that store take one of their own."""
+    code = """
+from pyspark.sql import SparkSession
+import __spark_entry__ as entry
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+assert spark.conf.get("spark.checkpoint.dir", None) is None
+queries = entry.queries()
+print(queries["confusion_matrix"](spark, "/root/testdata/sf0.001").count(), queries["read_csv_long_labels"](spark, "/root/testdata/sf0.001").count())
+"""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = os.environ | {"SPARK_CONF_DIR": str(tmp_path), "TMPDIR": str(tmp_path), "PYTHONPATH": root}
+    done = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert done.stdout.split()[-1] == "200"
+
+
 def test_shared_folder_comes_from_the_session(spark):
     assert shared_dir(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
