@@ -17,8 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..operators.ranking import ranked
 from ..sources.shared import stored
-from .ordering import ranked
 
 ARITY = 3
 HEIGHT = 8  # levels of a block above its leaves: 6,561 leaves and 9,841 nodes
