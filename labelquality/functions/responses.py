@@ -74,6 +74,17 @@ def parsed_json(json: str) -> str:
     return f"""try_parse_json(concat('[', {json}, ', "{_END_MARK}"]'))"""
 
 
+def lenient_json(json: str) -> str:
+    """SQL for ``[object, end mark]`` by the second grammar: a key may repeat, and the last one counts; NaN and infinities are numbers.
+
+    Both are what some JSON parsers take although VARIANT does not. Only objects are read this way, and only the fields an answer
+    can have; inside the value of a field keys may not repeat.
+    """
+    options = "map('allowSingleQuotes', 'false', 'allowNonNumericNumbers', 'true')"
+    fields = "array<struct<label: variant, confidence: variant, rationale: variant, `end`: string>>"
+    return f"""from_json(concat('[', {json}, ', {{"end": "{_END_MARK}"}}]'), '{fields}', {options})"""
+
+
 # What can be wrong with a response, in the order it is looked for: condition, error type, message. The
 # message of the first entry stands for the parser's own; its type is the one found while extracting.
 _OBJECT = "'Validation error: response is not an object'"
@@ -126,10 +137,16 @@ def validate_response(df: DataFrame, task: str, json: str = "json_text", error:
         _is_json=f"""coalesce(try_variant_get(_v, '$[1]', 'string') = '{_END_MARK}', false)
             AND try_variant_get(_v, '$[2]', 'variant') IS NULL""",
     )
+    again = f"CASE WHEN NOT _is_json AND contains(`{json}`, '{{') THEN {lenient_json(f'`{json}`')} END"
+    staged = stage(staged, _again=again)
+    staged = stage(staged, _second=f"NOT _is_json AND coalesce(size(_again) = 2 AND _again[0] IS NOT NULL AND _again[1].`end` = '{_END_MARK}' AND _again[0].`end` IS NULL, false)")
+    fields = {"_label": "label", "_conf": "confidence", "_why": "rationale"}
+    kept = [f"`{c}`" for c in staged.columns if c not in (*fields, "_is_json", "_again")]
+    staged = staged.selectExpr(*kept, "_is_json OR _second AS _is_json", *[f"CASE WHEN _second THEN _again[0].{f} ELSE {v} END AS {v}" for v, f in fields.items()])
     staged = stage(staged, **{f"{v}_type": f"schema_of_variant({v})" for v in ("_top", "_label", "_conf", "_why")})
     staged = stage(
         staged,
-        _kind=kind_of("_top"),
+        _kind=f"CASE WHEN _second THEN 'OBJECT' ELSE {kind_of('_top')} END",
         _why_kind=kind_of("_why"),
         _plain=name,
         _grade=text_of("_conf"),

@@ -8,6 +8,7 @@ predicted) and aggregated from there, without joins.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -300,6 +301,37 @@ def fairness_by_group(df: DataFrame, true: str, pred: str, groups: str) -> DataF
     )
 
 
+def _grouping(by: Sequence[str]) -> Column:
+    """Names of the columns a row of grouping sets is grouped by; ``all`` for the total."""
+    names = F.concat_ws(" x ", *[F.when(F.grouping(c) == 0, F.lit(c)) for c in by])
+    return F.when(names == "", "all").otherwise(names)
+
+
+def fairness_crossed(df: DataFrame, true: str, pred: str, by: Sequence[str], crossed: Sequence[Sequence[str]] | None = None) -> DataFrame:
+    """Weighted metrics in total, per value of each attribute of ``by``, and per combination of them, from one scan.
+
+    ``crossed`` names the combinations (all of them, if it is not given). Rows are counted once per (attributes, gold, pred); grouping
+    sets add these cells up. ``grouping`` tells which attributes a row is grouped by; the others are NULL there. NULL is a value.
+    """
+    by = list(by)
+    sets = [[], *[[c] for c in by], *[list(c) for c in (crossed if crossed is not None else [x for k in range(2, len(by) + 1) for x in combinations(by, k)])]]
+    cells = confusion_counts(df, true, pred, by=by)
+    summed = cells.groupingSets([[*s, "gold", "pred"] for s in sets], *by, "gold", "pred").agg(F.sum("n").alias("n"), _grouping(by).alias("grouping"))
+    keys = ["grouping", *by]
+    return summary(class_counts(summed, by=keys), by=keys).select(
+        *keys,
+        "accuracy",
+        *[F.col(f"{m}_weighted").alias(m) for m in METRICS],
+        F.col("n").alias("sample_size"),
+        (1.0 - F.col("accuracy")).alias("error_rate"),
+    )
+
+
+def fairness_crossed_gaps(scores: DataFrame, metrics: Sequence[str] = ("accuracy", "precision", "recall", "f1_score")) -> DataFrame:
+    """Per grouping of ``fairness_crossed``: how many groups there are and the largest difference in each metric between them."""
+    return scores.groupBy("grouping").agg(F.count("*").alias("num_groups"), *[(F.max(m) - F.min(m)).alias(f"{m}_gap") for m in metrics])
+
+
 def fairness_gaps(df: DataFrame, true: str, pred: str, groups: str, positive: int = 1) -> DataFrame:
     """Largest difference between groups in positive rate (parity) and in true/false positive rates."""
     unfolded = df.select(F.col(true), F.col(pred), F.explode(F.array_distinct(groups)).alias("group"))

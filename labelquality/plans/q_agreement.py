@@ -245,6 +245,41 @@ def fairness_by_group(spark, d):
     return m.select("group", "sample_size", *[r6(c) for c in names])
 
 
+_CROSSED = f"""{parsed()}, ok AS (SELECT lang, source, gold_label AS gold, llm_label AS pred FROM ann WHERE is_valid AND llm_label >= 0),
+  parts AS (SELECT 'all' AS grouping, NULL AS lang, NULL AS source, gold, pred FROM ok UNION ALL SELECT 'lang', lang, NULL, gold, pred FROM ok
+    UNION ALL SELECT 'source', NULL, source, gold, pred FROM ok UNION ALL SELECT 'lang x source', lang, source, gold, pred FROM ok),
+  per AS (SELECT grouping, lang, source, c, count(*) FILTER (WHERE gold = c) AS support, count(*) FILTER (WHERE pred = c) AS said,
+      count(*) FILTER (WHERE gold = c AND pred = c) AS hit, count(*) AS n FROM parts, (SELECT unnest([0, 1]) AS c) k GROUP BY ALL),
+  sc AS (SELECT *, CASE WHEN said > 0 THEN hit::DOUBLE / said ELSE 0 END AS pr, CASE WHEN support > 0 THEN hit::DOUBLE / support ELSE 0 END AS rc,
+      CASE WHEN said + support > 0 THEN 2.0::DOUBLE * hit / (said + support) ELSE 0 END AS f1 FROM per),
+  crossed AS (SELECT grouping, lang, source, sum(hit)::DOUBLE / any_value(n) AS accuracy, sum(pr * support) / any_value(n) AS precision, sum(rc * support) / any_value(n) AS recall,
+      sum(f1 * support) / any_value(n) AS f1_score, any_value(n) AS sample_size FROM sc GROUP BY grouping, lang, source)"""
+
+
+def _crossed(spark, d):
+    ann = inputs.annotations(spark, d, keep=("lang", "source")).filter("is_valid AND llm_label >= 0")
+    return ag.fairness_crossed(ann, "gold_label", "llm_label", ["lang", "source"])
+
+
+@query(
+    "fairness_crossed",
+    f"""WITH {_CROSSED} SELECT grouping, lang, source, sample_size, round(accuracy, 6) AS accuracy, round(precision, 6) AS precision, round(recall, 6) AS recall,
+      round(f1_score, 6) AS f1_score, round(1 - accuracy, 6) AS error_rate FROM crossed""",
+)
+def fairness_crossed(spark, d):
+    """In total, per language, per source, and per language and source."""
+    return _crossed(spark, d).select("grouping", "lang", "source", "sample_size", *[r6(c) for c in ("accuracy", "precision", "recall", "f1_score", "error_rate")])
+
+
+@query(
+    "fairness_crossed_gaps",
+    f"""WITH {_CROSSED} SELECT grouping, count(*) AS num_groups, round(max(accuracy) - min(accuracy), 6) AS accuracy_gap, round(max(f1_score) - min(f1_score), 6) AS f1_score_gap
+      FROM crossed GROUP BY grouping""",
+)
+def fairness_crossed_gaps(spark, d):
+    return ag.fairness_crossed_gaps(_crossed(spark, d)).select("grouping", "num_groups", r6("accuracy_gap"), r6("f1_score_gap"))
+
+
 @query(
     "fairness_gaps",
     f"""WITH {_GROUPED}, r AS (SELECT grp, avg(pred) AS rate, avg(pred) FILTER (WHERE gold = 1) AS tpr, avg(pred) FILTER (WHERE gold = 0) AS fpr

@@ -116,6 +116,29 @@ def validate_response_query(spark, d):
     return an.validated(raw, "toxicity").select("id", "is_valid", "label", "confidence", "error", "error_type")
 
 
+_FORMS = (
+    ('{"label": "non-toxic", "label": "toxic", "confidence": "high"}', "true, 'toxic', 'high', '', ''"),
+    ('{"label": "toxic", "confidence": "low", "confidence": "sure"}', "false, '', 'low', 'Invalid confidence: sure', 'schema_violation'"),
+    ('{"label": "toxic", "score": NaN, "confidence": "low"}', "true, 'toxic', 'low', '', ''"),
+    ('{"confidence": "low", "label": "x", "score": -Infinity, "label": "Not Toxic", "confidence": "medium"}', "true, 'non-toxic', 'medium', '', ''"),
+    ("{'label': 'toxic', 'confidence': 'low'}", "false, '', 'low', 'JSON parse error', 'parse_error'"),
+    ('{"label": "toxic", "confidence": nan}', "false, '', 'low', 'JSON parse error', 'parse_error'"),
+)
+
+
+@query(
+    "validate_response_repeated_keys",
+    "SELECT doc_id AS id, x.* FROM documents, LATERAL (SELECT "
+    + ", ".join(f"CASE doc_id % 6 {' '.join(f'WHEN {k} THEN f{k}.{c}' for k in range(6))} END AS {c}" for c in ("is_valid", "label", "confidence", "error", "error_type"))
+    + " FROM " + ", ".join(f"(SELECT {want}) f{k}(is_valid, label, confidence, error, error_type)" for k, (_, want) in enumerate(_FORMS)) + ") x",
+)
+def validate_response_repeated_keys(spark, d):
+    """What another common JSON grammar takes: repeated keys, NaN and infinities; and what neither takes."""
+    form = F.element_at(F.array(*[F.lit(text) for text, _ in _FORMS]), (F.col("doc_id") % 6 + 1).cast("int"))
+    raw = inputs.table(spark, d, "documents").select(F.col("doc_id").alias("id"), form.alias("raw_response"))
+    return an.validated(raw, "toxicity").select("id", "is_valid", "label", "confidence", "error", "error_type")
+
+
 _ANN_COLUMNS = """row_id, substr(sha256(text), 1, 16) AS text_hash, length(text) AS text_len, gold_label, gold_label_str,
   llm_label, llm_label_str, llm_confidence, llm_confidence_numeric, '' AS llm_rationale, raw_response, is_valid, error, error_type"""
 

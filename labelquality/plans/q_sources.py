@@ -87,6 +87,38 @@ def read_jsonl_claims(spark, d):
     return back.select("id", tx.text_hash(F.col("text")).alias("text_hash"), "label", "split")
 
 
+_BROKEN = "id % 7 = 3"
+
+
+def _broken_claims(spark, d):
+    """Claims in which every seventh line is cut off in the middle."""
+    root = shared_dir(spark, "claims")
+    rows = inputs.labelled_text(spark, d).select("id", F.col("text").alias("claim"), F.when(F.col("quality") == 1, "SUPPORTS").otherwise("REFUTES").alias("label"))
+    line = F.to_json(F.struct("id", "claim", "label"))
+    line = F.when(F.expr(_BROKEN), F.substring(line, 1, 15)).otherwise(line)
+    for k, file in enumerate(("train", "paper_dev", "paper_test")):
+        rows.filter(F.col("id") % 3 == k).orderBy("id").coalesce(1).select(line.alias("value")).write.text(f"{root}/{file}.jsonl")
+    return readers.read_jsonl_claims_kept(spark, root, columns="id bigint, claim string, label string")
+
+
+_SPLIT3 = "CASE id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'dev' ELSE 'test' END AS split"
+
+
+@query("read_jsonl_kept", f"WITH {LABELLED} SELECT id, {_HASH}, CASE WHEN quality = 1 THEN 2 ELSE 0 END AS label, {_SPLIT3} FROM labelled WHERE NOT {_BROKEN}")
+def read_jsonl_kept(spark, d):
+    return _broken_claims(spark, d)[0].select("id", tx.text_hash(F.col("text")).alias("text_hash"), "label", "split")
+
+
+@query(
+    "read_jsonl_errors",
+    f"""WITH {LABELLED}, numbered AS (SELECT id, text, {_SPLIT3}, row_number() OVER (PARTITION BY id % 3 ORDER BY id) AS line FROM labelled)
+      SELECT split, line, substr('{{"id":' || id || ',"claim":"', 1, 15) AS value FROM numbered WHERE {_BROKEN}""",
+)
+def read_jsonl_errors(spark, d):
+    """The broken lines, with the place of each."""
+    return _broken_claims(spark, d)[1].select("split", "line", F.substring("value", 1, 15).alias("value"))
+
+
 @query(
     "load_dataset",
     "SELECT split, label, count(*) AS n, sum(length(text))::BIGINT AS chars FROM ("

@@ -11,6 +11,7 @@ from ..functions import fixed
 from ..operators import sampling
 from ..operators.sampling import factorize_labels
 from . import segments
+from .shared import stored
 
 SPLITS = ("train", "dev", "test")
 CSV_OPTIONS = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
@@ -108,6 +109,33 @@ def read_jsonl_claims(
     return _all_splits([(s, claims(df)) for s, df in zip(SPLITS, parts)])
 
 
+def quarantine_jsonl(spark: SparkSession, path: str, columns: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, errors) of a JSON-lines file or folder: each line is in one of them, blank lines in none.
+
+    ``errors``: (file, line, value), the file, the number of the line in it from 1, and its text, for lines that are no JSON object or do not fit
+    ``columns``. Many tasks read a file; line numbers are running sums over its blocks. Lines are stored once.
+    """
+    lines = stored(segments.segments(spark, path, "\n"), "lines")
+    lines = segments.running(lines, line=F.lit(1)).withColumn("value", F.regexp_replace("value", "\r$", ""))
+    lines = lines.filter(F.trim(F.replace(F.col("value"), F.lit("\t"), F.lit(" "))) != "")
+    parsed = lines.withColumn("row", F.from_json("value", f"{columns}, _broken string", {"columnNameOfCorruptRecord": "_broken"}))
+    broken = F.col("row").isNull() | F.col("row._broken").isNotNull()
+    names = [c for c in parsed.select("row.*").columns if c != "_broken"]
+    rows = parsed.filter(~broken).select(*[F.col(f"row.`{c}`").alias(c) for c in names])
+    return rows, parsed.filter(broken).select("file", (F.col("line") + 1).alias("line"), "value")
+
+
+def read_jsonl_claims_kept(
+    spark: SparkSession, folder: str, files: Sequence[str] = ("train", "paper_dev", "paper_test"), columns: str = "claim string, label string"
+) -> tuple[DataFrame, DataFrame] | None:
+    """``read_jsonl_claims`` with broken lines set apart: (claims, errors), errors being (split, file, line, value)."""
+    if any(_found(lambda name=name: spark.read.text(f"{folder}/{name}.jsonl")) is None for name in files):
+        return None
+    parts = [quarantine_jsonl(spark, f"{folder}/{name}.jsonl", columns) for name in files]
+    good = _all_splits([(s, claims(rows)) for s, (rows, _) in zip(SPLITS, parts)])
+    return good, _all_splits([(s, errors) for s, (_, errors) in zip(SPLITS, parts)])
+
+
 def pick_text_column(df: DataFrame, candidates: Sequence[str] = tuple(fixed.TOXICITY_TEXT_COLUMNS)) -> str:
     """The first of the source's text columns that there is, else the first string column, else the first column."""
     for name in candidates:

@@ -126,3 +126,20 @@ def test_comprehensive(spark):
     assert got[("classification", "all", "accuracy")] == 0.5 and got[("trust_prediction", "all", "roc_auc")] == pytest.approx(0.75)
     assert all(0 <= got[("calibration", "all", m)] <= 1 for m in ("ece", "mce", "brier_score"))
     assert {r.section for r in ag.comprehensive_metrics(df, "t", "p").collect()} == {"classification", "agreement"}
+
+
+def test_fairness_in_total_and_crossed(spark):
+    rows = [("en", "a", 1, 1), ("en", "a", 0, 1), ("en", "b", 0, 0), ("de", "a", 1, 0), ("de", None, 1, 1), (None, "b", 0, 0)]
+    df = spark.createDataFrame(rows, "lang string, source string, gold int, pred int")
+    got = {(r.grouping, r.lang, r.source): (r.sample_size, r.accuracy) for r in ag.fairness_crossed(df, "gold", "pred", ["lang", "source"]).collect()}
+    assert got["all", None, None] == (6, 4 / 6)
+    assert got["lang", "en", None] == (3, 2 / 3) and got["lang", None, None] == (1, 1.0)
+    assert got["source", None, "a"] == (3, 1 / 3) and got["source", None, None] == (1, 1.0)
+    assert got["lang x source", "en", "a"] == (2, 0.5) and got["lang x source", None, "b"] == (1, 1.0) and got["lang x source", "de", None] == (1, 1.0)
+    assert len(got) == 1 + 3 + 3 + 5
+    only = ag.fairness_crossed(df, "gold", "pred", ["lang", "source"], crossed=[])
+    assert {r.grouping for r in only.collect()} == {"all", "lang", "source"}
+    gaps = {r.grouping: (r.num_groups, r.accuracy_gap) for r in ag.fairness_crossed_gaps(only).collect()}
+    assert gaps["all"] == (1, 0.0) and gaps["source"] == (3, pytest.approx(2 / 3))
+    plan = only._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1

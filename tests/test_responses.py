@@ -166,3 +166,24 @@ def test_select_rationale_and_dedup(spark):
     assert 60 <= len(audited) <= 140 and all(got[i] == ["audit"] for i in audited)
     texts = spark.createDataFrame([(3, "a"), (1, "a"), (2, "b")], "id int, text string")
     assert {(r.id, r.copies) for r in an.dedup_by_hash(texts).collect()} == {(1, 2), (2, 1)}
+
+
+@pytest.mark.parametrize("text, valid, label, error", [
+    ('{"label": "x", "label": "toxic", "confidence": "low"}', True, "toxic", ""),
+    ('{"label": "toxic", "confidence": "low", "rationale": "short", "rationale": "long enough now"}', True, "toxic", ""),
+    ('{"label": "toxic", "confidence": "low", "n": NaN, "m": -Infinity}', True, "toxic", ""),
+    ('{"label": "toxic", "label": 3, "confidence": "low"}', False, "", "Validation error: label is not a string"),
+    ('{"confidence": "low", "confidence": "low"}', False, "", "Missing required field: label"),
+    ('{"label": "toxic", "label": "toxic", "confidence": "low"} tail', False, "", "JSON parse error"),
+    ('{"label": "toxic", "confidence": "low", }', False, "", "JSON parse error"),
+    ('{"label": "toxic", "confidence": \'low\'}', False, "", "JSON parse error"),
+    ('{"label": "toxic", "confidence": nan}', False, "", "JSON parse error"),
+    ('NaN', False, "", "JSON parse error"),
+])
+def test_second_grammar(spark, text, valid, label, error):
+    """Repeated keys and numbers that are none are read again; nothing else becomes valid by that."""
+    from labelquality.functions.responses import validate_response
+
+    df = spark.createDataFrame([(text, "")], "json_text string, extract_error string")
+    row = validate_response(df, "toxicity").first()
+    assert (row.is_valid, row.label, row.error) == (valid, label, error)

@@ -275,3 +275,17 @@ print(queries["confusion_matrix"](spark, "/root/testdata/sf0.001").count(), quer
 
 def test_shared_folder_comes_from_the_session(spark):
     assert shared_dir(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_broken_lines_are_kept_apart(spark, tmp_path, small_blocks):
+    """Each line lands on one side, with its number; blank lines on none."""
+    good = [json.dumps({"claim": f"c{i} " + "x" * 200, "label": "SUPPORTS"}) for i in range(20)]
+    lines = [*good[:3], '{"claim": "cut', "", *good[3:10], "plain text", '["list"]', "  \t", *good[10:], '{"claim": 1} {"claim": 2'] 
+    for name in ("train", "paper_dev", "paper_test"):
+        (tmp_path / f"{name}.jsonl").write_bytes("\r\n".join(lines).encode())
+    assert segments.segments(spark, f"{tmp_path}/train.jsonl", "\n").select("block").distinct().count() > 2
+    rows, errors = readers.read_jsonl_claims_kept(spark, str(tmp_path))
+    assert rows.filter("split = 'dev'").count() == 20 and rows.columns == ["text", "label", "split"]
+    got = sorted((r.line, r.value) for r in errors.filter("split = 'dev'").collect())
+    assert [g for g in got if g[0] != len(lines)] == [(k, lines[k - 1]) for k in (4, 13, 14)]
+    assert readers.read_jsonl_claims_kept(spark, f"{tmp_path}/none") is None
