@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,8 +14,19 @@ SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
 
 
+_MALLOC_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library, where it has it
+
+
+def trim() -> None:
+    """Give memory that is free but held by allocators back to the system; workers live through many stages."""
+    pa.default_memory_pool().release_unused()
+    if _MALLOC_TRIM:
+        _MALLOC_TRIM(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about ``limit`` bytes of text, and one row at least: memory stays bounded."""
+    trim()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -25,6 +37,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             stop = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+        del batch
+        trim()
 
 
 def raw(column: pa.Array) -> list[bytes]:
