@@ -8,6 +8,7 @@ Pieces come from the vocabulary's own pre-tokenization, and distinct pieces are
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import unicodedata
@@ -198,6 +199,10 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids binary")
 
 
+def _text(ids: bytes, token: Callable[[int], bytes]) -> str:
+    return b"".join(map(token, memoryview(ids).cast("I"))).decode("utf-8", "replace")
+
+
 def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
     """Replace ``ids_col`` by the decoded text; other columns stay. Null ids give null; bytes that are not UTF-8 become U+FFFD."""
     kept = [c for c in encoded.columns if c != ids_col]
@@ -206,17 +211,27 @@ def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids", out_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = token_bytes(vocabulary).__getitem__
         for part in slices(batches, ids_col):
-            out = [None if x is None else b"".join(map(token, memoryview(x).cast("I"))).decode("utf-8", "replace") for x in part.column(ids_col).to_pylist()]
+            out = [None if x is None else _text(x, token) for x in part.column(ids_col).to_pylist()]
             yield table([*kept, out_col], *(part.column(c) for c in kept), pa.array(out, pa.string()))
 
     return encoded.mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of the encoded and again decoded texts, and the ids if asked for."""
-    counted = encode(docs, vocabulary, id_col, text_col).select(
-        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "ids"
-    )
-    kept = counted.withColumn("kept_ids", F.col("ids")) if keep_ids else counted
-    back = decode(kept, vocabulary).withColumn("decoded_sha256", F.sha2("text", 256)).drop("text")
-    return back.withColumnRenamed("kept_ids", "ids")
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of the encoded and again decoded texts, and the ids if asked for.
+
+    Null texts count as empty, rows keep their number and may repeat, an empty table gives an empty result. One pass: ids leave
+    the worker only if they are kept.
+    """
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids_of, token = encoder(vocabulary)[1], token_bytes(vocabulary).__getitem__
+        for part in slices(batches):
+            ids = [ids_of(t or "") for t in part.column("text").to_pylist()]
+            columns = [[len(x) // 4 for x in ids], [hashlib.sha256(x).hexdigest() for x in ids], [hashlib.sha256(_text(x, token).encode()).hexdigest() for x in ids]]
+            arrays = [part.column("doc_id"), *map(pa.array, columns, (pa.int64(), pa.string(), pa.string()))]
+            yield table(names, *arrays, *([pa.array(ids, pa.binary())] if keep_ids else []))
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
