@@ -151,20 +151,24 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
-    """Model from at most ``per_language`` documents of each language, chosen by a hash of the doc_id.
+    """Model from at most ``per_language`` rows of each language, chosen by a hash of doc_id and text.
 
-    Reads whole texts of the chosen documents; their trigram counts (at most DIM numbers each) go to the driver.
-    Rows without text, language or doc_id are not learned from. A hash threshold from the counts per language
-    leaves little more than the sample, so the ranking never sees a large group.
+    Reads whole texts of the chosen rows; their trigram counts (at most DIM numbers each) go to the driver.
+    Rows without text, language or doc_id are not learned from; exact repeats count once, and rows that share a
+    doc_id are chosen one by one. A hash threshold from the counts per language leaves little more than the sample
+    before anything moves, so neither a task nor the ranking sees a large group.
     """
     known = labelled.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    known = known.filter("doc_id is not null and lang is not null and text is not null and text != ''").withColumn("h", F.xxhash64("doc_id", F.lit(8)))
-    total = known.groupBy(F.col("lang").alias("_lang")).agg(F.count("*").alias("n"))
+    known = known.filter("doc_id is not null and lang is not null and text is not null and text != ''").withColumn("h", F.xxhash64("doc_id", "text", F.lit(8)))
+    total = known.groupBy(F.col("lang").alias("_lang")).agg(F.approx_count_distinct("h", 0.02).alias("n"))  # of different rows; the share leaves room for its error
     share = F.least(F.lit(1.0), F.lit(1.5 * per_language + 50) / F.col("n"))
-    near = known.select("doc_id", "lang", "h").join(total, F.col("lang") == F.col("_lang")).filter(F.col("h") <= -(2.0**63) + share * 2.0**64)
+    key = ["doc_id", "lang", "h"]
+    # total has one row a language, of which the model's languages are as many
+    near = known.select(*key).join(F.broadcast(total), F.col("lang") == F.col("_lang")).filter(F.col("h") <= -(2.0**63) + share * 2.0**64)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    chosen = near.withColumn("rank", rank).filter(F.col("rank") <= per_language).select("doc_id").distinct()
-    counts = known.join(F.broadcast(chosen), "doc_id").select("lang", "text")  # per_language rows a language
+    chosen = near.select(*key).distinct().withColumn("rank", rank).filter(F.col("rank") <= per_language).select(*key)
+    picked = known.join(F.broadcast(chosen), key)  # per_language rows a language, and their repeats
+    counts = picked.groupBy(*key).agg(F.min("text").alias("text")).select("lang", "text")
     found = counts.mapInArrow(_counts, "lang string, index array<int>, count array<int>").toArrow()
     rows = zip(found["lang"].to_pylist(), found["index"], found["count"])
     rows = [(lang, i.values.to_numpy(), c.values.to_numpy().astype(float)) for lang, i, c in rows]

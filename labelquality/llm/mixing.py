@@ -105,18 +105,22 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     source's words and document count: flights run over blocks of a source dealt by a hash of the doc_id, the at
     most two undecided documents of each block form the next, much smaller round, and the last block of a source
     lands. So a source of any size is split, and its words miss the target by less than one small document.
-    Decisions depend on (seed, doc_id, size) only, so reruns agree. Null texts have size 0, null is a source of
+    Decisions depend on (seed, doc_id, size) only, so reruns agree. More than BLOCK rows of a source with one
+    (doc_id, size), or with none and one size, are dealt by row; which of these equal rows is taken may differ. Null texts have size 0, null is a source of
     its own, repeated rows are decided one by one, an empty table gives an empty result.
     """
     h = F.xxhash64(F.lit(seed), F.col(id_col).cast("long"), "size")
     sizes = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words_in(F.col(text_col)).alias("size"), *carry)
-    sizes = stored(sizes.withColumn("h", h), "sizes")
+    sizes = stored(sizes.withColumn("h", h).withColumn("deal", F.monotonically_increasing_id()), "sizes")
+    crowds = sizes.groupBy(F.col("source").alias("_source"), F.col("h").alias("_h")).agg(F.count("*").alias("equal")).filter(F.col("equal") > BLOCK)
+    met = F.col("source").eqNullSafe(F.col("_source")) & (F.col("h") == F.col("_h"))
+    dealt_by = F.when(F.col("equal").isNotNull(), F.col("deal")).otherwise(F.lit(0))
     plan = stored(targets(sizes, weights), "targets")
     rate = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
     rated = sizes.join(plan.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("rate", rate)
     whole = F.floor(F.col("rate") + EPSILON)
     state = rated.withColumn("whole", whole.cast("int")).withColumn("chance", F.greatest(F.col("rate") - F.col("whole"), F.lit(0.0)))
-    state = state.drop("rate")
+    state = state.drop("rate").join(crowds, met, "left").withColumn("deal", dealt_by).drop("_source", "_h", "equal")
     decided, turn = [], 0
     undecided = f"chance > {EPSILON} and chance < {1 - EPSILON}"
     while True:
@@ -125,7 +129,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         last = (counts.agg(F.max("blocks")).first()[0] or 0) <= 1
         decided.append(state.filter(f"not ({undecided})"))
         counts = counts.withColumnRenamed("source", "_source")
-        dealt = open_.join(counts, F.col("source").eqNullSafe(F.col("_source"))).withColumn("block", F.pmod(F.xxhash64(F.lit(turn), "h"), F.col("blocks")).cast("int"))
+        dealt = open_.join(counts, F.col("source").eqNullSafe(F.col("_source"))).withColumn("block", F.pmod(F.xxhash64(F.lit(turn), "h", "deal"), F.col("blocks")).cast("int"))
         flown = dealt.drop("_source", "blocks").groupBy("source", "block").applyInPandas(_fly(last), dealt.drop("_source", "blocks").schema)
         state = stored(flown.drop("block").select(*state.columns), "flight")
         if last:

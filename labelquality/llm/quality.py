@@ -177,17 +177,18 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", limit: int = MAX_LABELLED) -> Trees:
-    """Fit on at most ``limit`` labelled documents, chosen by a hash of the doc_id; their statistics go to the driver.
+    """Fit on at most ``limit`` labelled rows, chosen by a hash of the doc_id; their statistics go to the driver.
 
     Labels that are null, or neither 0 nor 1, are left out; of several labels of one document the smallest counts.
+    Rows of one doc_id with equal statistics count once; others are rows of their own within the limit.
     """
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)")
     known = known.groupBy("doc_id").agg(F.min("y").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit(4)), "doc_id").limit(limit)
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")  # limit rows
-    rows = document_statistics(picked.select("doc_id", "text")).select("doc_id", "features").join(F.broadcast(chosen), "doc_id")
-    got = rows.toArrow()
-    got = got.take(np.lexsort((got["y"].to_numpy(), got["doc_id"].to_numpy()))) if got.num_rows else got
+    rows = document_statistics(picked.select("doc_id", "text")).select("doc_id", "features").distinct().join(F.broadcast(chosen), "doc_id")
+    got = rows.orderBy(F.xxhash64("doc_id", F.lit(4)), "doc_id", "features").limit(limit).toArrow()
+    got = got.take(np.argsort(got["doc_id"].to_numpy(), kind="stable")) if got.num_rows else got
     x = np.array(got["features"].to_pylist(), float).reshape(-1, len(FEATURES))
     return fit(x, got["y"].to_numpy().astype(float), list(FEATURES.values()))
 

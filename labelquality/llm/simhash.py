@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..sources.shared import stored
 from .graph import components
-from .texts import raw, slices, table
+from .texts import free, raw, slices, table
 
 MAX_BITS = 3
 DIRECT = 512  # members of a key that are compared at once; more are first split by an exact 16-bit block
@@ -223,23 +223,24 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Decides by row, so rows that share a doc_id or have none are told apart, and exact repeats go as well.
     """
-    marked = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    rows = stored(_row_fingerprints(marked, id_col, text_col, shingle), "fingerprints")
+    mark = free("_row", docs.columns)
+    marked = stored(docs.withColumn(mark, F.monotonically_increasing_id()), "rows")
+    rows = stored(_row_fingerprints(marked, mark, id_col, text_col, shingle), "fingerprints")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
     prints = rows.groupBy("fp").agg(F.min(rank).alias("first"))
     found = components(links(prints.select("fp")))
     named = prints.join(found, prints["fp"] == found["node"], "left").select("first", F.coalesce("component", "fp").alias("component"))
-    stay = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_row"))
-    return marked.join(stay, "_row", "left_semi").select(*docs.columns)
+    stay = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias(mark))
+    return marked.join(stay, mark, "left_semi").select(*docs.columns)
 
 
-def _row_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+def _row_fingerprints(docs: DataFrame, mark: str, id_col: str, text_col: str, shingle: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             prints = np.array([fingerprint(t, shingle) for t in raw(part.column("text"))], "<u8")
             yield table(["row", "doc_id", "fp"], part.column("row"), part.column("doc_id"), prints.view(np.int64))
 
-    rows = docs.select(F.col("_row").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(mark).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "row long, doc_id long, fp long")
 
 

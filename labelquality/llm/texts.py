@@ -41,6 +41,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         trim()
 
 
+def free(name: str, taken: list[str]) -> str:
+    """``name``, with underscores in front until no column of ``taken`` is called so."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name = "_" + name
+    return name
+
+
 def raw(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of texts; null counts as empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]

@@ -48,3 +48,15 @@ def test_edge_cases(spark, make_docs):
     assert language.identify(make_docs([]).limit(0)).count() == 0
     nothing = language.identify(make_docs([(1, "hello", "s", None)])).collect()
     assert nothing[0]["lang_pred"] == "und"
+
+
+def test_sample_is_bounded_by_rows(make_docs, monkeypatch):
+    """One doc_id on many rows, different or equal, counts row by row; exact repeats count once."""
+    seen = []
+    fit = language.fit
+    monkeypatch.setattr(language, "fit", lambda rows: seen.append([r[0] for r in rows]) or fit(rows))
+    rows = [(7, f"word {k}") for k in range(300)] + [(8, "the same")] * 300 + [(k, f"mot {k}", "s", "fr") for k in range(100, 103)]
+    language.learn(make_docs(rows), per_language=10)
+    assert seen[0].count("en") == 10 and seen[0].count("fr") == 3
+    language.learn(make_docs([(8, "the same")] * 300), per_language=10)
+    assert seen[1] == ["en"]

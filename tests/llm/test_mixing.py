@@ -77,3 +77,28 @@ def test_edge_cases(spark, make_docs):
     assert len(got) == len(rows)
     assert [r[6] for r in got if r[0] in (1, 2)] == [0, 0]
     assert mixing.mix(make_docs([]).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_equal_rows_are_dealt_over_blocks(make_docs, monkeypatch, doc_id):
+    """Rows of one size without an id, or with one id, do not meet in one flight."""
+    fly = mixing._fly
+
+    def bounded(land):
+        inner = fly(land)
+
+        def run(block):
+            assert len(block) <= 64
+            return inner(block)
+
+        return run
+
+    monkeypatch.setattr(mixing, "BLOCK", 16)
+    monkeypatch.setattr(mixing, "_fly", bounded)
+    rows = [(doc_id, "w w w", "hot")] * 600 + [(k, "w " * (k % 9), "abc"[k % 3]) for k in range(300)]
+    got = [tuple(r) for r in mixing.mix(make_docs(rows)).collect()]
+    sizes = {}
+    for r in got:
+        sizes[r[1]] = sizes.get(r[1], 0) + r[2]
+    assert len(got) == len(rows)
+    check(got, slow_targets(sizes))

@@ -95,10 +95,11 @@ def test_edge_cases(spark, make_docs, small):
     """Null ids and texts, empty and repeated rows, extra columns, an empty table."""
     rows = [(1, None), (2, ""), (3, "12"), (None, "hello world"), (4, "hello world of words"), (4, "hello world of words"), (5, "long " * 50_000, None, None), (6, "été")]
     for docs in (make_docs(rows + [(k, f"hello number {k}") for k in range(10, 20)]), make_docs([]).limit(0)):
-        docs = docs.withColumn("k1", corpus_pipeline.F.lit("x"))
+        for name in ("k1", "_k1", "_K2", "_row", "_copies", "_turn", "deal", "h"):
+            docs = docs.withColumn(name, corpus_pipeline.F.lit(-7))
         for name, stage in corpus_pipeline.STAGES[:-1]:
             after = stored(stage(spark, docs, small), name)
-            assert after.columns == docs.columns
+            assert after.columns == docs.columns and after.filter("_row <> -7 or _k1 <> -7 or _copies <> -7 or deal <> -7").count() == 0
             docs = after
         docs = corpus_pipeline.STAGES[-1][1](spark, docs, small)
         assert docs.filter("n_tokens < 0").count() == 0

@@ -77,3 +77,14 @@ def test_edge_cases(spark, make_docs):
     empty = quality.judge(docs, quality.learn(docs, labels.limit(0))).collect()
     assert {r["chance"] for r in empty} == {0.5} and len(empty) == len(rows)
     assert quality.judge(make_docs([]).limit(0), quality.learn(docs, labels)).count() == 0
+
+
+def test_sample_is_bounded_by_rows(spark, make_docs, monkeypatch):
+    seen = []
+    fit = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda x, y, d: seen.append(len(y)) or fit(x, y, d))
+    docs = make_docs([(1, "w " * k) for k in range(60)] + [(2, "a b")] * 50 + [(3, "c")])
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    quality.learn(docs, labels, limit=10)
+    quality.learn(docs.filter("doc_id > 1"), labels, limit=10)
+    assert seen == [10, 2]

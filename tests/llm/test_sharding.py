@@ -60,3 +60,16 @@ def test_edge_cases(spark, make_docs, monkeypatch):
     assert len({r[3] for r in got if r[1] == 12}) == 1  # the copies stay together
     assert {r[2] for r in got if r[0] in (20, 21)} == {0}
     assert sharding.shard(make_docs([]).limit(0)).count() == 0
+
+
+def test_equal_rows_of_a_hot_text_are_numbered_in_parts(make_docs, monkeypatch):
+    monkeypatch.setattr(sharding, "ROWS_PER_PART", 10)
+    rows = [(None, "same")] * 200 + [(7, "same")] * 200 + [(k, "same") for k in range(100)] + [(k, f"t{k}") for k in range(50)]
+    found = sharding.shard(make_docs(rows), 4)
+    plain = {}
+    for r in found.collect():
+        plain.setdefault(r["shard"], []).append(r["slot"])
+    assert sum(map(len, plain.values())) == len(rows) and all(sorted(s) == list(range(len(s))) for s in plain.values())
+    placed = make_docs(rows).selectExpr("doc_id", "1 AS bucket", "50 AS parts", "monotonically_increasing_id() AS row").filter("doc_id is null or doc_id = 7")
+    dealt, key = sharding._dealt(placed)
+    assert dealt.groupBy(sharding.F.pmod(key, "parts")).count().agg({"count": "max"}).first()[0] <= 40
