@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from labelquality.llm import bpe, language, mixing, simhash, suffixes
 from labelquality.llm.catalog import vocabulary
 from labelquality.llm.repeats import keyed_columns
+from labelquality.llm.texts import free
 from labelquality.sources.shared import stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-ROW = "_row"  # number of a stored row; ids may be null or repeated
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,18 +30,20 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes covered by repeated strings go from the texts; half a character at a cut goes with them. All rows stay."""
-    cut = suffixes.cut_texts(docs).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("kept").alias("text"))
+    first, second = free("_k1", docs.columns), free("_k2", docs.columns)
+    cut = suffixes.cut_texts(docs).select(F.col("k1").alias(first), F.col("k2").alias(second), F.col("kept").alias("text"))
     rest = [c for c in docs.columns if c not in ("text", "n_chars")]
     _, k1, k2, _ = keyed_columns("doc_id", "text")
-    joined = docs.select(*rest, k1.alias("_k1"), k2.alias("_k2")).join(cut, ["_k1", "_k2"])
+    joined = docs.select(*rest, k1.alias(first), k2.alias(second)).join(cut, [first, second])
     return joined.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice."""
-    rows = stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
-    copies = mixing.mix(rows, carry=(ROW,)).select(ROW, F.col("copies").alias("_copies"))
-    return rows.join(copies, ROW).select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select(*docs.columns)
+    row, times, turn = (free(c, docs.columns) for c in ("_row", "_copies", "_turn"))  # ids may be null or repeated, rows are numbered
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    copies = mixing.mix(rows, carry=(row,)).select(row, F.col("copies").alias(times))
+    return rows.join(copies, row).select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col(times))).alias(turn)).select(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
