@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import fixed
 from ..functions.scalar import ratio
+from ..sources.shared import stored
 from . import agreement, curves, sampling
 from .text_features import text_features
 
@@ -87,6 +88,22 @@ def trust_decision(df: DataFrame, threshold: float = fixed.TRUST_THRESHOLD, scor
     return df.withColumn("trust_decision", (F.col(score) >= F.lit(float(threshold))).cast("int"))
 
 
+def fit_trust(train: DataFrame, model_type: str, features: Sequence[str] = tuple(FEATURE_COLUMNS), **settings) -> TrustModel:
+    """Fit a learner on all rows of ``train`` (the feature columns and ``trust_label``); ``settings`` go to the learner."""
+    if model_type not in LEARNERS:
+        raise ValueError(f"Unknown model type: {model_type}")
+    columns = list(features)
+    stages = [VectorAssembler(inputCols=columns, outputCol="features"), LEARNERS[model_type](train.count(), **settings)]
+    return TrustModel(Pipeline(stages=stages).fit(train), model_type, columns)
+
+
+def root_splits(trained: TrustModel) -> list[tuple[str, float, float] | None]:
+    """(feature, threshold, impurity gain) of the first decision of every tree; None for a tree that is a single leaf."""
+    roots = [tree._java_obj.rootNode() for tree in trained.model.stages[-1].trees]
+    inner = [r if r.subtreeDepth() else None for r in roots]
+    return [r and (trained.feature_columns[r.split().featureIndex()], r.split().threshold(), r.gain()) for r in inner]
+
+
 def train_trust(
     df: DataFrame,
     model_type: str = "logistic_regression",
@@ -98,19 +115,17 @@ def train_trust(
 ) -> tuple[TrustModel, dict[str, float]]:
     """Fit on a stratified share of the rows and pick the threshold with the best F1 on the others.
 
-    ``settings`` go to the learner (numTrees, maxDepth, regParam, ...).
+    ``settings`` go to the learner (numTrees, maxDepth, regParam, ...). The split rows (id, label, features) are
+    written to the shared folder once; all passes of the fit and the evaluation read that table.
     """
     if model_type not in LEARNERS:
         raise ValueError(f"Unknown model type: {model_type}")
     columns = list(features)
-    data = trust_label(df).select(id_col, "trust_label", *columns)
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    data = stored(trust_label(df).select(id_col, "trust_label", *columns), "trust-rows")
+    parts = stored(sampling.split_in_two(data, validation_split, "train", "validation", id_col, "trust_label", seed), "trust-split")
+    parts = parts.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        parts = sampling.split_in_two(data, validation_split, "train", "validation", id_col, "trust_label", seed)
-        train = parts.filter("split = 'train'")
-        stages = [VectorAssembler(inputCols=columns, outputCol="features"), LEARNERS[model_type](train.count(), **settings)]
-        fitted = Pipeline(stages=stages).fit(train)
-        trained = TrustModel(fitted, model_type, columns)
+        trained = fit_trust(parts.filter("split = 'train'"), model_type, columns, **settings)
         scored = score_trust(parts, trained).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             held = scored.filter("split = 'validation'")
@@ -123,7 +138,7 @@ def train_trust(
         finally:
             scored.unpersist()
     finally:
-        data.unpersist()
+        parts.unpersist()
     metrics = {
         "train_accuracy": rates.get("train"),
         "val_accuracy": rates.get("validation"),

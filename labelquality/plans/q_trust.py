@@ -8,7 +8,7 @@ from ..operators import curves as cv, sampling as sp, trust as tr
 from ..sources.shared import shared_dir, stored
 from . import inputs
 from .oracle_parts import PRICES, RANK_AUC, SCORES, SUPERVISED, parsed
-from .q_sampling import _COUNTS, _shares
+from .q_sampling import _COUNTS, _RANKED, _shares
 from .q_text import _BASE
 from .registry import query, r6
 
@@ -41,11 +41,39 @@ _SIDES = f"""{parsed()}, rows AS (SELECT row_id AS id, coalesce((llm_label = gol
   {_COUNTS}, s AS (SELECT *, ceil(0.2::DOUBLE * tot)::BIGINT AS held FROM c), {_shares('s', 'n', 'tot - held', 'train', 'q')}"""
 
 
+# The first split of a tree over all training rows and features, from class counts: thresholds lie halfway between neighbouring
+# values, all of them up to 31, else those nearest to every 32nd part of the rows. Gain is that of the Gini impurity.
+_ROOT = f"""{_RANKED}, side AS (SELECT id, label FROM ranked JOIN q USING (label) WHERE rn <= train),
+  long AS (SELECT a.row_id AS id, unnest([{', '.join(f'round(coalesce({v}, 0)::DOUBLE, 6)' for v in _VALUES)}]) AS v, unnest(range({len(_VALUES)})) AS j
+    FROM ann a JOIN sup s ON s.example_id = a.row_id JOIN full_feat f ON f.id = a.row_id WHERE a.is_valid),
+  g AS (SELECT j, v, count(*) AS n, sum(label) AS p FROM long JOIN side USING (id) GROUP BY j, v),
+  o1 AS (SELECT j, v, lead(v) OVER w AS nxt, row_number() OVER w AS i, sum(n) OVER w AS c, sum(p) OVER w AS cp, count(*) OVER (PARTITION BY j) AS m,
+    sum(n) OVER (PARTITION BY j) AS tot, sum(p) OVER (PARTITION BY j) AS pos FROM g WINDOW w AS (PARTITION BY j ORDER BY v)),
+  o AS (SELECT *, lead(c) OVER (PARTITION BY j ORDER BY i) AS cn FROM o1),
+  walk AS (SELECT j, 0::BIGINT AS i, 0 AS k, false AS hit FROM o WHERE i = 1 AND m > 32
+    UNION ALL SELECT j, i, k + hit::INT, hit FROM (SELECT w.j, o.i, w.k, abs(o.c - (w.k + 1) * o.tot / 32.0::DOUBLE) < abs(o.cn - (w.k + 1) * o.tot / 32.0::DOUBLE) AS hit
+      FROM walk w JOIN o ON o.j = w.j AND o.i = w.i + 1 AND o.i < o.m) t),
+  cand AS (SELECT o.* FROM o LEFT JOIN walk w ON w.j = o.j AND w.i = o.i WHERE o.i < o.m AND (o.m <= 32 OR w.hit)),
+  gains AS (SELECT j, (v + nxt) / 2 AS threshold, 2 * (pos::DOUBLE / tot) * (1 - pos::DOUBLE / tot) - c::DOUBLE / tot * 2 * (cp::DOUBLE / c) * (1 - cp::DOUBLE / c)
+      - (tot - c)::DOUBLE / tot * 2 * ((pos - cp)::DOUBLE / (tot - c)) * (1 - (pos - cp)::DOUBLE / (tot - c)) AS gain FROM cand),
+  root AS (SELECT [{', '.join(f"'{c}'" for c in tr.FEATURE_COLUMNS)}][j + 1] AS root_feature, round(threshold, 8) AS root_threshold, gain
+    FROM gains ORDER BY round(gain, 12) DESC, j, threshold LIMIT 1)"""
+
+
+def _sides_sql(name: str, checks: str, source: str) -> str:
+    return f"""SELECT '{name}' AS model_type, 'train' AS split, sum(train)::BIGINT AS n, sum(train) FILTER (WHERE label = 1)::BIGINT AS positives, {checks} FROM {source}
+      UNION ALL SELECT '{name}', 'validation', sum(n - train)::BIGINT, sum(n - train) FILTER (WHERE label = 1)::BIGINT, {checks} FROM {source}"""
+
+
 def _trained_sql(name: str) -> str:
     """What is determined about a fitted model: its rows and right answers per side, and that its checks hold."""
-    checks = "true AS scores_valid, true AS threshold_is_best, true AS converged"
-    return f"""WITH {_SIDES} SELECT '{name}' AS model_type, 'train' AS split, sum(train)::BIGINT AS n, sum(train) FILTER (WHERE label = 1)::BIGINT AS positives, {checks} FROM q
-      UNION ALL SELECT '{name}', 'validation', sum(n - train)::BIGINT, sum(n - train) FILTER (WHERE label = 1)::BIGINT, true, true, true FROM q"""
+    return f"WITH {_SIDES} " + _sides_sql(name, "true AS scores_valid, true AS threshold_is_best, true AS converged", "q")
+
+
+def _tree_sql(name: str, scale: int) -> str:
+    """As for other models, and the first split of a tree. The variance of outcomes -1 and 1 is twice their Gini impurity (``scale``)."""
+    root = f"any_value(root_feature) AS root_feature, any_value(root_threshold) AS root_threshold, round({scale} * any_value(gain), 6) AS root_gain"
+    return f"WITH RECURSIVE {_SIDES}, {SUPERVISED}, {_BASE}, {_ROOT} " + _sides_sql(name, f"true AS scores_valid, true AS threshold_is_best, {root}", "q, root")
 
 
 def _gradient(scored, trained) -> float:
@@ -66,32 +94,59 @@ def _best_f1(held, threshold: float) -> bool:
     return f1[1] is not None and abs(f1[0] - f1[1]) < 1e-9
 
 
-def _trained(name: str):
+def _sides(scored, name: str, **checks):
+    return scored.groupBy("split").agg(
+        F.count("*").alias("n"), F.sum("trust_label").cast("long").alias("positives"), F.bool_and(F.col("trust_score").between(0, 1)).alias("scores_valid")
+    ).select(F.lit(name).alias("model_type"), "*", *[F.lit(v).alias(c) for c, v in checks.items()])
+
+
+def _in_two(rows):
+    return sp.split_in_two(rows, 0.2, "train", "validation", "row_id", "trust_label")
+
+
+@query("train_trust", _trained_sql("logistic_regression"))
+def train_trust(spark, d):
+    rows = tr.trust_label(_training_rows(spark, d))
+    trained, _ = tr.train_trust(rows)
+    scored = stored(trained.score(_in_two(rows)), "scored")
+    best = _best_f1(scored.filter("split = 'validation'"), trained.threshold)
+    return _sides(scored, "logistic_regression", threshold_is_best=best, converged=_gradient(scored, trained) < 1e-3)
+
+
+def _tree(name: str):
     def run(spark, d):
-        rows = tr.trust_label(_training_rows(spark, d))
+        """Features are rounded, so that equal values are equal in the oracle too."""
+        rows = tr.trust_label(_training_rows(spark, d)).select("row_id", "trust_label", "llm_label", "gold_label", *[r6(c) for c in tr.FEATURE_COLUMNS])
+        rows = stored(rows, "rows")
         trained, _ = tr.train_trust(rows, name)
-        parts = sp.split_in_two(rows, 0.2, "train", "validation", "row_id", "trust_label")
-        scored = stored(trained.score(parts), "scored")
-        converged = _gradient(scored, trained) < 1e-3 if name == "logistic_regression" else True
+        scored = stored(trained.score(_in_two(rows)), "scored")
         best = _best_f1(scored.filter("split = 'validation'"), trained.threshold)
-        return scored.groupBy("split").agg(
-            F.count("*").alias("n"), F.sum("trust_label").cast("long").alias("positives"), F.bool_and(F.col("trust_score").between(0, 1)).alias("scores_valid")
-        ).select(F.lit(name).alias("model_type"), "*", F.lit(best).alias("threshold_is_best"), F.lit(converged).alias("converged"))
+        first = trained
+        if name == "random_forest":  # its trees draw rows and features; one that does not is determined
+            first = tr.fit_trust(scored.filter("split = 'train'").drop("trust_score"), name, numTrees=1, featureSubsetStrategy="all", bootstrap=False, maxDepth=1)
+        feature, threshold, gain = tr.root_splits(first)[0] or (None, None, None)
+        return _sides(scored, name, threshold_is_best=best, root_feature=feature, root_threshold=threshold and round(threshold, 8), root_gain=gain and round(gain, 6))
 
     return run
 
 
-for _name, _kind in (("train_trust", "logistic_regression"), ("train_trust_forest", "random_forest"), ("train_trust_boosting", "gradient_boosting")):
-    query(_name, _trained_sql(_kind))(_trained(_kind))
+for _name, _kind, _scale in (("train_trust_forest", "random_forest", 1), ("train_trust_boosting", "gradient_boosting", 2)):
+    query(_name, _tree_sql(_kind, _scale))(_tree(_kind))
 
 
-@query("score_trust", f"WITH {parsed()} SELECT row_id, true AS score_valid, true AS decision_follows FROM ann WHERE is_valid")
+@query(
+    "score_trust",
+    f"""WITH {_SIDES}, mean AS (SELECT round(sum(train) FILTER (WHERE label = 1)::DOUBLE / sum(train), 3) AS m FROM q)
+      SELECT row_id, true AS score_valid, true AS decision_follows, m AS train_mean FROM ann, mean WHERE is_valid""",
+)
 def score_trust(spark, d):
-    rows = _training_rows(spark, d)
+    """At the solution the scores of the training side add up to its right answers, since the intercept carries no penalty."""
+    rows = tr.trust_label(_training_rows(spark, d))
     trained, _ = tr.train_trust(rows)
-    decided = tr.trust_decision(trained.score(rows), trained.threshold)
+    decided = stored(tr.trust_decision(trained.score(_in_two(rows)), trained.threshold), "decided")
     follows = F.col("trust_decision") == (F.col("trust_score") >= trained.threshold).cast("int")
-    return decided.select("row_id", F.col("trust_score").between(0, 1).alias("score_valid"), follows.alias("decision_follows"))
+    mean = decided.filter("split = 'train'").agg(F.round(F.avg("trust_score"), 3))
+    return decided.select("row_id", F.col("trust_score").between(0, 1).alias("score_valid"), follows.alias("decision_follows"), mean.scalar().alias("train_mean"))
 
 
 @query(
