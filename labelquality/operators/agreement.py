@@ -12,7 +12,9 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions import fixed, probability as pr
 from ..functions.scalar import ratio
+from ..sources.shared import stored
 
 METRICS = ("precision", "recall", "f1_score")
 COUNTS = ("tp", "support", "predicted")
@@ -113,7 +115,11 @@ def _grid(cells: DataFrame) -> DataFrame:
 
 def confusion_matrix(df: DataFrame, true: str, pred: str) -> DataFrame:
     """Cells of the full matrix, zeros included."""
-    cells = confusion_counts(df, true, pred)
+    return matrix_of(confusion_counts(df, true, pred))
+
+
+def matrix_of(cells: DataFrame) -> DataFrame:
+    """The same from counted cells (gold, pred, n)."""
     return cells.unionByName(_grid(cells)).groupBy("gold", "pred").agg(F.sum("n").alias("n"))
 
 
@@ -153,7 +159,12 @@ def averaged_metrics(df: DataFrame, true: str, pred: str, average: str = "auto")
 
 def classification_report(df: DataFrame, true: str, pred: str, names: Sequence[str] | None = None) -> DataFrame:
     """Rows per class, then accuracy, macro avg and weighted avg."""
-    classes = precision_recall_f1(_named(class_counts(confusion_counts(df, true, pred)), names))
+    return report_of(confusion_counts(df, true, pred), names)
+
+
+def report_of(cells: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
+    """The same from counted cells (gold, pred, n)."""
+    classes = precision_recall_f1(_named(class_counts(cells), names))
     s = summary(classes.select("label", *COUNTS))
     rows = [
         F.struct(F.lit("accuracy").alias("class"), *[F.col("accuracy").alias(m) for m in METRICS], F.col("n").alias("support")),
@@ -197,8 +208,13 @@ def agreement_metrics(annotations: DataFrame) -> DataFrame:
     ``num_samples`` counts valid annotations, ``num_valid`` those whose label belongs to the data set.
     With no usable row every metric is 0.
     """
+    return agreement_of(annotation_cells(annotations))
+
+
+def annotation_cells(annotations: DataFrame) -> DataFrame:
+    """Valid annotations counted per (gold, pred), pred being NULL where the label does not belong to the data set; ``weight`` sums the confidence of the others."""
     usable = F.col("llm_label") >= 0
-    cells = (
+    return (
         annotations.filter("is_valid")
         .groupBy(F.col("gold_label").alias("gold"), F.when(usable, F.col("llm_label")).alias("pred"))
         .agg(
@@ -207,6 +223,10 @@ def agreement_metrics(annotations: DataFrame) -> DataFrame:
             F.sum(F.when(usable, F.col("llm_confidence_numeric"))).alias("weight"),
         )
     )
+
+
+def agreement_of(cells: DataFrame) -> DataFrame:
+    """``agreement_metrics`` from ``annotation_cells``."""
     carry = ["num_samples", "weight"]
     zero = F.lit(0.0)
     return summary(class_counts(cells, carry=carry), carry=carry).select(
@@ -289,8 +309,12 @@ def fairness_by_group(df: DataFrame, true: str, pred: str, groups: str) -> DataF
     Empty groups produce no row. Rows are shuffled as counts per (group, gold, pred).
     """
     unfolded = df.select(F.col(true), F.col(pred), F.explode(F.array_distinct(groups)).alias("group"))
-    classes = class_counts(confusion_counts(unfolded, true, pred, by=["group"]), by=["group"])
-    return summary(classes, by=["group"]).select(
+    return fairness_of(confusion_counts(unfolded, true, pred, by=["group"]))
+
+
+def fairness_of(cells: DataFrame) -> DataFrame:
+    """The same from counted cells (group, gold, pred, n)."""
+    return summary(class_counts(cells, by=["group"]), by=["group"]).select(
         "group",
         "accuracy",
         F.col("precision_weighted").alias("precision"),
@@ -402,11 +426,14 @@ def comprehensive_metrics(
 ) -> DataFrame:
     """All metric groups the given columns allow, as one long table.
 
-    ``prob`` is the probability of class 1, ``groups`` an array of subgroups.
+    ``prob`` is the probability of class 1, ``groups`` an array of subgroups. The rows are read once, when called:
+    one aggregation counts everything, and its result, of the size of cells, bins and distinct scores, is stored.
     """
     from . import calibration, curves
 
-    cells = confusion_counts(df, true, pred)
+    counts = stored(_expanded_counts(df, true, pred, prob, groups, trust_label if trust_score else None, trust_score), "counts")
+    whole = counts.filter("kind = 'all'")
+    cells = whole.groupBy("gold", "pred").agg(F.sum("n").alias("n"))
     scores = summary(class_counts(cells))
     weighted = scores.select("accuracy", *[F.col(f"{m}_weighted").alias(m) for m in METRICS])
     out = _long(weighted, "classification", ["accuracy", *METRICS])
@@ -414,48 +441,106 @@ def comprehensive_metrics(
     out = out.unionByName(_long(coded, "agreement", coded.columns))
     out = out.unionByName(_long(weighted_agreement_of(cells), "agreement", ["weighted_agreement"]))
     if prob:
-        cal = calibration.calibration_metrics(df, prob, true)
+        bins = whole.groupBy("bin").agg(*[F.sum(c).alias(c) for c in ("n", "sum_p", "sum_y", "sum_sq")])
+        cal = calibration.calibration_summary(bins, more={"brier_score": F.sum("sum_sq") / F.sum("n")})
         out = out.unionByName(_long(cal, "calibration", ["ece", "mce", "brier_score", "reliability", "resolution"]))
     if groups:
-        fair = fairness_by_group(df, true, pred, groups)
+        fair = fairness_of(counts.filter("kind = 'group'").select("group", "gold", "pred", "n"))
         names = ["accuracy", *METRICS, "sample_size", "error_rate"]
         out = out.unionByName(_long(fair, "fairness", names, F.col("group").cast("string")))
     if trust_label and trust_score:
-        curve = curves.curve_metrics(df, trust_score, F.col(trust_label) == 1)
+        curve = curves.metrics_of(curves.accumulated(counts.filter("kind = 'score'").select("score", "pos", "neg")))
         out = out.unionByName(_long(curve, "trust_prediction", curve.columns))
     return out
 
 
-def _class_rows(df: DataFrame, true: str, pred: str, names: Sequence[str] | None) -> DataFrame:
+def _expanded_counts(df: DataFrame, true: str, pred: str, prob: str | None, groups: str | None, trust_label: str | None, trust_score: str | None) -> DataFrame:
+    """Every row as one of kind "all", one "group" per subgroup and one "score", counted together by (group, gold, pred, bin, score)."""
+    from . import calibration, curves
+
+    none = F.lit(None)
+    p = F.col(prob).cast("double") if prob else none.cast("double")
+    y = F.col(true).cast("double") if prob else none.cast("double")
+    of = df.schema[groups].dataType.elementType if groups else "string"
+    gold, given = F.col(true), F.col(pred)
+
+    def entry(kind: str, group: Column = none, cell: bool = True, bin_: Column = none, score: Column = none, hit: Column = none) -> Column:
+        side = [c if cell else none.cast(df.schema[name].dataType) for c, name in ((gold, true), (given, pred))]
+        whole = kind == "all"
+        return F.struct(
+            F.lit(kind).alias("kind"), group.cast(of).alias("group"), side[0].alias("gold"), side[1].alias("pred"), bin_.cast("int").alias("bin"), score.cast("double").alias("score"),
+            (p if whole else none.cast("double")).alias("p"), (y if whole else none.cast("double")).alias("y"), hit.cast("boolean").alias("hit"),
+        )
+
+    kinds = [F.array(entry("all", bin_=calibration.bin_index(p, fixed.BINARY_BINS) if prob else none))]
+    if groups:
+        kinds.append(F.coalesce(F.transform(F.array_distinct(groups), lambda g: entry("group", g)), F.array().cast(f"array<{_type_of(df, entry('group'))}>")))
+    if trust_label and trust_score:
+        score = F.col(trust_score).cast("double")
+        one = F.array(entry("score", cell=False, score=curves.ranked_score(score), hit=F.col(trust_label) == 1))
+        kinds.append(F.filter(one, lambda e: e["score"].isNotNull()))
+    gap = F.col("p") - F.col("y")
+    return df.select(F.inline(F.concat(*kinds))).groupBy("kind", "group", "gold", "pred", "bin", "score").agg(
+        F.count("*").alias("n"), F.sum("p").alias("sum_p"), F.sum("y").alias("sum_y"), F.sum(gap * gap).alias("sum_sq"),
+        F.count_if("hit").alias("pos"), F.count_if(~F.col("hit")).alias("neg"),
+    )
+
+
+def _type_of(df: DataFrame, c: Column) -> str:
+    return df.select(c.alias("c")).schema["c"].dataType.simpleString()
+
+
+def _class_rows(cells: DataFrame, names: Sequence[str] | None) -> DataFrame:
     """The classification report as (section, group, metric, value)."""
-    report = classification_report(df, true, pred, names)
+    report = report_of(cells, names)
     return _long(report, "classes", [*METRICS, "support"], F.col("class"))
 
 
 def agreement_report(annotations: DataFrame, dataset: str, names: Sequence[str] | None = None) -> DataFrame:
     """The whole agreement bundle of a run as (dataset, section, group, metric, value): the scalars of
-    ``agreement_metrics``, the classification report, and the cells of the confusion matrix (group gold, metric predicted)."""
-    usable = annotations.filter("is_valid AND llm_label >= 0")
-    scalars = agreement_metrics(annotations)
-    cells = confusion_matrix(usable, "gold_label", "llm_label")
+    ``agreement_metrics``, the classification report, and the cells of the confusion matrix (group gold, metric predicted).
+
+    The annotations are read once, when called; their cells are stored and everything else comes from them.
+    """
+    counted = stored(annotation_cells(annotations), "cells")
+    scalars = agreement_of(counted)
+    usable = counted.filter("pred IS NOT NULL").select("gold", "pred", "n")
+    cells = matrix_of(usable)
     label = lambda c: F.col(c).cast("string")
     matrix = cells.select(F.lit("confusion").alias("section"), label("gold").alias("group"), label("pred").alias("metric"), F.col("n").cast("double").alias("value"))
-    out = _long(scalars, "agreement", scalars.columns).unionByName(_class_rows(usable, "gold_label", "llm_label", names)).unionByName(matrix)
+    out = _long(scalars, "agreement", scalars.columns).unionByName(_class_rows(usable, names)).unionByName(matrix)
     return out.select(F.lit(dataset).alias("dataset"), "*")
 
 
 def supervised_report(preds: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     """The whole report of saved predictions as (section, group, metric, value): size, classes, averaged and per-class
-    scores, ECE, Brier score, mean entropy and confidence."""
-    from . import calibration, uncertainty
+    scores, ECE, Brier score, mean entropy and confidence.
+
+    The predictions are read once, when called: sums per (gold, predicted, confidence bin) are stored.
+    """
+    from . import calibration
 
-    size = preds.agg(F.count("*").alias("num_samples"), F.max(F.size("probabilities")).alias("num_classes"))
+    probs, gold = F.col("probabilities"), F.col("gold_label")
+    rows = preds.select(
+        gold.alias("gold"), F.col("predicted_label").alias("pred"), F.size(probs).alias("k"), pr.max_prob(probs).alias("p"), "entropy", "max_prob",
+        (pr.argmax_label(probs) == gold).cast("double").alias("y"), pr.squared_error(probs, gold).alias("sq"),
+    )
+    counts = rows.groupBy("gold", "pred", calibration.bin_index(F.col("p"), fixed.CALIBRATION_BINS).alias("bin")).agg(
+        F.count("*").alias("n"), F.max("k").alias("k"), F.sum("p").alias("sum_p"), F.sum("y").alias("sum_y"),
+        *[f(c).alias(f"{name}_{c}") for c in ("sq", "entropy", "max_prob") for f, name in ((F.sum, "sum"), (F.count, "n"))],
+    )
+    counts = stored(counts, "counts")
+    mean = lambda c: F.try_divide(F.sum(f"sum_{c}"), F.sum(f"n_{c}"))
+    size = counts.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("num_samples"), F.max("k").alias("num_classes"), mean("sq").alias("brier_score"),
+        mean("entropy").alias("average_entropy"), mean("max_prob").alias("average_confidence"),
+    )
+    bins = counts.groupBy("bin").agg(*[F.sum(c).alias(c) for c in ("n", "sum_p", "sum_y")])
+    cells = counts.groupBy("gold", "pred").agg(F.sum("n").alias("n"))
     parts = [
         _long(size, "overall", size.columns),
-        _long(calibration.ece(preds, "probabilities", "gold_label"), "overall", ["ece"]),
-        _long(calibration.brier(preds, "probabilities", "gold_label"), "overall", ["brier_score"]),
-        _long(uncertainty.average_entropy_confidence(preds), "overall", ["average_entropy", "average_confidence"]),
-        _class_rows(preds, "gold_label", "predicted_label", names),
+        _long(calibration.calibration_summary(bins), "overall", ["ece"]),
+        _class_rows(cells, names),
     ]
     out = parts[0]
     for part in parts[1:]:

@@ -17,19 +17,28 @@ ROWS_PER_RANGE = 250_000
 
 
 def score_counts(df: DataFrame, score: str, positive: Column) -> DataFrame:
-    """Distinct scores with their positive and negative counts. Scores that are NULL or NaN cannot be ranked and are left out."""
-    known = df.filter(F.col(score).isNotNull() & ~F.isnan(score))
-    return known.groupBy(F.col(score).alias("score")).agg(
+    """Distinct scores with their positive and negative counts. Rows without a score are left out; NaN is an error."""
+    known = df.filter(F.col(score).isNotNull())
+    return known.groupBy(ranked_score(F.col(score)).alias("score")).agg(
         F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg")
     )
 
 
+def ranked_score(score: Column) -> Column:
+    """The score; a task that meets NaN fails, since NaN has no place in a ranking."""
+    return F.when(F.isnan(score), F.raise_error("a score is NaN")).otherwise(score)
+
+
 def cumulative_counts(df: DataFrame, score: str, positive: Column, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Per distinct score: pos, neg, and tp, fp = counts at this score or above, and the totals.
 
     Aggregates and stores when called, since the ranges follow from the number of distinct scores.
     """
-    counts = stored(score_counts(df, score, positive), "scores")
+    return accumulated(stored(score_counts(df, score, positive), "scores"), rows_per_range)
+
+
+def accumulated(counts: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """``cumulative_counts`` from a stored table (score, pos, neg) of distinct scores."""
     ranges = max(1, -(-counts.count() // rows_per_range))
     everything = Window.partitionBy()
     if ranges == 1:  # at most rows_per_range rows
@@ -108,7 +117,11 @@ def precision_at_recall(df: DataFrame, score: str, positive: Column, levels=(0.9
 
 def curve_metrics(df: DataFrame, score: str, positive: Column, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """ROC area, PR area, precision at 90% and 95% recall and best F1 from a single curve."""
-    cum = cumulative_counts(df, score, positive, rows_per_range)
+    return metrics_of(cumulative_counts(df, score, positive, rows_per_range))
+
+
+def metrics_of(cum: DataFrame) -> DataFrame:
+    """The same from cumulative counts."""
     precision = ratio(F.col("tp"), F.col("tp") + F.col("fp"))
     recall = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("positives")), F.lit(1.0))
     pts = cum.withColumn("precision", precision).withColumn("recall", recall)

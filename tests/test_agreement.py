@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from labelquality.operators import agreement as ag
+from labelquality.operators import agreement as ag, calibration, curves
 
 # Confusion matrices with their published accuracy, precision, recall, F1 and kappa, and the counts of
 # low, medium and high confidence with their mean.
@@ -143,3 +143,58 @@ def test_fairness_in_total_and_crossed(spark):
     assert gaps["all"] == (1, 0.0) and gaps["source"] == (3, pytest.approx(2 / 3))
     plan = only._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+
+
+def counted_reads(spark, df):
+    """``df`` read through a counter of rows."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    return df.mapInArrow(run, df.schema), seen
+
+
+def test_bundles_read_their_rows_once(spark):
+    rows = [(k % 2, (k // 3) % 2, (k % 10) / 10, ["a", "b"][: 1 + k % 2] if k % 5 else None, k % 3 == 0, k / 40 if k % 7 else None) for k in range(40)]
+    df = spark.createDataFrame([(*r[:4], int(r[4]), r[5]) for r in rows], "t int, p int, q double, g array<string>, tl int, ts double")
+    read, seen = counted_reads(spark, df)
+    out = ag.comprehensive_metrics(read, "t", "p", "q", "g", "tl", "ts").collect()
+    assert seen.value == 40
+    got = {(r.section, r.group, r.metric): r.value for r in out}
+    cal, fair = ag_calibration(df), {r.group: r for r in ag.fairness_by_group(df, "t", "p", "g").collect()}
+    assert all(got["calibration", "all", m] == pytest.approx(cal[m]) for m in ("ece", "mce", "brier_score", "reliability", "resolution"))
+    assert all(got["fairness", g, "accuracy"] == pytest.approx(fair[g].accuracy) and got["fairness", g, "sample_size"] == fair[g].sample_size for g in fair) and len(fair) == 2
+    curve = curves.curve_metrics(df, "ts", curves.F.col("tl") == 1).first().asDict()
+    assert all(got["trust_prediction", "all", m] == pytest.approx(v) for m, v in curve.items())
+    assert got["agreement", "all", "cohen_kappa"] == pytest.approx(ag.cohen_kappa(df, "t", "p").first().cohen_kappa)
+
+    notes = df.selectExpr("t AS gold_label", "IF(q = 0.3, -1, p) AS llm_label", "q AS llm_confidence_numeric", "q < 0.9 AS is_valid")
+    read, seen = counted_reads(spark, notes)
+    got = {(r.section, r.group, r.metric): r.value for r in ag.agreement_report(read, "x").collect()}
+    assert seen.value == 40
+    want = ag.agreement_metrics(notes).first().asDict()
+    assert all(got["agreement", "all", m] == pytest.approx(v) for m, v in want.items())
+    matrix = ag.confusion_matrix(notes.filter("is_valid AND llm_label >= 0"), "gold_label", "llm_label").collect()
+    assert all(got["confusion", str(r.gold), str(r.pred)] == r.n for r in matrix) and sum(r.n for r in matrix) == 32
+
+    preds = df.selectExpr("t AS gold_label", "array(1 - q, q) AS probabilities", "CAST(q > 0.5 AS INT) AS predicted_label", "q AS entropy", "greatest(q, 1 - q) AS max_prob")
+    read, seen = counted_reads(spark, preds)
+    got = {(r.section, r.group, r.metric): r.value for r in ag.supervised_report(read).collect()}
+    assert seen.value == 40 and got["overall", "all", "num_samples"] == 40 and got["overall", "all", "num_classes"] == 2
+    assert got["overall", "all", "ece"] == pytest.approx(calibration.ece(preds, "probabilities", "gold_label").first().ece)
+    assert got["overall", "all", "brier_score"] == pytest.approx(calibration.brier(preds, "probabilities", "gold_label").first().brier_score)
+    assert got["overall", "all", "average_entropy"] == pytest.approx(0.45)
+
+
+def ag_calibration(df):
+    return calibration.calibration_metrics(df, "q", "t").first()
+
+
+def test_nan_scores_are_refused(spark):
+    df = spark.createDataFrame([(0.5, 1), (float("nan"), 0)], "s double, y int")
+    with pytest.raises(Exception, match="NaN"):
+        curves.pr_curve(df, "s", curves.F.col("y") == 1).collect()
+    assert curves.pr_curve(df.filter("y = 1").union(spark.createDataFrame([(None, 0)], df.schema)), "s", curves.F.col("y") == 1).count() == 1
