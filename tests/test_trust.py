@@ -155,3 +155,15 @@ def test_difficulty(spark):
     assert got[3].difficulty_score == pytest.approx(0.57) and got[4].difficulty_score == pytest.approx(0.4)
     assert [got[i].is_hard_case_overall for i in (1, 2, 3, 4)] == [False, True, True, False]
     assert got[2].is_hard_case_agreement and got[2].is_hard_case_entropy and got[2].is_hard_case_disagreement
+
+
+def test_root_split_of_a_single_tree(spark):
+    """The first decision separates the classes as well as one threshold can; a tree without a decision has none."""
+    rows = [(k, int(k >= 6), float(k), float(k % 2)) for k in range(10)]
+    df = spark.createDataFrame(rows, "row_id long, trust_label int, a double, b double")
+    one = {"numTrees": 1, "featureSubsetStrategy": "all", "bootstrap": False, "maxDepth": 1}
+    feature, threshold, gain = tr.root_splits(tr.fit_trust(df, "random_forest", ["b", "a"], **one))[0]
+    assert (feature, threshold) == ("a", 5.5) and gain == pytest.approx(2 * 0.4 * 0.6)
+    assert tr.root_splits(tr.fit_trust(df.withColumn("trust_label", (df.row_id < 0).cast("int")), "random_forest", ["a"], **one)) == [None]
+    with pytest.raises(ValueError):
+        tr.fit_trust(df, "unknown")
