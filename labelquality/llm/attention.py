@@ -183,47 +183,77 @@ def begin(counts: np.ndarray, end: int, token_class: np.ndarray, given: np.ndarr
     return Frame(INPUTS, end, inputs(counts), token_class, share), w
 
 
+def _places(rows: int, width: int) -> np.ndarray:
+    """Where each number of a table stands in it."""
+    return np.arange(rows * width).reshape(rows, width)
+
+
+def _summed(rows: np.ndarray, at: np.ndarray, places: np.ndarray, out: np.ndarray) -> None:
+    """Add each of ``rows`` to the row of ``out`` that ``at`` names, number by number, which numpy does fast."""
+    np.add.at(out.reshape(-1), places.take(at, axis=0).ravel(), rows.ravel())
+
+
 class Adam:
     """Steps on a model's weights, in place."""
 
     def __init__(self, frame: Frame, w: dict[str, np.ndarray]):
         self.frame, self.w, self.taken = frame, w, 0
         self.first, self.second = {n: np.zeros_like(x) for n, x in w.items()}, {n: np.zeros_like(x) for n, x in w.items()}
+        self.places = [_places(len(w["embed"]), n) for n in (CLASSES, DIM, 2 * DIM)]
 
     def step(self, k: np.ndarray, t: np.ndarray, ok: np.ndarray, speed: float) -> None:
         """One step on windows ``k`` with classes ``t`` to predict where ``ok``."""
-        w, start, scale = self.w, self.frame.start, np.float32(DIM**-0.5)
+        w, scale = self.w, np.float32(DIM**-0.5)
         self.taken += 1
-        now = k[:, STRIDE:]
-        x = w["embed"][k]
-        q, key, v = x[:, STRIDE:] @ w["q"], x @ w["k"], x @ w["v"]
-        score = q @ key.transpose(0, 2, 1) * scale + w["bias"][np.maximum(DISTANCE, 0)]
-        score = np.where(ALLOWED & (k != start + 1)[:, None, :], score, np.float32(-1e9))
-        a = np.exp(score - score.max(axis=2, keepdims=True))
-        a /= a.sum(axis=2, keepdims=True)
-        context = a @ v
-        z = w["logits"][now] + context @ w["out"]
-        p = np.exp(z - z.max(axis=2, keepdims=True))
-        p /= p.sum(axis=2, keepdims=True)
-        np.put_along_axis(p, t[..., None], np.take_along_axis(p, t[..., None], 2) - 1, 2)
-        dz = p * (ok[..., None] / max(ok.sum(), 1)).astype(np.float32)
+        tables = w["embed"] @ w["q"] * scale, w["embed"] @ w["k"], w["embed"] @ w["v"]
         g = {n: np.zeros_like(y) for n, y in w.items()}
-        np.add.at(g["logits"], now, dz)
-        g["out"] = np.einsum("bid,bic->dc", context, dz, optimize=True)
-        dcontext = dz @ w["out"].T
-        da = dcontext @ v.transpose(0, 2, 1)
-        ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-        np.add.at(g["bias"], np.maximum(DISTANCE, 0), np.where(ALLOWED, ds.sum(axis=0), 0))
-        dq, dk, dv = ds @ key * scale, ds.transpose(0, 2, 1) @ q * scale, a.transpose(0, 2, 1) @ dcontext
-        for n, d, y in (("q", dq, x[:, STRIDE:]), ("k", dk, x), ("v", dv, x)):
-            g[n] = y.reshape(-1, DIM).T @ d.reshape(-1, DIM)
-        dx = dk @ w["k"].T + dv @ w["v"].T
-        dx[:, STRIDE:] += dq @ w["q"].T
-        np.add.at(g["embed"], k, dx)
-        for n in w:
-            self.first[n] += 0.1 * (g[n] - self.first[n])
-            self.second[n] += 0.01 * (g[n] ** 2 - self.second[n])
-            w[n] -= (speed * (self.first[n] / (1 - 0.9**self.taken)) / (np.sqrt(self.second[n] / (1 - 0.99**self.taken)) + 1e-8)).astype(np.float32)
+        to = np.zeros_like(tables[0]), np.zeros((len(tables[0]), 2 * DIM), np.float32)
+        self._gradients(k, t, ok, tables, g, to)
+        for n, d in zip("qkv", (to[0] * scale, to[1][:, :DIM], to[1][:, DIM:])):
+            g[n] = w["embed"].T @ d
+            g["embed"] += d @ w[n].T
+        for n, d in g.items():
+            first, second = self.first[n], self.second[n]
+            first += np.float32(0.1) * (d - first)
+            d *= d
+            second += np.float32(0.01) * (d - second)
+            np.sqrt(second, out=d)
+            d *= np.float32((1 - 0.99**self.taken) ** -0.5)
+            d += np.float32(1e-8)
+            np.divide(first, d, out=d)
+            d *= np.float32(speed / (1 - 0.9**self.taken))
+            w[n] -= d
+
+    def _gradients(self, k: np.ndarray, t: np.ndarray, ok: np.ndarray, tables: tuple, g: dict[str, np.ndarray], to: tuple) -> None:
+        """Add the gradients of the weights to ``g``, and those of the tables of queries and of keys and values to ``to``."""
+        w, now, goal = self.w, k[:, STRIDE:].ravel(), t.ravel()
+        query, key, value = tables[0].take(k[:, STRIDE:], axis=0), tables[1].take(k, axis=0), tables[2].take(k, axis=0)
+        score = query @ key.transpose(0, 2, 1)
+        score += np.where(ALLOWED, w["bias"][np.maximum(DISTANCE, 0)], np.float32(-1e9))
+        score -= np.where(k == self.frame.start + 1, np.float32(1e9), np.float32(0))[:, None, :]
+        score -= score.max(axis=2, keepdims=True)
+        a = np.exp(score, out=score)
+        a /= a.sum(axis=2, keepdims=True)
+        context = a @ value
+        flat = context.reshape(-1, DIM)
+        p = flat @ w["out"]
+        p += w["logits"].take(now, axis=0)
+        p -= p.max(axis=1, keepdims=True)
+        np.exp(p, out=p)
+        weight = ok.ravel() * np.float32(1 / max(ok.sum(), 1))
+        p *= (weight / p.sum(axis=1))[:, None]
+        p[np.arange(len(goal)), goal] -= weight
+        _summed(p, now, self.places[0], g["logits"])
+        g["out"] += flat.T @ p
+        dcontext = (p @ w["out"].T).reshape(context.shape)
+        da = dcontext @ value.transpose(0, 2, 1)
+        da -= np.vecdot(dcontext, context)[:, :, None]
+        da *= a
+        far = da.sum(axis=0)
+        np.add.at(g["bias"], DISTANCE[ALLOWED], far[ALLOWED])
+        _summed((da @ key).reshape(-1, DIM), now, self.places[1], to[0])
+        both = np.concatenate((da.transpose(0, 2, 1) @ query, a.transpose(0, 2, 1) @ dcontext), axis=2)
+        _summed(both, k.ravel(), self.places[2], to[1])
 
 
 def train(

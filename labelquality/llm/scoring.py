@@ -1,8 +1,8 @@
 """Scoring texts with a causal self-attention model over subword ids, interpolated with word counts of the corpus.
 
 What is gathered: word counts of all training documents, the subword counts that follow from them, and how often each
-subword follows each input of the model in all training documents. The attention head is fitted on a share of them that grows with
-the corpus: tasks take steps on their part, and their weights are averaged, several rounds in turn. Texts are encoded once; every later
+subword follows each input of the model in all training documents. The attention head is fitted on all of them too: tasks take steps on
+their part, and their weights are averaged, several rounds in turn. Texts are encoded once; every later
 step reads the stored ids, and the words back from them. The probability of a word is the mean of the model's (the product over its subwords) and its share of all training tokens. A text's score is the sum over its
 words and its end. Counts of the TOP most frequent words go to every task; rarer words meet their counts in a join.
 """
@@ -27,9 +27,10 @@ from .texts import raw, slices, table
 from .tokens import Pieces
 
 TOP = 300_000  # bound on words whose counts go to every task
-SAMPLE, SHARE = 1000, 100  # the attention head is fitted on one in SHARE training documents, or about SAMPLE, whichever is more
+SAMPLE, SHARE = 1000, 1  # the attention head is fitted on one in SHARE training documents, which is all, or about SAMPLE, whichever is more
 ROUNDS = 3  # of averaging
-LEARNERS = 256  # at most, each on a part of the sample
+PER_ROUND = 1000  # documents at least; where there are fewer for each, several rounds go over the same ones
+LEARNERS = 256  # at most, each on a part of a round's documents
 PER_LEARNER = 500  # documents at least, where there are so many
 BATCH, RATE = 192, 0.004  # windows of a step, and its size
 CHUNKS = 16  # of the weights, averaged apart
@@ -265,20 +266,24 @@ def _average(group: pa.Table) -> pa.Table:
 def fit_head(known: DataFrame, frame: attention.Frame, w: dict[str, np.ndarray], documents: int, sample: int = SAMPLE, share: int = SHARE, rounds: int = ROUNDS) -> attention.Model:
     """Train the head on one in ``share`` of the ``documents`` of ``known`` (see ``encoded``), or on about ``sample``, chosen by a hash of doc_id and ids.
 
-    The ids of the chosen documents are stored and dealt to up to LEARNERS tasks. In each round a task goes once over its documents;
+    By default that is every document. They are dealt to the rounds by another hash, so that each is learned from in one round; where there are
+    fewer than PER_ROUND for each, they are dealt to fewer, which take turns. A round's documents are dealt to up to LEARNERS tasks, and a task goes once over its own;
     the weights of all tasks are averaged by their windows, in CHUNKS groups of at most LEARNERS parts, and the mean (1.5 MB) is what
     the next round starts from. No documents come to the driver, and a task holds one slice of them.
     """
     one_in = max(1, min(share, documents // max(sample, 1)))
-    chosen = known.filter(F.pmod(F.xxhash64("doc_id", "ids", F.lit(2)), F.lit(one_in)) == 0)
-    learners = max(1, min(LEARNERS, documents // one_in // PER_LEARNER))
-    ids = stored(chosen.select("ids").repartition(learners), "sample")
+    chosen = known.filter(F.pmod(F.xxhash64("doc_id", "ids", F.lit(2)), F.lit(one_in)) == 0) if one_in > 1 else known
+    deals = max(1, min(rounds, documents // one_in // PER_ROUND))
+    learners = max(1, min(LEARNERS, documents // one_in // deals // PER_LEARNER))
+    ids = chosen.select("ids", F.pmod(F.xxhash64("doc_id", "ids", F.lit(3)), F.lit(deals)).alias("deal"))
+    if deals == 1:
+        ids = stored(ids.repartition(learners), "sample")
     for turn in range(rounds):
-        found = ids.repartition(learners).mapInArrow(_steps(frame, w, turn, rounds), "chunk int, weights binary, windows long")
+        mine = ids.filter(F.col("deal") == turn % deals).select("ids")
+        found = mine.repartition(learners).mapInArrow(_steps(frame, w, turn, rounds), "chunk int, weights binary, windows long")
         means = found.groupBy("chunk").applyInArrow(_average, "chunk int, mean binary").toArrow().sort_by("chunk")
-        if not len(means):
-            break
-        w = _shaped(np.concatenate([np.frombuffer(x, np.float64) for x in means["mean"].to_pylist()]), w)
+        if len(means):  # a round may have been dealt nothing
+            w = _shaped(np.concatenate([np.frombuffer(x, np.float64) for x in means["mean"].to_pylist()]), w)
     return frame.model(w)
 
 

@@ -183,3 +183,33 @@ def test_more_documents_and_learners_train_the_head(spark, make_docs, monkeypatc
     score(rounds=0, sample=40, share=100)
     score(rounds=0, sample=1, share=4)
     assert seen[1] == n and abs(seen[2] - 40) < 25 and abs(seen[3] - n / 4) < 40
+
+
+def test_the_head_learns_from_every_training_document(spark, make_docs, monkeypatch, tmp_path):
+    """Each training row is in one round; of few rows, each is in all rounds."""
+    monkeypatch.setattr(scoring, "PER_ROUND", 40, raising=False)
+    monkeypatch.setattr(scoring, "PER_LEARNER", 10)
+    words, end, size = scoring._encoder(vocabulary())
+
+    def noting(folder):
+        def steps(frame, w, turn, rounds):
+            def run(batches):
+                for batch in batches:
+                    for k, x in enumerate(batch.column("ids").to_pylist()):
+                        with open(f"{folder}/{turn}-{scoring.TaskContext.get().taskAttemptId()}-{k}-{hash(x)}", "wb") as f:
+                            f.write(x)
+                yield from ()
+
+            return run
+
+        return steps
+
+    for n, times in ((200, 1), (60, 3)):
+        folder = tmp_path / str(n)
+        folder.mkdir()
+        monkeypatch.setattr(scoring, "_steps", noting(str(folder)))
+        rows = [(k, f"text number {k}") for k in range(n)] + [(7, "text number 7"), (None, "never learned")]
+        scoring.score(make_docs(rows), vocabulary(), sample=20).count()
+        known = [t for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 10]
+        want = Counter(np.append(np.frombuffer(b"".join(words[w] for w in t.encode().split()), "<u4"), end).astype("<u2").tobytes() for t in known)
+        assert Counter(f.read_bytes() for f in folder.iterdir()) == Counter({t: k * times for t, k in want.items()})
