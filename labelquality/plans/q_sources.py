@@ -33,12 +33,18 @@ _CLAIM_CODE = "CASE label WHEN 'REFUTES' THEN 0 WHEN 'NOT ENOUGH INFO' THEN 1 WH
 _HASH = "substr(sha256(text), 1, 16) AS text_hash"
 
 
-def _write_csv_splits(spark, d, root, files=None):
+FILE_BYTES = 1 << 28  # of text in a file: more than the block that one task reads, and no more than one task should write
+OBJECT_ROWS = 50_000  # predictions in one object of lists, which is a file
+
+
+def _write_csv_splits(spark, d, root, file_bytes=None):
+    """Files as the tasks write them, or as many as it takes for about ``file_bytes`` of text in each."""
     rows = inputs.labelled_text(spark, d).select("id", "text", F.col("gold").alias("label"))
     parts = stored(sp.stratified_split(rows), "split")
+    sizes = dict(parts.groupBy("split").agg(F.sum(F.octet_length("text"))).collect()) if file_bytes else {}  # three rows
     for split in readers.SPLITS:
         part = parts.filter(F.col("split") == split).drop("split")
-        sinks.write_csv(part.coalesce(files) if files else part, f"{root}/{split}.csv")
+        sinks.write_csv(part.repartition(1 + (sizes.get(split) or 0) // file_bytes) if file_bytes else part, f"{root}/{split}.csv")
 
 
 @query("read_csv_splits", _split_sql(_TEXT_ROWS, f"id, {_HASH}, label, split"))
@@ -51,9 +57,9 @@ def read_csv_splits(spark, d):
 
 @query("read_csv_splits_parallel", _split_sql(_TEXT_ROWS, f"id, {_HASH}, label, split"))
 def read_csv_splits_parallel(spark, d):
-    """One file per split with line breaks in its texts, which many tasks may read."""
+    """Files of many blocks with line breaks in their texts, each of which many tasks may read; one per split unless it is large."""
     root = shared_dir(spark, "csv")
-    _write_csv_splits(spark, d, root, files=1)
+    _write_csv_splits(spark, d, root, FILE_BYTES)
     back = readers.read_csv_splits(spark, root, {"id": "bigint"}, multi_line="split")
     return back.select("id", tx.text_hash(F.col("text")).alias("text_hash"), "label", "split")
 

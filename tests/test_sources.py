@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from labelquality.functions import fixed
 from labelquality.operators import annotations as an
+from labelquality.plans import q_sources
 from labelquality.sources import readers, segments, sinks
 from labelquality.sources.shared import shared_dir
 from labelquality.streaming import incremental as inc
@@ -289,3 +290,19 @@ def test_broken_lines_are_kept_apart(spark, tmp_path, small_blocks):
     got = sorted((r.line, r.value) for r in errors.filter("split = 'dev'").collect())
     assert [g for g in got if g[0] != len(lines)] == [(k, lines[k - 1]) for k in (4, 13, 14)]
     assert readers.read_jsonl_claims_kept(spark, f"{tmp_path}/none") is None
+
+
+def _written(spark, monkeypatch, tmp_path):
+    """Where queries of q_sources put their files, by name."""
+    monkeypatch.setattr(q_sources, "shared_dir", lambda spark, name: str(tmp_path / name))
+    return lambda pattern: sorted(str(f) for f in tmp_path.glob(pattern) if f.stat().st_size)
+
+
+def test_large_splits_are_several_files(spark, small, monkeypatch, tmp_path):
+    """No task writes a file of more than about FILE_BYTES, and the rows are those of one file."""
+    files = _written(spark, monkeypatch, tmp_path)
+    want = sorted(map(tuple, q_sources.read_csv_splits_parallel(spark, small).collect()))
+    assert len(files("csv/train.csv/*.csv")) == 1
+    monkeypatch.setattr(q_sources, "FILE_BYTES", 20_000, raising=False)
+    got = sorted(map(tuple, q_sources.read_csv_splits_parallel(spark, small).collect()))
+    assert len(files("csv/train.csv/*.csv")) > 1 and got == want
