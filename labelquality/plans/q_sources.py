@@ -288,17 +288,19 @@ def load_predictions_columns(spark, d):
 
 @query("load_predictions_lists", _PRED_SQL)
 def load_predictions_lists(spark, d):
-    """One file that is one object of parallel lists; no task writes or reads a list as a whole."""
+    """Files that are one object of parallel lists each, of about OBJECT_ROWS predictions; no task reads a list as a whole."""
     path = shared_dir(spark, "predictions-lists")
     preds = stored(inputs.class_predictions(spark, d), "predictions")
+    objects = -(-preds.count() // OBJECT_ROWS) or 1
+    preds = preds.withColumn("object", F.pmod(F.xxhash64("example_id"), F.lit(objects)))
     element = lambda f: F.regexp_replace(F.to_json(F.array(f)), r"^\[|\]$", "")
-    cells = preds.select("example_id", F.posexplode(F.array(*[element(f) for f in _PRED_FIELDS])).alias("field", "value"))
-    cells = cells.withColumn("first", preds.agg(F.min("example_id")).scalar()).withColumn("last", preds.agg(F.max("example_id")).scalar())
+    cells = preds.select("object", "example_id", F.posexplode(F.array(*[element(f) for f in _PRED_FIELDS])).alias("field", "value"))
+    cells = cells.join(preds.groupBy("object").agg(F.min("example_id").alias("first"), F.max("example_id").alias("last")), "object")
     names = F.array(*[F.lit(f'"{f}": [') for f in _PRED_FIELDS])
     opened = F.when(F.col("example_id") == F.col("first"), F.concat(F.when(F.col("field") == 0, "{").otherwise(""), F.get(names, F.col("field")))).otherwise("")
     closed = F.when(F.col("example_id") < F.col("last"), ",").when(F.col("field") < len(_PRED_FIELDS) - 1, "],").otherwise("]}")
-    lines = cells.orderBy("field", "example_id").select(F.concat(opened, "value", closed).alias("value"))
-    lines.coalesce(1).write.text(path)
+    lines = cells.repartitionByRange(objects, "object").sortWithinPartitions("object", "field", "example_id")
+    lines.select("object", F.concat(opened, "value", closed).alias("value")).write.partitionBy("object").text(path)
     return _shown(readers.load_predictions(spark, path, "lists", _PRED_FIELDS))
 
 

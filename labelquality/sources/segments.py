@@ -88,7 +88,7 @@ def list_elements(spark: SparkSession, path: str) -> DataFrame:
     heads = elements.groupBy("file", "number").agg(F.min("element").alias("first"), F.max("element").alias("last"), F.min_by("value", "element").alias("head"))
     heads = heads.withColumn("lead", F.regexp_extract("head", r'^\s*\{?\s*("(?:[^"\\]|\\.)*"\s*:\s*\[)', 0))
     heads = heads.withColumn("field", F.from_json(F.regexp_replace(F.regexp_replace("lead", r"^\s*\{?\s*", "["), r"\s*:\s*\[$", "]"), "array<string>")[0])
-    joined = elements.join(heads.drop("head"), ["file", "number"])
+    joined = elements.join(F.broadcast(heads.drop("head")), ["file", "number"])  # a row per list; dealt by list, a task would get a whole one
     value = F.when(F.col("element") == F.col("first"), F.substr("value", F.length("lead") + 1)).otherwise(F.col("value"))
     joined = joined.withColumn("value", value)
     end = F.when(F.col("element") == F.col("last"), F.regexp_replace("value", r"\]\s*(\}\s*)?$", "")).otherwise(F.col("value"))

@@ -306,3 +306,15 @@ def test_large_splits_are_several_files(spark, small, monkeypatch, tmp_path):
     monkeypatch.setattr(q_sources, "FILE_BYTES", 20_000, raising=False)
     got = sorted(map(tuple, q_sources.read_csv_splits_parallel(spark, small).collect()))
     assert len(files("csv/train.csv/*.csv")) > 1 and got == want
+
+
+def test_many_predictions_are_several_objects(spark, small, monkeypatch, tmp_path):
+    """No task writes an object of more than about OBJECT_ROWS predictions, and no shuffle deals elements by list."""
+    files, plans = _written(spark, monkeypatch, tmp_path), []
+    want = sorted(map(tuple, q_sources.load_predictions_columns(spark, small).collect()))
+    monkeypatch.setattr(q_sources, "OBJECT_ROWS", len(want) // 4, raising=False)
+    found = q_sources.load_predictions_lists(spark, small)
+    assert sorted(map(tuple, found.collect())) == want and len(files("predictions-lists/*/*.txt")) > 2
+    elements = segments.list_elements(spark, str(tmp_path / "predictions-lists"))
+    plans.append(elements._jdf.queryExecution().sparkPlan().toString())
+    assert "SortMergeJoin" not in plans[0] and "BroadcastHashJoin" in plans[0]
