@@ -23,6 +23,9 @@ INPUTS = 2048  # frequent tokens that are told apart as context; the others are
 BEFORE = 512  # inputs told apart when tokens are put into classes
 BATCH = 128  # windows scored together
 LIMIT = np.float32(60)  # of logits; far above what training gives, and safe in single precision
+PART = 256  # tokens whose classes are predicted together in training, so that arrays stay in the cache
+CHUNK = 1 << 15  # weights that are moved together, for the same reason
+ONES = np.ones(4096, np.float32)
 
 DISTANCE = STRIDE + np.arange(STRIDE)[:, None] - np.arange(WIDTH)[None, :]  # of query i to key j; negative is the future
 ALLOWED = DISTANCE >= 0
@@ -184,76 +187,116 @@ def begin(counts: np.ndarray, end: int, token_class: np.ndarray, given: np.ndarr
 
 
 def _places(rows: int, width: int) -> np.ndarray:
-    """Where each number of a table stands in it."""
-    return np.arange(rows * width).reshape(rows, width)
+    """Where each pair of numbers of a table stands in it."""
+    return np.arange(rows * width // 2).reshape(rows, width // 2)
 
 
 def _summed(rows: np.ndarray, at: np.ndarray, places: np.ndarray, out: np.ndarray) -> None:
-    """Add each of ``rows`` to the row of ``out`` that ``at`` names, number by number, which numpy does fast."""
-    np.add.at(out.reshape(-1), places.take(at, axis=0).ravel(), rows.ravel())
+    """Add each of ``rows`` to the row of ``out`` that ``at`` names, number by number, which numpy does fast, and faster for two as a complex one."""
+    np.add.at(out.reshape(-1).view(np.complex64), places.take(at, axis=0).ravel(), rows.reshape(-1).view(np.complex64))
+
+
+def _even(total: np.ndarray) -> bool:
+    """Whether sums of exponentials are far from both ends of single precision, so that nothing was lost in them."""
+    return bool(total.min() > 1e-25 and total.max() < 1e25)
 
 
 class Adam:
-    """Steps on a model's weights, in place."""
+    """Steps on a model's weights, in place. What a step needs is kept between steps and worked on in parts that fit the cache."""
 
     def __init__(self, frame: Frame, w: dict[str, np.ndarray]):
         self.frame, self.w, self.taken = frame, w, 0
         self.first, self.second = {n: np.zeros_like(x) for n, x in w.items()}, {n: np.zeros_like(x) for n, x in w.items()}
-        self.places = [_places(len(w["embed"]), n) for n in (CLASSES, DIM, 2 * DIM)]
+        inputs_ = len(w["embed"])
+        self.places = [_places(inputs_, n) for n in (CLASSES, DIM, 2 * DIM)]
+        self.g = {n: np.zeros(w[n].shape, np.float32) for n in ("logits", "out", "bias")}
+        self.to = [np.zeros((inputs_, n), np.float32) for n in (DIM, 2 * DIM)]
+        self.room = [np.empty((PART, CLASSES), np.float32) for _ in range(2)]
+        self.spare = np.empty(CHUNK, np.float32)
 
     def step(self, k: np.ndarray, t: np.ndarray, ok: np.ndarray, speed: float) -> None:
         """One step on windows ``k`` with classes ``t`` to predict where ``ok``."""
-        w, scale = self.w, np.float32(DIM**-0.5)
+        w = self.w
         self.taken += 1
-        tables = w["embed"] @ w["q"] * scale, w["embed"] @ w["k"], w["embed"] @ w["v"]
-        g = {n: np.zeros_like(y) for n, y in w.items()}
-        to = np.zeros_like(tables[0]), np.zeros((len(tables[0]), 2 * DIM), np.float32)
-        self._gradients(k, t, ok, tables, g, to)
-        for n, d in zip("qkv", (to[0] * scale, to[1][:, :DIM], to[1][:, DIM:])):
-            g[n] = w["embed"].T @ d
-            g["embed"] += d @ w[n].T
+        for x in (*self.g.values(), *self.to):
+            x.fill(0)
+        q, both = w["q"] * np.float32(DIM**-0.5), np.concatenate((w["k"], w["v"]), axis=1)
+        with np.errstate(over="ignore"):
+            self._gradients(k, t, ok, w["embed"] @ q, w["embed"] @ both)
+        of_both = w["embed"].T @ self.to[1]
+        g = self.g | {"embed": self.to[0] @ q.T + self.to[1] @ both.T, "q": w["embed"].T @ self.to[0] * np.float32(DIM**-0.5), "k": of_both[:, :DIM], "v": of_both[:, DIM:]}
         for n, d in g.items():
-            first, second = self.first[n], self.second[n]
-            first += np.float32(0.1) * (d - first)
-            d *= d
-            second += np.float32(0.01) * (d - second)
-            np.sqrt(second, out=d)
-            d *= np.float32((1 - 0.99**self.taken) ** -0.5)
-            d += np.float32(1e-8)
-            np.divide(first, d, out=d)
-            d *= np.float32(speed / (1 - 0.9**self.taken))
-            w[n] -= d
-
-    def _gradients(self, k: np.ndarray, t: np.ndarray, ok: np.ndarray, tables: tuple, g: dict[str, np.ndarray], to: tuple) -> None:
-        """Add the gradients of the weights to ``g``, and those of the tables of queries and of keys and values to ``to``."""
-        w, now, goal = self.w, k[:, STRIDE:].ravel(), t.ravel()
-        query, key, value = tables[0].take(k[:, STRIDE:], axis=0), tables[1].take(k, axis=0), tables[2].take(k, axis=0)
+            self._move(w[n], d, self.first[n], self.second[n], speed)
+
+    def _move(self, w: np.ndarray, d: np.ndarray, first: np.ndarray, second: np.ndarray, speed: float) -> None:
+        """``first`` and ``second`` are 10 and 100 times the means of gradients and of their squares."""
+        even = (1 - 0.99**self.taken) ** -0.5 * 0.1
+        least, speed = np.float32(1e-8 / even), np.float32(0.1 * speed / (1 - 0.9**self.taken) / even)
+        size = max(1, CHUNK * len(w) // w.size)
+        for s in range(0, len(w), size):
+            x, one, two = (y[s : s + size] for y in (d, first, second))
+            spare = self.spare[: x.size].reshape(x.shape)
+            one *= np.float32(0.9)
+            one += x
+            np.multiply(x, x, out=spare)
+            two *= np.float32(0.99)
+            two += spare
+            np.sqrt(two, out=spare)
+            spare += least
+            np.divide(one, spare, out=spare)
+            spare *= speed
+            w[s : s + size] -= spare
+
+    def _gradients(self, k: np.ndarray, t: np.ndarray, ok: np.ndarray, queries: np.ndarray, both: np.ndarray) -> None:
+        """Add the gradients of logits, out and bias to ``g``, and those of the tables of queries and of keys and values to ``to``."""
+        now = k[:, STRIDE:]
+        query, beside = queries.take(now, axis=0), both.take(k, axis=0)
+        key, value = beside[:, :, :DIM], beside[:, :, DIM:]
         score = query @ key.transpose(0, 2, 1)
-        score += np.where(ALLOWED, w["bias"][np.maximum(DISTANCE, 0)], np.float32(-1e9))
-        score -= np.where(k == self.frame.start + 1, np.float32(1e9), np.float32(0))[:, None, :]
-        score -= score.max(axis=2, keepdims=True)
-        a = np.exp(score, out=score)
-        a /= a.sum(axis=2, keepdims=True)
+        score += np.where(ALLOWED, self.w["bias"][np.maximum(DISTANCE, 0)], np.float32(-1e9))
+        none = k == self.frame.start + 1
+        some = np.flatnonzero(none.any(axis=1))
+        score[some] -= np.where(none[some], np.float32(1e9), np.float32(0))[:, None, :]
+        a = np.exp(score)
+        total = a.reshape(-1, WIDTH) @ ONES[:WIDTH]
+        if not _even(total):
+            score -= score.max(axis=2, keepdims=True)
+            np.exp(score, out=a)
+            total = a.reshape(-1, WIDTH) @ ONES[:WIDTH]
+        a *= (1 / total).reshape(a.shape[:2])[:, :, None]
         context = a @ value
-        flat = context.reshape(-1, DIM)
-        p = flat @ w["out"]
-        p += w["logits"].take(now, axis=0)
-        p -= p.max(axis=1, keepdims=True)
-        np.exp(p, out=p)
-        weight = ok.ravel() * np.float32(1 / max(ok.sum(), 1))
-        p *= (weight / p.sum(axis=1))[:, None]
-        p[np.arange(len(goal)), goal] -= weight
-        _summed(p, now, self.places[0], g["logits"])
-        g["out"] += flat.T @ p
-        dcontext = (p @ w["out"].T).reshape(context.shape)
+        dcontext = self._classes(context.reshape(-1, DIM), now.ravel(), t.ravel(), ok.ravel() * np.float32(1 / max(ok.sum(), 1))).reshape(context.shape)
         da = dcontext @ value.transpose(0, 2, 1)
         da -= np.vecdot(dcontext, context)[:, :, None]
         da *= a
         far = da.sum(axis=0)
-        np.add.at(g["bias"], DISTANCE[ALLOWED], far[ALLOWED])
-        _summed((da @ key).reshape(-1, DIM), now, self.places[1], to[0])
-        both = np.concatenate((da.transpose(0, 2, 1) @ query, a.transpose(0, 2, 1) @ dcontext), axis=2)
-        _summed(both, k.ravel(), self.places[2], to[1])
+        np.add.at(self.g["bias"], DISTANCE[ALLOWED], far[ALLOWED])
+        _summed((da @ key).reshape(-1, DIM), now.ravel(), self.places[1], self.to[0])
+        back = np.empty_like(beside)
+        np.matmul(da.transpose(0, 2, 1), query, out=back[:, :, :DIM])
+        np.matmul(a.transpose(0, 2, 1), dcontext, out=back[:, :, DIM:])
+        _summed(back.reshape(-1, 2 * DIM), k.ravel(), self.places[2], self.to[1])
+
+    def _classes(self, flat: np.ndarray, now: np.ndarray, goal: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Gradient of the context of tokens; those of the logits and of the way out are added to ``g``."""
+        out, back = self.w["out"], np.empty_like(flat)
+        for s in range(0, len(now), PART):
+            x, here, y = flat[s : s + PART], now[s : s + PART], weight[s : s + PART]
+            logits, p = (r[: len(x)] for r in self.room)
+            np.matmul(x, out, out=logits)
+            logits += np.take(self.w["logits"], here, axis=0, out=p, mode="clip")
+            np.exp(logits, out=p)
+            total = p @ ONES[:CLASSES]
+            if not _even(total):
+                logits -= logits.max(axis=1, keepdims=True)
+                np.exp(logits, out=p)
+                total = p @ ONES[:CLASSES]
+            p *= (y / total)[:, None]
+            p[np.arange(len(x)), goal[s : s + PART]] -= y
+            _summed(p, here, self.places[0], self.g["logits"])
+            self.g["out"] += x.T @ p
+            np.matmul(p, out.T, out=back[s : s + PART])
+        return back
 
 
 def train(

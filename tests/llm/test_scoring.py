@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -83,6 +84,63 @@ def test_probabilities_sum_to_one_and_are_causal():
     assert pa[: len(prefix)] == pytest.approx(pb[: len(prefix)])
 
 
+def untrained(seed=0):
+    """A frame, weights none of which is zero, and 192 windows: inputs, classes to predict, which of them exist."""
+    draw = np.random.default_rng(seed)
+    counts = draw.integers(1, 50, 3000).astype(float)
+    given = draw.integers(0, 9, (attention.INPUTS + 2, attention.CLASSES)).astype(float)
+    frame, w = attention.begin(counts, 0, draw.integers(0, attention.CLASSES, 3000), given)
+    w["out"] += draw.normal(0, 0.3, w["out"].shape).astype(np.float32)
+    lists = [np.append(draw.integers(1, 3000, n), 0) for n in draw.integers(1, 150, 80)]
+    return frame, w, tuple(x[:192] for x in frame.windows(lists))
+
+
+def slow_loss(frame, w, k, t, ok):
+    """Mean negative log probability of the classes to predict, in double precision."""
+    w = {n: x.astype(float) for n, x in w.items()}
+    s = attention.STRIDE
+    query, key, value = w["embed"] @ w["q"] / math.sqrt(attention.DIM), w["embed"] @ w["k"], w["embed"] @ w["v"]
+    total = 0.0
+    for row, goal, real in zip(k, t, ok):
+        for i in np.flatnonzero(real):
+            seen = [j for j in range(s + i + 1) if row[j] != frame.start + 1]
+            score = np.array([query[row[s + i]] @ key[row[j]] + w["bias"][s + i - j] for j in seen])
+            a = np.exp(score - score.max())
+            logits = (a / a.sum()) @ value[row[seen]] @ w["out"] + w["logits"][row[s + i]]
+            total -= logits[goal[i]] - logits.max() - math.log(np.exp(logits - logits.max()).sum())
+    return total / ok.sum()
+
+
+@pytest.mark.parametrize("far", [0, 200])
+def test_steps_follow_the_loss(far):
+    """The first moment after one step is the gradient (10 times the mean); also where exponentials leave single precision."""
+    frame, w, (k, t, ok) = untrained()
+    k, t, ok = k[:24], t[:24], ok[:24]
+    w["logits"][::2] += far
+    w["logits"][1::2] -= far
+    w["bias"] += np.float32(far)
+    before, adam = {n: x.copy() for n, x in w.items()}, attention.Adam(frame, w)
+    adam.step(k, t, ok, 0.004)
+    draw = np.random.default_rng(1)
+    for n, x in before.items():
+        way = draw.normal(0, 1, x.shape) * (adam.first[n] != 0)
+        loss = lambda e: slow_loss(frame, before | {n: x.astype(float) + e * way}, k, t, ok)  # noqa: B023, E731
+        slope = (loss(1e-5) - loss(-1e-5)) / 2e-5
+        assert (adam.first[n] * way).sum() == pytest.approx(slope, rel=2e-3, abs=1e-6)
+
+
+def test_a_step_takes_little_memory():
+    """What a step works on stays in the cache: no array of tokens by classes for the whole batch, and no new tables of all weights."""
+    frame, w, (k, t, ok) = untrained()
+    adam = attention.Adam(frame, w)
+    adam.step(k, t, ok, 0.004)
+    tracemalloc.start()
+    adam.step(k, t, ok, 0.004)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6e6
+
+
 def test_windows_score_each_token_once():
     at = np.array([0, 1, 18, 18, 90])
     inputs = np.arange(90) % 50
