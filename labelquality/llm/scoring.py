@@ -11,13 +11,13 @@ from __future__ import annotations
 
 import math
 from array import array
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -79,37 +79,46 @@ def _encoder(path: str) -> tuple[_Words, int, int]:
 
 
 @lru_cache(maxsize=1)
-def _tokens(path: str, size: int, end: int) -> tuple[list[bytes], np.ndarray]:
-    """Bytes of tokens, none for the end; and whether a token opens a word: the end, and what starts with a space, which no word holds."""
+def _tokens(path: str, size: int, end: int) -> tuple[pa.Array, np.ndarray]:
+    """Bytes of tokens without the space before a word, none for the end; and whether a token opens a word: the end, and what starts with a space, which no word holds."""
     found, opens = [b""] * size, np.zeros(size, bool)
     for number, token in bpe.token_bytes(path).items():
-        found[number], opens[number] = token, token.startswith(b" ")
+        found[number], opens[number] = token.removeprefix(b" "), token.startswith(b" ")
     found[end], opens[end] = b"", True
-    return found, opens
+    return pa.array(found, pa.binary()), opens
 
 
-def _words(ids: np.ndarray, token: list[bytes]) -> list[bytes]:
-    """The words of one encoded text, each of which was encoded with a space before it."""
-    return b"".join(map(token.__getitem__, ids.tolist())).split(b" ")[1:]
+def _words(ids: np.ndarray, begin: np.ndarray, token: pa.Array) -> pa.Array:
+    """The words of encoded texts in a row, and an empty one for each text's end; ``begin``: where they open, and the number of ids."""
+    _, offsets, data = token.take(pa.array(ids)).buffers()
+    at = np.frombuffer(offsets, np.int32, len(ids) + 1)[begin]
+    return pa.Array.from_buffers(pa.binary(), len(begin) - 1, [None, pa.py_buffer(at), data or pa.py_buffer(b"")])
 
 
 def _count(path: str, size: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _encoder.cache_clear()  # texts are encoded; workers give the words they remember back, and in the other steps too
-        seen: Counter = Counter()
-        token, _ = _tokens(path, size, end)
-
-        def flush() -> pa.RecordBatch:
-            out = table(["word", "n"], pa.array(list(seen), pa.binary()), np.fromiter(seen.values(), np.int64, len(seen)))
-            seen.clear()
-            return out
+        token, opens = _tokens(path, size, end)
+        held, waiting = [pa.table({"word": pa.array([], pa.binary()), "n": pa.array([], pa.int64())})], 0
+
+        def flush(least: int) -> Iterator[pa.RecordBatch]:
+            """Add up what is held, and pass it on if there are ``least`` different words."""
+            all_ = pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"])
+            held.clear()
+            if all_.num_rows >= least:
+                yield from all_.to_batches()
+                all_ = all_.slice(0, 0)
+            held.append(all_)
 
         for part in slices(batches, "ids", SLICE):
-            for packed in part.column("ids").to_pylist():
-                seen.update(_words(np.frombuffer(packed, _narrow(size)), token))
-            if len(seen) >= FLUSH:
-                yield flush()
-        yield flush()
+            ids = np.frombuffer(b"".join(part.column("ids").to_pylist()), _narrow(size))
+            words, n = pc.value_counts(_words(ids, np.append(np.flatnonzero(opens[ids]), len(ids)), token)).flatten()
+            held.append(pa.table({"word": words, "n": n}).filter(pc.greater(pc.binary_length(words), 0)))
+            waiting += len(words)
+            if waiting >= FLUSH:
+                yield from flush(FLUSH)
+                waiting = 0
+        yield from flush(1)
 
     return run
 
@@ -303,16 +312,13 @@ def _score(path: str, size: int, model: attention.Model, top: dict[bytes, int],
         row = TaskContext.get().partitionId() << 40
         for part in slices(batches, "ids", SLICE):
             packed = [np.frombuffer(x, _narrow(size)) for x in part.column("ids").to_pylist()]
-            texts = [_words(x, token) for x in packed]
-            flat: list[bytes | None] = []
-            for t in texts:
-                flat += t
-                flat.append(None)  # the end, which is last in the counts
-            where = np.fromiter(map(top.get, flat, repeat(-2)), np.int64, len(flat))
-            at = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))  # of tokens
-            where[at[1:] - 1] = -1
             ids = np.concatenate(packed).astype(np.int64)
             begin = np.append(np.flatnonzero(opens[ids]), len(ids))  # of subwords
+            at = np.searchsorted(begin, np.concatenate(([0], np.cumsum([len(x) for x in packed]))))  # of tokens
+            words = _words(ids, begin, token)
+            kinds = words.dictionary_encode()
+            where = np.fromiter(map(top.get, kinds.dictionary.to_pylist(), repeat(-2)), np.int64, len(kinds.dictionary))[kinds.indices.to_numpy()]
+            where[at[1:] - 1] = -1  # the end, which is last in the counts
             found = np.add.reduceat(model.log_probabilities(ids, begin[at]), begin[:-1])
             frequent = where >= -1
             place = np.maximum(where, -1)
@@ -320,18 +326,18 @@ def _score(path: str, size: int, model: attention.Model, top: dict[bytes, int],
             mixed = np.where(frequent, np.logaddexp(found + LOG_MODEL, shares[place]) / LOG_10, 0)
             base = np.where(frequent, logs[place], 0)
             sums = [np.add.reduceat(x, at[:-1]) for x in ((count > 0).astype(np.int64), base, mixed)]
-            number = row + np.arange(len(texts))
-            row += len(texts)
+            number = row + np.arange(len(packed))
+            row += len(packed)
             yield table(
                 ["row", "doc_id", "n_tokens", "n_known", "base", "score", "word", "model"],
-                number, part.column("doc_id"), np.diff(at), *sums, pa.nulls(len(texts), pa.binary()), pa.nulls(len(texts), pa.float32()),
+                number, part.column("doc_id"), np.diff(at), *sums, pa.nulls(len(packed), pa.binary()), pa.nulls(len(packed), pa.float32()),
             )
             rare = np.flatnonzero(~frequent)
             of = np.searchsorted(at, rare, "right") - 1
             nothing = [pa.nulls(len(rare), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
             yield table(
                 ["row", "doc_id", "n_tokens", "n_known", "base", "score", "word", "model"],
-                number[of], *nothing, pa.array([flat[k] for k in rare.tolist()], pa.binary()), found[rare].astype(np.float32),
+                number[of], *nothing, words.take(pa.array(rare)), found[rare].astype(np.float32),
             )
 
     return run

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as entry
@@ -141,6 +142,29 @@ def test_a_step_takes_little_memory():
     assert peak < 6e6
 
 
+def test_words_are_read_back_and_counted(monkeypatch):
+    """Slices and parts that are passed on add up to the words of all texts; ends, empty texts and rare bytes are no words."""
+    monkeypatch.setattr(scoring, "FLUSH", 40)
+    monkeypatch.setattr(scoring, "SLICE", 64)
+    words, end, size = scoring._encoder(vocabulary())
+    draw = np.random.default_rng(8)
+    some = ["a", "beta", "gammadelta", "naïve", "x" * 40, "12-34", "\u00a0", "\x00", "😀é", "<|endoftext|>", *(f"w{k}" for k in range(90))]
+    texts = ["", *(" ".join(draw.choice(some, draw.integers(0, 30))) for _ in range(60)), ""]
+    tokens = [scoring.tokens(t.encode()) for t in texts]
+    kind = scoring._narrow(size)
+    ids = [np.append(np.frombuffer(b"".join(words[w] for w in t), "<u4"), end).astype(kind) for t in tokens]
+    token, opens = scoring._tokens(vocabulary(), size, end)
+    flat = np.concatenate(ids)
+    read = scoring._words(flat, np.append(np.flatnonzero(opens[flat]), len(flat)), token)
+    assert read.to_pylist() == [w for t in tokens for w in [*t, b""]]
+    batch = pa.record_batch([pa.array([x.tobytes() for x in ids], pa.binary())], ["ids"])
+    parts, got = list(scoring._count(vocabulary(), size, end)(iter([batch, batch]))), Counter()
+    for part in parts:
+        assert len(set(part["word"].to_pylist())) == part.num_rows
+        got.update(dict(zip(part["word"].to_pylist(), part["n"].to_pylist())))
+    assert len(parts) > 1 and got == Counter(w for t in tokens for w in t for _ in range(2))
+
+
 def test_windows_score_each_token_once():
     at = np.array([0, 1, 18, 18, 90])
     inputs = np.arange(90) % 50
