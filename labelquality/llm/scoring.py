@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..sources.shared import stored
+from ..sources.shared import shared_dir, stored
 from . import attention, bpe
 from .texts import raw, slices, table
 from .tokens import Pieces
@@ -147,7 +147,9 @@ def _encode(path: str):
 
 def encoded(rows: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids binary) of every row, computed once: subwords of its words, each with a space before it, and the end."""
-    return stored(rows.mapInArrow(_encode(path), "doc_id long, ids binary"), "encoded")
+    schema, to = "doc_id long, ids binary", shared_dir(rows.sparkSession, "encoded")
+    rows.mapInArrow(_encode(path), schema).write.option("compression", "zstd").parquet(to)
+    return rows.sparkSession.read.schema(schema).parquet(to)
 
 
 def _subword_counts(size: int):
@@ -244,6 +246,17 @@ def _shaped(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarr
     return out
 
 
+def _packed(weights: np.ndarray, base: np.ndarray) -> bytes:
+    """Single-precision weights by the differences of their bits from those of ``base``, byte by byte, which takes little room and loses nothing."""
+    bits = weights.view(np.uint32) - base.view(np.uint32)
+    return pa.compress(bits.view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes, base: np.ndarray) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(packed, decompressed_size=base.nbytes, codec="zstd", asbytes=True), np.uint8).reshape(4, -1)
+    return (planes.T.copy().view(np.uint32).ravel() + base.view(np.uint32)).view(np.float32)
+
+
 def _steps(frame: attention.Frame, w: dict[str, np.ndarray], turn: int, rounds: int):
     """One pass of a task over its documents, batch by batch; its weights and the number of its windows leave in chunks."""
 
@@ -260,16 +273,19 @@ def _steps(frame: attention.Frame, w: dict[str, np.ndarray], turn: int, rounds:
                 pick = order[s : s + BATCH]
                 adam.step(keys[pick], target[pick], valid[pick], speed * min(1.0, (adam.taken + 1) / 20))
         if total:
-            parts = np.array_split(_flat(mine), CHUNKS)
-            yield table(["chunk", "weights", "windows"], pa.array(range(CHUNKS), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary()), pa.array([total] * CHUNKS, pa.int64()))
+            parts = zip(np.array_split(_flat(mine), CHUNKS), np.array_split(_flat(w), CHUNKS))
+            yield table(["chunk", "weights", "windows"], pa.array(range(CHUNKS), pa.int32()), pa.array([_packed(x, y) for x, y in parts], pa.binary()), pa.array([total] * CHUNKS, pa.int64()))
 
     return run
 
 
-def _average(group: pa.Table) -> pa.Table:
-    windows = group["windows"].to_pylist()
-    mean = sum(np.frombuffer(x, np.float32).astype(np.float64) * n for x, n in zip(group["weights"].to_pylist(), windows)) / sum(windows)
-    return pa.table([group["chunk"].slice(0, 1), pa.array([mean.tobytes()], pa.binary())], ["chunk", "mean"])
+def _average(w: dict[str, np.ndarray]):
+    def run(group: pa.Table) -> pa.Table:
+        base, windows = np.array_split(_flat(w), CHUNKS)[group["chunk"][0].as_py()], group["windows"].to_pylist()
+        mean = sum(_unpacked(x, base).astype(np.float64) * n for x, n in zip(group["weights"].to_pylist(), windows)) / sum(windows)
+        return pa.table([group["chunk"].slice(0, 1), pa.array([mean.tobytes()], pa.binary())], ["chunk", "mean"])
+
+    return run
 
 
 def fit_head(known: DataFrame, frame: attention.Frame, w: dict[str, np.ndarray], documents: int, sample: int = SAMPLE, share: int = SHARE, rounds: int = ROUNDS) -> attention.Model:
@@ -290,7 +306,7 @@ def fit_head(known: DataFrame, frame: attention.Frame, w: dict[str, np.ndarray],
     for turn in range(rounds):
         mine = ids.filter(F.col("deal") == turn % deals).select("ids")
         found = mine.repartition(learners).mapInArrow(_steps(frame, w, turn, rounds), "chunk int, weights binary, windows long")
-        means = found.groupBy("chunk").applyInArrow(_average, "chunk int, mean binary").toArrow().sort_by("chunk")
+        means = found.groupBy("chunk").applyInArrow(_average(w), "chunk int, mean binary").toArrow().sort_by("chunk")
         if len(means):  # a round may have been dealt nothing
             w = _shaped(np.concatenate([np.frombuffer(x, np.float64) for x in means["mean"].to_pylist()]), w)
     return frame.model(w)

@@ -165,6 +165,17 @@ def test_words_are_read_back_and_counted(monkeypatch):
     assert len(parts) > 1 and got == Counter(w for t in tokens for w in t for _ in range(2))
 
 
+def test_weights_travel_in_little_room_without_loss():
+    """Weights a few hundred steps away from those a round begins with; and any bits."""
+    draw = np.random.default_rng(9)
+    base = draw.normal(0, 3, 20_000).astype(np.float32)
+    near = base + draw.normal(0, 0.01, len(base)).astype(np.float32)
+    odd = np.array([0.0, -0.0, np.inf, -np.inf, np.nan, 1e-45, 3e38], np.float32)
+    for x, y in ((near, base), (base, near), (odd, odd[::-1].copy()), (base, base)):
+        assert scoring._unpacked(scoring._packed(x, y), y).tobytes() == x.tobytes()
+    assert len(scoring._packed(near, base)) < 0.75 * near.nbytes
+
+
 def test_windows_score_each_token_once():
     at = np.array([0, 1, 18, 18, 90])
     inputs = np.arange(90) % 50
