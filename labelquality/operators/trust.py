@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -16,18 +16,25 @@ from ..functions import fixed
 from ..functions.scalar import ratio
 from ..sources.shared import stored
 from . import agreement, curves, sampling
+from .forest import SETTINGS, Forest, ForestModel
 from .text_features import text_features
 
 FEATURE_COLUMNS = [f"trust_feat_{name}" for name in fixed.TRUST_FEATURES]
 
 _COLUMNS = {"featuresCol": "features", "labelCol": "trust_label"}
 
+
+def _forest(**settings) -> Estimator:
+    """The forest grown in tasks; Spark's own, which keeps all trees on the driver, for settings that only it has."""
+    return (Forest if SETTINGS.issuperset(settings) else RandomForestClassifier)(**_COLUMNS, **settings)
+
+
 # Learner factories; n is the number of training rows, other settings can be given. The logistic penalty is an L2
 # weight of 1 on the summed loss, which is 1/n on Spark's mean loss, on the features as they are. Forest trees go
 # down as far as the library allows (30 levels), since the model asks for no limit.
 LEARNERS = {
     "logistic_regression": lambda n, **o: LogisticRegression(**_COLUMNS, **({"regParam": 1.0 / max(n, 1), "standardization": False, "tol": 1e-6} | o)),
-    "random_forest": lambda n, **o: RandomForestClassifier(**_COLUMNS, **({"numTrees": 100, "maxDepth": 30, "seed": fixed.SEED} | o)),
+    "random_forest": lambda n, **o: _forest(**({"numTrees": 100, "maxDepth": 30, "seed": fixed.SEED} | o)),
     "gradient_boosting": lambda n, **o: GBTClassifier(**_COLUMNS, **({"maxIter": 100, "maxDepth": 3, "stepSize": 0.1, "seed": fixed.SEED} | o)),
 }
 
@@ -99,7 +106,10 @@ def fit_trust(train: DataFrame, model_type: str, features: Sequence[str] = tuple
 
 def root_splits(trained: TrustModel) -> list[tuple[str, float, float] | None]:
     """(feature, threshold, impurity gain) of the first decision of every tree; None for a tree that is a single leaf."""
-    roots = [tree._java_obj.rootNode() for tree in trained.model.stages[-1].trees]
+    model = trained.model.stages[-1]
+    if isinstance(model, ForestModel):
+        return [r and (trained.feature_columns[r[0]], *r[1:]) for r in model.roots()]
+    roots = [tree._java_obj.rootNode() for tree in model.trees]
     inner = [r if r.subtreeDepth() else None for r in roots]
     return [r and (trained.feature_columns[r.split().featureIndex()], r.split().threshold(), r.gain()) for r in inner]
 
